@@ -16,8 +16,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only; every other character stays as it is."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """Lower-case A-Z only; every other character stays as it is.
+
+    For a text of ASCII alone ``lower`` does the same and is much faster.
+    """
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def shared_dir(spark: SparkSession) -> str:

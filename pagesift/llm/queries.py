@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP8_SQL, op8_decontaminate
 from .piece_codec import op10_piece_codec
 from .token_counts import op7_token_counts
 
 QUERIES = {
     "op7_token_counts": op7_token_counts,
+    "op8_decontaminate": op8_decontaminate,
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": OP8_SQL,
+}
