@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .piece_codec import op10_piece_codec
+from .sharding import op6_sharding
 from .simhash import op1_simhash
 from .token_counts import op7_token_counts
 from .warc import OP9_SQL, op9_warc
@@ -12,6 +13,7 @@ from .warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
