@@ -9,9 +9,11 @@ from .sharding import op6_sharding
 from .simhash import op1_simhash
 from .token_counts import op7_token_counts
 from .warc import OP9_SQL, op9_warc
+from .wrapper import op2_main_text
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_main_text": op2_main_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
