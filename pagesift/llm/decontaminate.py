@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small_enough, table, written
+from .common import drop_ids, lower_ascii, small_enough, table, written
 
 GRAM, WINDOW = 5, 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,6 +98,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that share no run with an item, with all their columns; rows without an id stay."""
+    found = contamination(docs, items, id_col=id_col, text_col=text_col).where("contaminated").select(F.col("doc_id").alias(id_col))
+    return drop_ids(docs, written(found, "contaminated"), id_col)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -5,16 +5,20 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .piece_codec import op10_piece_codec
+from .quality import op3_quality
 from .sharding import op6_sharding
 from .simhash import op1_simhash
 from .token_counts import op7_token_counts
+from .toxicity import op5_toxicity
 from .warc import OP9_SQL, op9_warc
 from .wrapper import op2_main_text
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_main_text": op2_main_text,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
