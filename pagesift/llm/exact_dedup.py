@@ -19,8 +19,12 @@ from .common import drop_ids, keep_ids, lower_ascii, scratch_path, small_enough,
 #: Digest bytes that one micro-batch takes in, and digests that may be broadcast.
 BYTES_PER_BATCH = 16 << 30
 BROADCAST_DIGESTS = 300_000
-STATE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # state that is small for its number of partitions would else claim disk ahead of need
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normal(text_col: str) -> Column:
@@ -29,12 +33,14 @@ def normal(text_col: str) -> Column:
 
 @contextmanager
 def disk_state(spark: SparkSession):
-    before = spark.conf.get(STATE, None)
-    spark.conf.set(STATE, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(STATE) if before is None else spark.conf.set(STATE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def arrivals(docs: DataFrame, id_col: str, text_col: str, digest_chars: int) -> DataFrame:
