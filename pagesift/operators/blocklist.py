@@ -61,7 +61,7 @@ def resource_requests(pages: DataFrame, links: bool = False) -> DataFrame:
         F.when(t.rlike(r"^\w+:"), t)
         .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
         .when(t.startswith("/"), F.concat(place, t))
-        .otherwise(F.concat(F.regexp_replace(folder, r"/?$", "/"), t))
+        .otherwise(F.concat(F.regexp_replace(folder, "/*$", ""), F.lit("/"), t))
     )
     return pages.select("page_id", "url", F.explode(found("html")).alias("r")).select("page_id", "url", "r.element", absolute.alias("resource_url"))
 

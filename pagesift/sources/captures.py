@@ -8,14 +8,14 @@ from pyspark.sql import types as T
 
 from pagesift.plans.rules import rule_lines
 
-PAGES = T.StructType.fromDDL("page_id bigint, url string, html string")
-JOBS = T.StructType.fromDDL("job_id bigint, url string, rules string, mode string")
+PAGES = "page_id bigint, url string, html string"
+JOBS = "job_id bigint, url string, rules string, mode string"
 
 
-def read_pages(spark: SparkSession, path: str, kind: str = "parquet", schema: T.StructType = PAGES) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, kind: str = "parquet", schema: str | T.StructType = PAGES) -> DataFrame:
     """Captures from Parquet or JSON with the columns of ``schema``, or from files of one page each (``kind`` text)."""
     if kind == "text":
-        files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
+        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
         return files.select(F.xxhash64("url").alias("page_id"), "url", "html")
     return spark.read.schema(schema).format(kind).load(path)
 
