@@ -103,7 +103,7 @@ class Model:
         rng = np.random.default_rng(SEED)
         w = rng.normal(0, 1 / self.width, (len(self.mean), self.features))
         phase = rng.uniform(0, 2 * np.pi, self.features)
-        z = np.clip((stats - self.mean) / self.std, -8, 8)
+        z = np.clip((stats - self.mean) / self.std, -4, 4)  # nothing lies far from what was seen
         return np.hstack([np.cos(z @ w + phase) * math.sqrt(2 / self.features), np.ones((len(z), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
