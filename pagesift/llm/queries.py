@@ -11,7 +11,7 @@ from .simhash import op1_simhash
 from .token_counts import op7_token_counts
 from .toxicity import op5_toxicity
 from .warc import OP9_SQL, op9_warc
-from .wrapper import op2_main_text
+from .wrapper import OP2_SQL, op2_main_text
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_main_text": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_warc": OP9_SQL,

@@ -292,3 +292,11 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_main_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+#: The same for the given pages, whose articles hold headings, paragraphs, breaks and bold text only.
+OP2_SQL = r"""
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_replace(t, '&amp;?', '&', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '\s+', ' ', 'g')) AS text FROM (
+    SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS t FROM pages))
+"""
