@@ -124,7 +124,7 @@ def json_path_result(rule: Rule, text: Column, variant: Column) -> Column:
         if not m or not m[1] or quoted(m[1]) is None:
             return failed(rule, "json_path", f"JSON error: unsupported step {part}")
         steps.append((m[1], int(m[2]) if m[2] else None))
-    plain, at, value = "$", variant, None
+    plain, at, from_end = "$", variant, False
     for name, index in steps:
         at = F.try_variant_get(at, f"${quoted(name)}", "variant")
         plain += quoted(name)
@@ -133,9 +133,9 @@ def json_path_result(rule: Rule, text: Column, variant: Column) -> Column:
             plain += f"[{index}]"
         elif index is not None:
             at = F.try_element_at(F.try_variant_get(at, "$", "array<variant>"), F.lit(index))
-            value = True
+            from_end = True
     # text of numbers as the page has it, unless the path counts from the end
-    shown = F.get_json_object(text, plain) if value is None else F.coalesce(F.try_variant_get(at, "$", "string"), F.to_json(at))
+    shown = F.coalesce(F.try_variant_get(at, "$", "string"), F.to_json(at)) if from_end else F.get_json_object(text, plain)
     value = F.when(F.is_variant_null(at), "null").otherwise(shown)
     good = result(rule, "json_path", F.lit("one"), F.lit(1), F.array(value), value, F.lit(None).cast("string"))
     return F.when(at.isNotNull(), good).otherwise(failed(rule, "json_path", f"JSON extraction error: nothing at {rule.expr}"))
