@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: hash relation.  Larger sets take the shuffled form of the same join.
 BROADCAST_IDS = 2_000_000
 
+#: A key is hot if more than one in so many rows has it; so there are at most so many hot keys.
+HOT_SHARE = 2_000
+HOT_ROWS = 100
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -70,5 +74,20 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(small_enough(ids.select(key).distinct()), key, "left_semi")
 
 
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of many ``rows`` with ``side``, which has a key once and in ``count`` how many rows have it.
+
+    The rows of hot keys stay where they are: their part of ``side``, which is
+    at most ``HOT_SHARE`` rows at any size, is broadcast.  All others are joined
+    by shuffling.  Both tables should be written ones.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = side.where(F.col(count) > max(HOT_ROWS, total / HOT_SHARE))
+    if hot.isEmpty():
+        return rows.join(side, keys)
+    others = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(side, keys)
+    return others.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
