@@ -61,7 +61,11 @@ def small_enough(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 
     ``ids`` should be a written table, so that the count costs next to nothing.
     """
-    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+    return F.broadcast(ids) if is_small(ids, limit) else ids
+
+
+def is_small(df: DataFrame, limit: int) -> bool:
+    return df.limit(limit + 1).count() <= limit
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, lower_ascii, small_enough, table, written
+from .common import drop_ids, is_small, lower_ascii, small_enough, table, written
 
 GRAM, WINDOW = 5, 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,7 +55,11 @@ def shared_runs(docs: DataFrame, items: DataFrame, k: int, length: int) -> DataF
     run = F.array_join(F.slice("words", F.col("start"), length), " ").alias("run")
     runs = written(runs_of(items, k, length).select("item", run, "hash").distinct(), "runs")
     kept = written(runs.select("hash").distinct(), "hashes")
-    met = runs_of(docs, k, length).join(small_enough(kept, BROADCAST_RUNS), "hash").select("id", "start", run)
+    if is_small(kept, BROADCAST_RUNS):
+        met = runs_of(docs, k, length).join(F.broadcast(kept), "hash").select("id", "start", run)
+    else:  # hashes and places alone are shuffled, and the words of the documents met are joined back
+        places = runs_of(docs, k, length).select("id", "start", "hash").join(kept, "hash").groupBy(F.col("id").alias("at")).agg(F.collect_set("start").alias("starts"))
+        met = docs.join(places, F.col("id").eqNullSafe(F.col("at"))).select("id", "words", F.explode("starts").alias("start")).select("id", "start", run)
     shared = met.join(small_enough(runs.select("item", "run"), BROADCAST_RUNS), "run")
     return shared.select("id", "start", (F.col("start") + length - 1).alias("end"), "item")
 

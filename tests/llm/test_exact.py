@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from pagesift.llm import decontaminate
 from pagesift.llm.common import drop_ids, scratch_path
 from pagesift.llm.decontaminate import contamination, drop_contaminated
 from pagesift.llm.exact_dedup import arrivals, deduplicate, exact_groups, run_index
@@ -82,9 +83,12 @@ def brute_contamination(docs, items, window=10):
         yield (i, len(w), len(hit), tuple(sorted(map(str, met))), bool(hit))
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_contamination(spark, monkeypatch, broadcast):
     import random
 
+    monkeypatch.setattr(decontaminate, "BROADCAST_RUNS", broadcast)
+
     r = random.Random(3)
     word = lambda: r.choice("abcdefgh")
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([0, 1, 3, 9, 10, 11, 25, 40])] + [(50, None), (51, "Ünï cødé wörds"), (4, "second text of one id")]
