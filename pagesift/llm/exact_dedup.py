@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, keep_ids, lower_ascii, scratch_path, small_enough, table, written
+from .common import drop_ids, join_hot, keep_ids, lower_ascii, scratch_path, small_enough, table, written
 
 #: Digest bytes that one micro-batch takes in, and digests that may be broadcast.
 BYTES_PER_BATCH = 16 << 30
@@ -112,7 +112,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("full").alias("text_sha256"), "locator")
     index = written(run_index(spark, path, rows.schema, state_path, bytes_per_batch), "index")
     wrong = written(collisions(docs, index, text_col, digest_chars), "collisions")
-    out = rows.join(index, ["digest", "n_bytes"])
+    out = join_hot(rows, index, ["digest", "n_bytes"], "group_size")
     if not wrong.isEmpty():  # one digest for several texts: these are grouped by their whole text
         text = normal(text_col)
         texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("full"), F.input_file_name().alias("locator"), F.monotonically_increasing_id().alias("row"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_hot, table, written
 
 SHARDS, NODES, SLACK = 8, 128, 0.002
 #: Buckets by which rows are numbered; their counts, one per shard and bucket, are summed in order.
@@ -175,12 +175,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, slack: flo
         return F.element_at("to", F.greatest(F.lit(1), F.size(F.filter("starts", lambda s: s <= at))))
 
     offset = F.sum("bytes").over(W.partitionBy("arc").orderBy("point")) - F.col("bytes")
-    placed = light.withColumn("offset", offset).join(parts(cut, "arc"), "arc").select("point", pick(F.col("offset")).alias("shard"))
+    placed = light.withColumn("offset", offset).join(parts(cut, "arc"), "arc").select("point", pick(F.col("offset")).alias("shard"), "n")
     times = Counter(p.name for p in whole)
-    simple = parts([p for p in whole if times[p.name] == 1], "point").select("point", F.element_at("to", 1).alias("shard"))
+    simple = keys.join(parts([p for p in whole if times[p.name] == 1], "point"), "point").select("point", F.element_at("to", 1).alias("shard"), "n")
     split = [p for p in whole if times[p.name] > 1]
     names = F.broadcast(spark.createDataFrame([(p,) for p in {p.name for p in split}], "point long"))
-    out = rows.join(names, "point", "left_anti").join(placed.unionByName(simple), "point")
+    sides = written(placed.unionByName(simple), "sides")
+    out = join_hot(rows.join(names, "point", "left_anti"), sides, ["point"], "n").drop("n")
     if split:
         ranked = numbered(rows.join(names, "point", "left_semi"), "point", "rank")
         out = out.unionByName(ranked.join(parts(split, "point"), "point").withColumn("shard", pick(F.col("rank") * F.col("size"))).select(out.columns))
