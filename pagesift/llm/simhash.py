@@ -25,6 +25,8 @@ SHINGLE, MAX_BITS = 4, 4
 BLOCK = 4096
 #: Entries up to this size are compared pair by pair, larger ones by search.
 FEW = 64
+#: Nearest members of a larger part that a document is checked against before all others are.
+FIRST_TRIES = 4
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -208,17 +210,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return join_hot(own, labels, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
-def near_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: int, max_bits: int) -> DataFrame:
-    """``a`` and ``b``: ids of documents near each other in one of several fingerprints."""
+def near_units(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id`` and ``fp0``, ``fp1``, ... of one document for each list of words, and ``a``, ``b``: it and each other one."""
+    import xxhash
+
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [f"fp{s}" for s in range(seeds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), shingle, seeds) for x in b.column(1)], np.uint64).reshape(-1, seeds).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, s]) for s in range(seeds))], ["doc_id", *(f"fp{s}" for s in range(seeds))])
+            words = np.array([xxhash.xxh64_intdigest(b" ".join(word_list(x.as_py()))) for x in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), *(pa.array(fps[:, s]) for s in range(seeds))], ["doc_id", "words", *names])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    own = written(rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"fp{s} long" for s in range(seeds))), "fingerprints")
+    own = written(rows.mapInArrow(run, f"doc_id {kind}, words long, " + ", ".join(f"{x} long" for x in names)), "fingerprints")
+    units = written(own.groupBy("words", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "units")
+    same = join_hot(own, units.where("copies > 1").select("words", "fp0", "first", "copies"), ["words", "fp0"], "copies").where("doc_id != first")
+    return units.select(F.col("first").alias("doc_id"), *names), written(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
+
+
+def near_links(own: DataFrame, seeds: int, max_bits: int) -> DataFrame:
+    """``a`` and ``b``: documents near each other in one of several fingerprints, enough to connect all that are."""
     found = None
     for s in range(seeds):
         mine = own.select("doc_id", F.col(f"fp{s}").alias("fp"))
@@ -231,6 +244,101 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds:
     return found.distinct()
 
 
+def across(keys: np.ndarray, fps: np.ndarray, comp: np.ndarray, size: np.ndarray, masks: list[int], max_bits: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of near pairs that share a key but not a component, from rows sorted by key.
+
+    A pair is given under the first variant it shares only.  With ``most``, a
+    row of the smaller component gets its nearest ``most`` of each larger one.
+    """
+    whole, bits = np.array(masks[: max_bits // 2 + 1], np.uint64), np.array(masks, np.uint64)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ends = np.r_[starts[1:], len(keys)]
+    for s, e in zip(starts, ends, strict=True):
+        if (comp[s:e] == comp[s]).all():
+            continue
+        pos = int(keys[s] & 127)
+        for k in range(s, e):
+            x = fps[s:e] ^ fps[k]
+            apart = np.bitwise_count(x)
+            i = np.flatnonzero((apart <= max_bits) & ((size[s:e] > size[k]) | ((size[s:e] == size[k]) & (comp[s:e] > comp[k]))))
+            if not len(i):
+                continue
+            seg = np.argmax(np.bitwise_count(x[i][:, None] & whole) <= 1, axis=1)
+            inside = x[i] & whole[seg]
+            i = i[np.where(inside == 0, pos == seg, (pos >= len(whole)) & ((bits[pos] | inside) == whole[seg]))]
+            if most is not None and len(i):
+                i = i[np.lexsort((apart[i], comp[s:e][i]))]
+                c = comp[s:e][i]
+                new = np.r_[True, c[1:] != c[:-1]]
+                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+                i = i[rank < most]
+            if len(i):
+                yield np.full(len(i), k), s + i
+
+
+def cross_links(own: DataFrame, seeds: int, max_bits: int, most: int | None, block: int = BLOCK) -> DataFrame:
+    """``a`` and ``b``: documents near in a fingerprint and of different components.
+
+    ``own`` has ``doc_id``, the fingerprints, ``comp`` and ``size`` (of the component).
+    """
+    kind = own.schema["doc_id"].dataType.simpleString()
+    masks = variants(max_bits)
+
+    def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, fps, comp, size = (rows.column(c).to_numpy() for c in ("key", "fp", "comp", "size"))
+        ids = rows.column("doc_id").combine_chunks()
+        a, b, n = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
+
+        for x, y in across(keys, fps.view(np.uint64), comp, size, masks, max_bits, most):
+            a.append(x)
+            b.append(y)
+            n += len(x)
+            if n > 1 << 16:
+                yield out()
+                a, b, n = [], [], 0
+        if n:
+            yield out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < 1 << 16:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = rows.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last entry may go on in the next batch
+            yield from search(rows.slice(0, cut))
+            held = rows.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from search(pa.Table.from_batches(held))
+
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = None
+    for s in range(seeds):
+        mine = own.select(F.col(f"fp{s}").alias("fp"), "doc_id", "comp", "size")
+        entries = index_entries(mine.select("fp").distinct(), max_bits, block).join(mine, "fp")
+        pairs = entries.select("key", "fp", "doc_id", "comp", "size").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, f"a {kind}, b {kind}")
+        more = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = more if found is None else found.union(more)
+    return found.distinct()
+
+
+def undecided(own: DataFrame, near: DataFrame, sound: DataFrame) -> DataFrame:
+    """The rows of ``own`` in groups (``near``: ``node``, ``root``) that verified links leave in parts, with ``comp`` and ``size``."""
+    part = connected_components(sound).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
+    rows = near.select(F.col("node").alias("doc_id"), "root").join(part, "doc_id", "left").select("doc_id", "root", F.coalesce("part", "doc_id").alias("part"))
+    parts = written(rows, "parts")
+    sizes = written(parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    # two that are near have been compared; of three, some may not have been
+    open_ = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all")).where("parts > 1 AND all > 2").select("root")
+    left = written(sizes.join(open_, "root", "left_semi").select("part", F.xxhash64("part").alias("comp"), "size"), "open")
+    return written(own.join(parts.join(left, "part").select("doc_id", "comp", "size"), "doc_id"), "undecided")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose sets of word shingles have at least the given Jaccard similarity."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -258,9 +366,24 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     quarter of the pairs at a similarity of 0.8 and nine tenths at 0.95.  Texts
     without words are near each other.  Rows without an id stay; rows that
     repeat an id stay or go together.
+
+    The first search only gives pairs enough to hold together what is near.
+    Where the check of similarity then leaves such a group in parts, it is
+    searched again across the parts: for the nearest few of each part, and at
+    last for every near pair that isn't checked yet and still is in two parts.
     """
-    pairs = written(near_links(docs, id_col, text_col, shingle, seeds, max_bits), "pairs")
-    sound = written(verified(pairs, docs, id_col, text_col, shingle, similarity), "sound")
+    units, same = near_units(docs, id_col, text_col, shingle, seeds)
+    checked = written(near_links(units, seeds, max_bits), "pairs")
+    near = written(connected_components(checked), "near")
+    sound = written(verified(checked, docs, id_col, text_col, shingle, similarity), "sound")
+    for most in (FIRST_TRIES, None):
+        left = undecided(units, near, sound)
+        if left.isEmpty():
+            break
+        pairs = written(cross_links(left, seeds, max_bits, most).join(checked, ["a", "b"], "left_anti"), "pairs")
+        sound = sound.union(written(verified(pairs, docs, id_col, text_col, shingle, similarity), "sound"))
+        checked = checked.union(pairs)
+    sound = sound.union(same)
     roots = written(connected_components(sound), "roots")
     least = roots.groupBy("root").agg(F.min("node").alias("least"))
     gone = roots.join(least, "root").where("node != least").select(F.col("node").alias(id_col))

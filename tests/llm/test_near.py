@@ -110,6 +110,35 @@ def test_near_copies_of_less_than_the_similarity_stay(spark):
     assert sum(caught) >= 0.95 * len(caught)
 
 
+def test_a_large_group_of_copies_is_found_whole(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(400)]
+    texts = []
+    for _ in range(400):  # as near to the base as 0.8 to 0.9, but less near to each other
+        v = list(base)
+        for at in r.sample(range(400), r.randrange(4, 9)):
+            v[at] = word()
+        texts.append(v)
+    texts.insert(200, base)
+    sets = [frozenset(tuple(v[j : j + 5]) for j in range(396)) for v in texts]
+    fps = np.array([fingerprint(" ".join(v), 5, 5) for v in texts], np.uint64)
+    at = list(range(len(texts)))
+
+    def find(k):
+        while at[k] != k:
+            k = at[k]
+        return k
+
+    for i in range(len(texts)):  # all pairs that are near in a fingerprint and similar
+        for j in np.flatnonzero((np.bitwise_count(fps[:i] ^ fps[i]) <= 7).any(axis=1)):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = find(i), find(int(j))
+                at[max(x, y)] = min(x, y)
+    kept = drop_near_copies(spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(texts)], "doc_id long, text string").repartition(3))
+    assert {x.doc_id for x in kept.collect()} == {find(k) for k in range(len(texts))}
+
+
 def test_long_chains(spark):
     n = 400
     edges = [(k, k + 1) for k in range(n)] + [(10_000 + k, 10_000) for k in range(1, 300)] + [(7_000, 7_000), (1, 0)]
