@@ -3,7 +3,7 @@
 The pages of a host come from one template.  The host's first page gives its
 tree; the trees of all its pages are aligned with it by simple tree matching,
 and what a place holds is compared over the pages.  Places that say the same on
-every page are template, the others are slots.  A page's main text is what its
+nearly all of the host's distinct pages are template, the others are slots.  A page's main text is what its
 slots say in the article.
 """
 
@@ -22,8 +22,9 @@ from pagesift.functions.htmltree import BLOCK, Element, parse
 
 from .common import small_enough, table, written
 
-#: A place is template if it says the same on all of at least so many pages.
-LEAST_PAGES = 5
+#: A place is template if at least so many distinct pages, and so large a part
+#: of the host's distinct pages, have it and all of them say the same there.
+LEAST_PAGES, NEARLY_ALL = 5, 0.9
 #: Hosts whose wrappers (about 1 kB each) may be broadcast.
 BROADCAST_HOSTS = 20_000
 
@@ -229,8 +230,15 @@ def host_of(url_col: str):
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """``host``, ``skeleton`` and ``template`` from all of a table of ``page_id``, ``host``, ``html``."""
-    first = pages.where("html IS NOT NULL AND html != ''").groupBy("host").agg(F.min_by("html", F.struct("page_id", F.xxhash64("html"))).alias("html"))
+    """``host``, ``skeleton`` and ``template`` from all of a table of ``page_id``, ``host``, ``html``.
+
+    Pages of the same bytes count as one.
+    """
+    full = pages.where("html IS NOT NULL AND html != ''").withColumn("digest", F.xxhash64("html"))
+    counts = written(full.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("copies")), "counts")
+    copied = written(counts.where("copies > 1"), "copied")
+    sizes = counts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    first = full.groupBy("host").agg(F.min_by("html", F.struct("page_id", "digest")).alias("html"))
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,30 +247,33 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     made = written(first.mapInArrow(skeletons, "host string, skeleton string"), "skeletons")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], list[int]] = {}  # of a task: pages, least and greatest of what is said
+        seen: dict[tuple[str, int], list] = {}  # of a task: pages, least and greatest of what is said
 
         def out() -> pa.RecordBatch:
             rows = [(h, p, *x) for (h, p), x in seen.items()]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), *[pa.int64()] * 3), strict=True)], ["host", "place", "n", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["host", "place", "n", "lo", "hi"])
 
         for b in batches:
-            for host, skeleton, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for host, skeleton, source, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for place, elements in aligned(skeleton, parse(source)).items():
                     s = said(elements)
                     if x := seen.get((host, place)):
-                        x[:] = x[0] + 1, min(x[1], s), max(x[2], s)
+                        x[:] = x[0] + share, min(x[1], s), max(x[2], s)
                     else:
-                        seen[host, place] = [1, s, s]
+                        seen[host, place] = [share, s, s]
             if len(seen) > 100_000:
                 yield out()
         if seen:
             yield out()
 
-    rows = pages.where("html IS NOT NULL AND html != ''").join(small_enough(made, BROADCAST_HOSTS), "host").select("host", "skeleton", "html")
-    places = rows.mapInArrow(compare, "host string, place int, n long, lo long, hi long").groupBy("host", "place").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # each of n copies counts for 1/n, so that they are one page together
+    rows = full.join(small_enough(copied), ["host", "digest"], "left").join(small_enough(made, BROADCAST_HOSTS), "host")
+    rows = rows.select("host", "skeleton", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    places = rows.mapInArrow(compare, "host string, place int, n double, lo long, hi long").groupBy("host", "place").agg(F.round(F.sum("n")).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     constant = places.where((F.col("n") >= LEAST_PAGES) & (F.col("lo") == F.col("hi")) & (F.col("lo") != 0))
-    # pages that are copies of each other say the same everywhere: that shows no template
+    constant = constant.join(sizes, "host").where(F.col("n") >= NEARLY_ALL * F.col("pages"))
+    # pages that say the same everywhere show no template
     varied = places.where("lo != hi").select("host").distinct()
     template = constant.join(varied, "host", "left_semi").groupBy("host").agg(F.array_sort(F.collect_list("place")).alias("template"))
     return written(made.join(template, "host", "left"), "wrappers")

@@ -108,6 +108,20 @@ def test_wrappers_drop_what_all_pages_say(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_and_optional_places_are_no_template(spark):
+    """What only copies of a page, or a few pages of a host, have in their article is kept."""
+    first = "<article><h1>Head</h1><p>one</p><h2>Second</h2><p>two</p><blockquote>said</blockquote></article>"
+    rows = [(k, "http://a.x/", first) for k in range(6)]
+    rows += [(10 + k, "http://a.x/", f"<article><h1>Other {k}</h1><p>text {k}</p></article>") for k in range(9)]
+    page = lambda k: f"<article><h1>Title {k}</h1>{'<h2>Summary</h2>' if k < 6 else ''}<div class=tagline>Always</div><p>Body {k}</p></article>"
+    rows += [(100 + k, "http://b.x/", page(k)) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages.repartition(4)).collect()}
+    assert all(got[k] == "Head one Second two said" for k in range(6))
+    assert all(got[10 + k] == f"Other {k} text {k}" for k in range(9))
+    assert all(got[100 + k] == f"Title {k} {'Summary ' if k < 6 else ''}Body {k}" for k in range(40))
+
+
 def labelled(spark, n=900):
     r = random.Random(4)
     word = lambda: "".join(r.choice(["th", "er", "in", "on", "at", "es"]) for _ in range(r.randrange(1, 4)))
