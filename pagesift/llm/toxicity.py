@@ -3,8 +3,9 @@
 A word's embedding is the sum of two rows of a hashed table, one of the word and
 one of its first letters.  Filters over one, two and three words run over the
 whole text; the strongest answer of each filter goes into a logistic layer.  The
-model is fitted on a bounded sample of labelled documents.  The decision
-threshold is set for each language, which is told from the text itself.
+model is fitted on a bounded sample of labelled documents of at most
+``FIT_CHARS`` characters.  The decision threshold is set for each language, which
+is told from the text itself, on all other labelled documents of any length.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .quality import held_out
 #: Rows of the embedding table, its width, filters of each width, and filter widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 16, 8, (1, 2, 3)
 STEM = 4
-#: Labelled documents per class to fit on, and to set thresholds on; longer texts aren't fitted on.
-FIT_ROWS, THRESHOLD_ROWS, FIT_CHARS = 4_000, 4_000, 20_000
+#: Labelled documents per class to fit on; longer texts aren't fitted on.
+FIT_ROWS, FIT_CHARS = 4_000, 20_000
+#: Logits are counted in bins, so many to one, up to a bound on either side.
+BINS, BOUND = 64, 100
 #: Documents of each class that a language needs for a threshold of its own.
 LANGUAGE_ROWS = 30
 #: Passes over the sample: so many that it is seen SHOWN times in all, within bounds.
@@ -160,14 +163,15 @@ def train(docs: list[np.ndarray], y: np.ndarray) -> Net:
     return net
 
 
-def threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1, in the middle of the gap around it."""
-    order = np.argsort(-logits)
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+def threshold(at: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> float:
+    """The logit with the best F1, in the middle of the gap around it, from counts of both classes at logits."""
+    at, back = np.unique(at, return_inverse=True)
+    toxic, other = (np.bincount(back, x, len(at))[::-1] for x in (toxic, other))
+    at, hits = at[::-1], np.cumsum(toxic)
+    f1 = 2 * hits / (hits + np.cumsum(other) + toxic.sum())
     k = int(f1.argmax())
-    above = logits[order[k]]
-    below = logits[order[k + 1]] if k + 1 < len(order) else above - 2
+    above = at[k]
+    below = at[k + 1] if k + 1 < len(at) else above - 2
     return float(above + below) / 2
 
 
@@ -209,49 +213,69 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(logits + self.net.shift[langs], -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[tuple[list[int], int, bool, int]]:
-    """Word numbers, label, whether it sets thresholds, and language, of at most 2 * FIT_ROWS + THRESHOLD_ROWS documents.
+def labelled(labels: DataFrame) -> DataFrame:
+    """``label_id``, ``y``, a hash, and whether a label only sets thresholds, of all labels that may teach."""
+    known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("y")).where("y IS NOT NULL").where(~held_out("label_id", 4, 2))
+    known = known.withColumn("h", F.xxhash64("label_id"))
+    return known.withColumn("sets", F.pmod("h", F.lit(5)) == 0)
+
+
+def sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple[list[tuple[list[int], int, int]], DataFrame]:
+    """Word numbers, label and hash of at most FIT_ROWS documents of each class, and the table of their ids.
 
     Which documents are taken follows from a hash of their id.
     """
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("y")).where("y IS NOT NULL").where(~held_out("label_id", 4, 2))
-    known = known.withColumn("h", F.xxhash64("label_id")).withColumn("sets", F.pmod("h", F.lit(5)) == 0)
-    parts = [known.where(~F.col("sets") & (F.col("y") == y)).orderBy("h", "label_id").limit(FIT_ROWS) for y in (0, 1)]
-    chosen = written(parts[0].unionByName(parts[1]).unionByName(known.where("sets").orderBy("h", "label_id").limit(THRESHOLD_ROWS)), "chosen")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") <= FIT_CHARS)
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("h", "text", "y", "sets")
+    short = known.where(~F.col("sets")).join(texts.select(F.col("doc_id").alias("label_id")), "label_id", "left_semi")
+    parts = [short.where(F.col("y") == y).orderBy("h", "label_id").limit(FIT_ROWS) for y in (0, 1)]
+    chosen = written(parts[0].unionByName(parts[1]), "chosen")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("h", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cut = [WORD.findall(x.as_py().lower()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[word_ids(w) for w in words] for words in cut], pa.list_(pa.int64())), b.column(2), b.column(3), pa.array([language(w) for w in cut], pa.int32())], ["h", "ids", "y", "sets", "lang"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[word_ids(w) for w in words] for words in cut], pa.list_(pa.int64())), b.column(2)], ["h", "ids", "y"])
 
-    found = rows.mapInArrow(run, "h long, ids array<long>, y int, sets boolean, lang int").toArrow()
-    out = [(i.values.to_numpy(), y.as_py(), s.as_py(), la.as_py(), h.as_py()) for h, i, y, s, la in zip(*(found.column(c) for c in ("h", "ids", "y", "sets", "lang")), strict=True)]
-    return sorted(out, key=lambda x: (x[4], len(x[0])))
+    found = rows.mapInArrow(run, "h long, ids array<long>, y int").toArrow()
+    out = [(i.values.to_numpy(), y.as_py(), h.as_py()) for h, i, y in zip(*(found.column(c) for c in ("h", "ids", "y")), strict=True)]
+    return sorted(out, key=lambda x: (x[2], len(x[0]))), chosen.select("label_id").distinct()
 
 
-def fit(rows: list) -> Net:
-    """A net from a sample, with a threshold for each language that has toxic and other documents in it."""
-    fitted, setting = [r for r in rows if not r[2]], [r for r in rows if r[2]]
-    y = np.array([r[1] for r in fitted], np.float32)
+def fit(rows: list) -> tuple[Net, bool]:
+    """A net from a sample, and whether it had both classes to learn from."""
+    y = np.array([r[1] for r in rows], np.float32)
     if len(set(y)) < 2:
         net = Net.start()
         net.out[:] = 0
         net.offset = -4.0 if not len(y) or not y[0] else 4.0
-        return net
-    net = train([r[0] for r in fitted], y)
-    pooled = lambda ids: net.convolve(net.answers(ids)).max(axis=0) if len(ids) else np.zeros(len(net.bias), np.float32)
+        return net, False
+    return train([r[0] for r in rows], y), True
+
+
+def shifts(counts: np.ndarray) -> np.ndarray:
+    """What to add to a logit, by language, from rows of language, bin, label, whether fitted on, and count.
+
+    Fitted documents only say how frequent each class is: the others of a class
+    stand for all of it.
+    """
+    lang, at, y, fitted, n = counts.T
+    at = (at + 0.5) / BINS
+    own = fitted == 0
+    if n[own & (y == 1)].sum() < LANGUAGE_ROWS or not n[own & (y == 0)].sum():
+        own[:] = True
     base = float(np.log(THRESHOLD / (1 - THRESHOLD)))
-    use = setting if sum(r[1] for r in setting) >= 30 else rows
-    logits = np.array([float(net.logit(pooled(r[0]))) for r in use])
-    y, lang = np.array([r[1] for r in use]), np.array([r[3] for r in use])
-    net.shift[:] = base - threshold(logits, y)
+
+    def of(rows: np.ndarray) -> float:
+        of_class = [rows & own & (y == c) for c in (1, 0)]
+        weights = [n[rows & (y == c)].sum() / max(1, n[k].sum()) for c, k in zip((1, 0), of_class, strict=True)]
+        used = rows & own
+        return base - threshold(at[used], *((n * k * w)[used] for k, w in zip(of_class, weights, strict=True)))
+
+    out = np.full(len(LANGUAGES), of(np.ones(len(n), bool)))
     for k in range(len(LANGUAGES)):
-        own = lang == k
-        if y[own].sum() >= LANGUAGE_ROWS and (1 - y[own]).sum() >= LANGUAGE_ROWS:
-            net.shift[k] = base - threshold(logits[own], y[own])
-    return net
+        if all(n[own & (lang == k) & (y == c)].sum() >= LANGUAGE_ROWS for c in (0, 1)):
+            out[k] = of(lang == k)
+    return out
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,23 +283,34 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     ``labels`` has ``doc_id`` and ``toxic``; null labels, and those of documents
     with crc32(doc_id) mod 4 = 2, teach nothing.  Of the others at most
-    ``FIT_ROWS`` of each class are fitted on and ``THRESHOLD_ROWS`` set
-    thresholds.  A null text counts as empty, and a text without words gets
-    what the net says of no words.  Repeated rows each give a row; other columns
-    are ignored.
+    ``FIT_ROWS`` of each class, of texts of at most ``FIT_CHARS`` characters, are
+    fitted on; all that aren't set the thresholds, whatever their length.  A
+    null text counts as empty, and a text without words gets what the net says
+    of no words.  Repeated rows each give a row; other columns are ignored.
     """
-    net = fit(sample(docs, labels, id_col, text_col))
+    known = labelled(labels)
+    rows, fitted = sample(docs, known, id_col, text_col)
+    net, learned = fit(rows)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value)
         for b in batches:
-            texts = b.column(1)
-            scores = np.concatenate([np.zeros(0), *(own.scores(texts.slice(k, 512).to_pylist()) for k in range(0, len(texts), 512))])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], ["doc_id", "score"])
-
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+            for k in range(0, b.num_rows, 512):
+                logits, langs = own.logits(b.column(1).slice(k, 512).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 512), pa.array(logits), pa.array(langs.astype(np.int32))], ["doc_id", "logit", "lang"])
+
+    scored = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, logit double, lang int"), "logits")
+    if learned:
+        told = known.join(fitted.withColumn("fitted", F.lit(1)), "label_id", "left").join(scored, F.col("label_id") == F.col("doc_id"))
+        at = F.floor(F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.col("logit"))) * BINS).cast("int")
+        counts = told.groupBy("lang", at.alias("at"), "y", F.coalesce("fitted", F.lit(0)).alias("fitted")).agg(F.count(F.lit(1)).alias("n")).collect()
+        if counts:
+            net.shift[:] = shifts(np.array([tuple(r) for r in counts], np.float64))
+    shift = F.element_at(F.array(*(F.lit(float(x)) for x in net.shift)), F.col("lang") + 1)
+    logit = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit") + shift))
+    scored = scored.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

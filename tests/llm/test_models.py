@@ -182,6 +182,29 @@ def test_toxicity(spark, monkeypatch):
     assert not any(r.predicted for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect())
 
 
+def test_thresholds_come_from_all_other_labels(spark, monkeypatch):
+    """Long texts and rows beyond the fitted ones set thresholds, for a rare language too."""
+    monkeypatch.setattr(toxicity, "SHOWN", 3000)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 60)
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 500, raising=False)
+    monkeypatch.setattr(toxicity, "THRESHOLD_ROWS", 60, raising=False)
+    docs, labels = labelled(spark)
+    rare = [(20_000 + k, ("der hund und die katze " * (40 if k % 2 else 4)) + ("idiotron" if k % 4 < 2 else "")) for k in range(160)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(rare, "doc_id long, text string"))
+    labels = labels.union(spark.createDataFrame([(k, 1, int("idiotron" in t)) for k, t in rare], "doc_id long, quality int, toxic int"))
+    seen, plain = [], toxicity.shifts
+    monkeypatch.setattr(toxicity, "shifts", lambda counts: (seen.append(counts), plain(counts))[1])
+    toxicity.toxicity_scores(docs, labels).count()
+    german, taught = toxicity.LANGUAGES.index("de"), lambda k: zlib.crc32(str(k).encode()) % 4 != 2
+    assert seen[0][seen[0][:, 0] == german, 4].sum() == sum(taught(k) for k, _ in rare)
+    others = seen[0][(seen[0][:, 0] == german) & (seen[0][:, 3] == 0)]
+    assert all(others[others[:, 2] == y, 4].sum() >= toxicity.LANGUAGE_ROWS for y in (0, 1))
+    assert seen[0][:, 4].sum() == sum(taught(k) for k, in [(r.doc_id,) for r in labels.join(docs, "doc_id").where("toxic IS NOT NULL").collect()])
+    counts = np.array([(0, 0, 0, 0, 100), (0, 200, 1, 0, 100), (1, -300, 0, 0, 50), (1, -100, 1, 0, 50)], float)
+    base = np.log(0.3 / 0.7)
+    assert plain(counts)[:2] == pytest.approx([base - 100.5 / 64, base + 199.5 / 64])
+
+
 def test_convolution_is_plain():
     """Filters give what a loop over the words gives, at the end of a text too."""
     net = toxicity.Net.start()
