@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_enough, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     In each round every node moves to the least node next to it, in an order
     drawn anew by hashing, and the edges follow; a component shrinks by a
     constant factor however it is shaped, so a long chain takes few rounds.
-    Every round is written to the shared folder.
+    Every round is written to the shared folder.  Edges with a null end and from
+    a node to itself count for nothing; repeated ones count once.
     """
     rounds: list[DataFrame] = []
     edges = written(edges.where("a != b").select("a", "b").distinct(), "edges")
@@ -24,8 +25,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = both.groupBy("a").agg(F.min(order("b")).alias("near"))
         moved = written(near.select(F.col("a").alias("node"), F.least("near", order("a"))["to"].alias("to")), "moved")
         rounds.append(moved)
-        left = edges.join(moved.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-        ends = left.join(moved.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x != y")
+        to = small_enough(moved)  # beyond that a shuffled join, whose hot nodes Spark splits
+        left = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        ends = left.join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x != y")
         edges = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

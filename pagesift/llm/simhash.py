@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, join_hot, keep_ids, table, written
+from .common import join_hot, small_enough, table, written
 from .components import connected_components
 
 SHINGLE, MAX_BITS = 4, 4
@@ -25,8 +25,6 @@ SHINGLE, MAX_BITS = 4, 4
 BLOCK = 4096
 #: Entries up to this size are compared pair by pair, larger ones by search.
 FEW = 64
-#: Nearest members of a larger part that a document is checked against before all others are.
-FIRST_TRIES = 4
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -42,34 +40,23 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.array([digest(b" ".join(x), 42) for x in runs], np.uint64)
 
 
-def mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    """Other hashes of the same shingles; seed 0 leaves them as they are."""
-    if not seed:
-        return h
-    h = h + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER).split()
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seeds: int = 1) -> list[int]:
-    """The 64-bit fingerprints of one text, unsigned, one for each seed; 0 without words."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text, unsigned; 0 without words.  Repeated shingles count each time."""
     words = word_list(text)
     if not words:
-        return [0] * seeds
+        return 0
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros((seeds, 8, 8), np.int64)
+    ones = np.zeros((8, 8), np.int64)
     for k in range(0, n, _STEP):  # a very long text goes in parts
         h = shingle_hashes(words[k : k + _STEP + shingle - 1] if len(words) >= shingle else words, shingle)
-        for s in range(seeds):
-            own = mixed(h, s).view(np.uint8).reshape(-1, 8)
-            for b in range(8):
-                ones[s, b] += np.bincount(own[:, b], minlength=256) @ _BITS
-    return [int.from_bytes(np.packbits((2 * x > n).astype(np.uint8), axis=1, bitorder="little").tobytes(), "little") for x in ones]
+        own = h.view(np.uint8).reshape(-1, 8)
+        for b in range(8):
+            ones[b] += np.bincount(own[:, b], minlength=256) @ _BITS
+    return int.from_bytes(np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -78,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x.as_py(), shingle)[0] for x in b.column(1)], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
@@ -101,83 +88,123 @@ def variants(max_bits: int) -> list[int]:
     return whole + [s & ~(1 << b) for s in whole for b in range(64) if s >> b & 1]
 
 
-def index_entries(fps: DataFrame, max_bits: int, block: int) -> DataFrame:
-    """``key`` and ``fp``: the index, with large entries cut into pairs of blocks.
+def index_entries(rows: DataFrame, max_bits: int, block: int, carried: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """``key`` and the ``carried`` columns: the index of ``fp``, with large entries cut into pairs of blocks.
 
     The lowest 7 bits of a key say which variant it is.  How many share a whole
     segment tells where an entry can be large; those are few, so the counts
-    needn't be taken of all variants.
+    needn't be taken of all variants.  Rows are dealt to blocks by a hash of all
+    that they carry, so that rows of one fingerprint are spread as well.
     """
     masks, n = variants(max_bits), len(segments(max_bits))
     key = lambda *c: F.xxhash64(*c).bitwiseAND(~127).bitwiseOR(F.col("pos").cast("long"))
     entries = lambda df: df.select("*", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks))).alias("pos", "held"))
-    whole = fps.select(F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks[:n]))).alias("seg", "value"))
+    whole = rows.select(F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks[:n]))).alias("seg", "value"))
     large = written(whole.groupBy("seg", "value").count().where(F.col("count") > block // 2), "large")
-    out = entries(fps).select(key("pos", "held").alias("key"), "fp")
+    out = entries(rows).select(key("pos", "held").alias("key"), *carried)
     if large.isEmpty():
         return out
     held = entries(large.withColumnRenamed("value", "fp")).where(F.expr("pos = seg") | F.expr(" OR ".join(f"(seg = {s} AND pos IN ({','.join(str(p) for p in range(n, len(masks)) if masks[p] & masks[s])}))" for s in range(n))))
     cut = held.groupBy(key("pos", "held").alias("key")).agg(F.ceil((F.sum("count") + block // 2) / block).cast("int").alias("blocks"))
-    joined = out.join(cut, "key", "left")
-    own = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")
-    small = joined.where("blocks IS NULL OR blocks < 2").select("key", "fp")
-    wide = joined.where("blocks > 1").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    joined = out.join(small_enough(written(cut, "cut")), "key", "left")
+    own = F.pmod(F.xxhash64(*carried, F.lit("block")), F.col("blocks")).cast("int")
+    small = joined.where("blocks IS NULL OR blocks < 2").select("key", *carried)
+    wide = joined.where("blocks > 1").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block"))
     pos = F.col("key").bitwiseAND(127)
-    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(~127).bitwiseOR(pos)
-    return small.unionByName(wide.select(pair.alias("key"), "fp"))
+    pair = F.xxhash64("key", F.least("own", "other_block"), F.greatest("own", "other_block")).bitwiseAND(~127).bitwiseOR(pos)
+    return small.unionByName(wide.select(pair.alias("key"), *carried))
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, or of rows of several."""
+    d = np.bitwise_count(x ^ y)
+    return d if d.ndim < 2 or x.shape[-1] == 1 else d.sum(axis=-1, dtype=np.int64)
+
+
+def first_shared(x: np.ndarray, pos: np.ndarray, masks: list[int], max_bits: int) -> np.ndarray:
+    """Whether a pair, of the differences ``x``, meets in variant ``pos`` and in none before."""
+    whole, bits = np.array(masks[: max_bits // 2 + 1], np.uint64), np.array(masks, np.uint64)
+    seg = np.argmax(np.bitwise_count(x[:, None] & whole) <= 1, axis=1)
+    inside = x & whole[seg]
+    return np.where(inside == 0, pos == seg, (pos >= len(whole)) & ((bits[pos] | inside) == whole[seg]))
+
+
+def forest(rows: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that hold together what is linked among many rows: a search that leaves out what it has reached.
+
+    It starts from the least row by what it holds, so that in all entries the
+    same rows are in the middle.
+    """
+    rest, a, b = np.lexsort(rows.T), [], []
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop(0)
+            near = distance(rows[rest], rows[x][None]).reshape(len(rest)) <= reach
+            if near.any():
+                new, rest = rest[near], rest[~near]
+                a.append(np.full(len(new), x))
+                b.append(new)
+                front.extend(new)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def near_pairs(keys: np.ndarray, fps: np.ndarray, masks: list[int], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of near fingerprints that share a key, from rows sorted by key.
+def near_pairs(keys: np.ndarray, rows: np.ndarray, masks: list[int], max_bits: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of near rows that share a key, from rows sorted by key; the first column is what the index holds.
 
-    In an entry of few rows a pair is given under the first variant it shares
-    only; in a larger one enough pairs are given to hold together what is linked
-    in it: a search from row to row leaves out what it has reached.
+    A pair is given under the first variant it shares only.  In an entry of few
+    rows, with no more near pairs than rows, all of them are given, in others a
+    forest of them.  That holds all together: what a forest leaves out is linked
+    by it, and a pair of the forest that isn't given has met before.
     """
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    few = np.repeat(sizes <= FEW, sizes)
-    a, b = [], []
-    whole = np.array([m for m in masks[: max_bits // 2 + 1]], np.uint64)
-    bits = np.array(masks, np.uint64)
+    entry = np.repeat(np.arange(len(sizes)), sizes)
+    few = sizes[entry] <= FEW
+    none = np.zeros(0, np.int64)
+    a, b = [none], [none]
     for d in range(1, int(min(FEW, sizes.max(initial=1)))):
         i = np.flatnonzero((keys[d:] == keys[:-d]) & few[d:])
         if not len(i):
             break
-        x = fps[i] ^ fps[i + d]
-        i, x = i[near := np.bitwise_count(x) <= max_bits], x[near]
-        pos = (keys[i] & 127).astype(np.int64)
-        seg = np.argmax(np.bitwise_count(x[:, None] & whole) <= 1, axis=1)  # the first segment with one bit at most
-        inside = x & whole[seg]
-        first = np.where(inside == 0, pos == seg, (pos >= len(whole)) & ((bits[pos] | inside) == whole[seg]))
-        a.append(fps[i[first]])
-        b.append(fps[i[first] + d])
-    for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
-        rest = np.unique(fps[s : s + n])
-        while len(rest):
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                x = front.pop()
-                near = np.bitwise_count(rest ^ x) <= max_bits
-                if near.any():
-                    new, rest = rest[near], rest[~near]
-                    a.append(np.full(len(new), x))
-                    b.append(new)
-                    front.extend(new)
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+        i = i[distance(rows[i], rows[i + d]).reshape(len(i)) <= reach]
+        a.append(i)
+        b.append(i + d)
+    a, b = np.concatenate(a), np.concatenate(b)
+    dense = (sizes > FEW) | (np.bincount(entry[a], minlength=len(sizes)) > sizes)
+    a, b = [a[~dense[entry[a]]]], [b[~dense[entry[a]]]]
+    for s, n in zip(starts[dense], sizes[dense], strict=True):
+        x, y = forest(rows[s : s + n], reach)
+        a.append(s + x)
+        b.append(s + y)
+    a, b = np.concatenate(a), np.concatenate(b)
+    first = first_shared(rows[a, 0] ^ rows[b, 0], (keys[a] & 127).astype(np.int64), masks, max_bits)
+    return a[first], b[first]
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, others: tuple[str, ...] = (), reach: int | None = None) -> DataFrame:
+    """Near fingerprints of a table of distinct ``fp``, enough to connect all that are linked.
+
+    Gives ``a`` and ``b``.  Fingerprints are linked at ``reach`` differing bits
+    or fewer (``max_bits`` unless it is given) if they share an entry, which all
+    do within ``max_bits``.  With ``others``, columns of further fingerprints,
+    the bits of all are counted, and ``a_..`` and ``b_..`` are given for each.
+    """
+    masks, cols = variants(max_bits), ("fp", *others)
+    reach = max_bits if reach is None else reach
+    names = [x for side in "ab" for x in (side, *(f"{side}_{c}" for c in others))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, own = np.zeros(0, np.int64), np.zeros((0, len(cols)), np.uint64)
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """``a`` and ``b``: near fingerprints of a table of distinct ``fp``, enough to connect all that are linked."""
-    masks = variants(max_bits)
+        def out(k: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            found = near_pairs(k, rows, masks, max_bits, reach)
+            return pa.RecordBatch.from_arrays([pa.array(rows[i, c].view(np.int64)) for i in found for c in range(len(cols))], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, own = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        out = lambda k, f: pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in near_pairs(k, f, masks, max_bits)], ["a", "b"])
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            own = np.concatenate([own, batch.column(1).to_numpy().view(np.uint64)])
+            own = np.concatenate([own, np.stack([batch.column(1 + c).to_numpy().view(np.uint64) for c in range(len(cols))], axis=1)])
             if len(keys) < 1 << 18:
                 continue
             cut = np.searchsorted(keys, keys[-1])  # the last entry may go on in the next batch
@@ -187,8 +214,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
             yield out(keys, own)
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = index_entries(fps, max_bits, block)
-    return entries.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    entries = index_entries(fps, max_bits, block, cols)
+    return entries.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
@@ -204,192 +231,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "distinct")
     roots = written(connected_components(links(distinct.select("fp"), max_bits, block)), "roots")
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("group_id"))
-    group = linked.join(least, "root").select("fp", "group_id")
+    linked = written(linked, "linked")
+    least = written(linked.groupBy("root").agg(F.min("least_id").alias("group_id"), F.count(F.lit(1)).alias("fps")), "least")
+    group = join_hot(linked, least, ["root"], "fps").select("fp", "group_id")
     labels = written(distinct.join(group, "fp", "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id"), "copies"), "labels")
     return join_hot(own, labels, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
-def near_units(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id`` and ``fp0``, ``fp1``, ... of one document for each list of words, and ``a``, ``b``: it and each other one."""
-    import xxhash
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = [f"fp{s}" for s in range(seeds)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(x.as_py(), shingle, seeds) for x in b.column(1)], np.uint64).reshape(-1, seeds).view(np.int64)
-            words = np.array([xxhash.xxh64_intdigest(b" ".join(word_list(x.as_py()))) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), *(pa.array(fps[:, s]) for s in range(seeds))], ["doc_id", "words", *names])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    own = written(rows.mapInArrow(run, f"doc_id {kind}, words long, " + ", ".join(f"{x} long" for x in names)), "fingerprints")
-    units = written(own.groupBy("words", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "units")
-    same = join_hot(own, units.where("copies > 1").select("words", "fp0", "first", "copies"), ["words", "fp0"], "copies").where("doc_id != first")
-    return units.select(F.col("first").alias("doc_id"), *names), written(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
-
-
-def near_links(own: DataFrame, seeds: int, max_bits: int) -> DataFrame:
-    """``a`` and ``b``: documents near each other in one of several fingerprints, enough to connect all that are."""
-    found = None
-    for s in range(seeds):
-        mine = own.select("doc_id", F.col(f"fp{s}").alias("fp"))
-        first = written(mine.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "first")
-        same = join_hot(mine, first.where("copies > 1"), ["fp"], "copies").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        near = links(first.select("fp"), max_bits)
-        ends = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        more = written(same.union(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "links")
-        found = more if found is None else found.union(more)
-    return found.distinct()
-
-
-def across(keys: np.ndarray, fps: np.ndarray, comp: np.ndarray, size: np.ndarray, masks: list[int], max_bits: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of near pairs that share a key but not a component, from rows sorted by key.
-
-    A pair is given under the first variant it shares only.  With ``most``, a
-    row of the smaller component gets its nearest ``most`` of each larger one.
-    """
-    whole, bits = np.array(masks[: max_bits // 2 + 1], np.uint64), np.array(masks, np.uint64)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ends = np.r_[starts[1:], len(keys)]
-    for s, e in zip(starts, ends, strict=True):
-        if (comp[s:e] == comp[s]).all():
-            continue
-        pos = int(keys[s] & 127)
-        for k in range(s, e):
-            x = fps[s:e] ^ fps[k]
-            apart = np.bitwise_count(x)
-            i = np.flatnonzero((apart <= max_bits) & ((size[s:e] > size[k]) | ((size[s:e] == size[k]) & (comp[s:e] > comp[k]))))
-            if not len(i):
-                continue
-            seg = np.argmax(np.bitwise_count(x[i][:, None] & whole) <= 1, axis=1)
-            inside = x[i] & whole[seg]
-            i = i[np.where(inside == 0, pos == seg, (pos >= len(whole)) & ((bits[pos] | inside) == whole[seg]))]
-            if most is not None and len(i):
-                i = i[np.lexsort((apart[i], comp[s:e][i]))]
-                c = comp[s:e][i]
-                new = np.r_[True, c[1:] != c[:-1]]
-                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-                i = i[rank < most]
-            if len(i):
-                yield np.full(len(i), k), s + i
-
-
-def cross_links(own: DataFrame, seeds: int, max_bits: int, most: int | None, block: int = BLOCK) -> DataFrame:
-    """``a`` and ``b``: documents near in a fingerprint and of different components.
-
-    ``own`` has ``doc_id``, the fingerprints, ``comp`` and ``size`` (of the component).
-    """
-    kind = own.schema["doc_id"].dataType.simpleString()
-    masks = variants(max_bits)
-
-    def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, fps, comp, size = (rows.column(c).to_numpy() for c in ("key", "fp", "comp", "size"))
-        ids = rows.column("doc_id").combine_chunks()
-        a, b, n = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
-
-        for x, y in across(keys, fps.view(np.uint64), comp, size, masks, max_bits, most):
-            a.append(x)
-            b.append(y)
-            n += len(x)
-            if n > 1 << 16:
-                yield out()
-                a, b, n = [], [], 0
-        if n:
-            yield out()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) < 1 << 16:
-                continue
-            rows = pa.Table.from_batches(held)
-            keys = rows.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last entry may go on in the next batch
-            yield from search(rows.slice(0, cut))
-            held = rows.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from search(pa.Table.from_batches(held))
-
-    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = None
-    for s in range(seeds):
-        mine = own.select(F.col(f"fp{s}").alias("fp"), "doc_id", "comp", "size")
-        entries = index_entries(mine.select("fp").distinct(), max_bits, block).join(mine, "fp")
-        pairs = entries.select("key", "fp", "doc_id", "comp", "size").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, f"a {kind}, b {kind}")
-        more = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = more if found is None else found.union(more)
-    return found.distinct()
-
-
-def undecided(own: DataFrame, near: DataFrame, sound: DataFrame) -> DataFrame:
-    """The rows of ``own`` in groups (``near``: ``node``, ``root``) that verified links leave in parts, with ``comp`` and ``size``."""
-    part = connected_components(sound).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
-    rows = near.select(F.col("node").alias("doc_id"), "root").join(part, "doc_id", "left").select("doc_id", "root", F.coalesce("part", "doc_id").alias("part"))
-    parts = written(rows, "parts")
-    sizes = written(parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    # two that are near have been compared; of three, some may not have been
-    open_ = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all")).where("parts > 1 AND all > 2").select("root")
-    left = written(sizes.join(open_, "root", "left_semi").select("part", F.xxhash64("part").alias("comp"), "size"), "open")
-    return written(own.join(parts.join(left, "part").select("doc_id", "comp", "size"), "doc_id"), "undecided")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of word shingles have at least the given Jaccard similarity."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(w, shingle).astype(np.uint32)).view(np.int32) if (w := word_list(x.as_py())) else np.zeros(0, np.int32) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "grams"])
-
-    ends = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
-    texts = keep_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ends, "doc_id")
-    grams = written(texts.mapInArrow(run, f"doc_id {kind}, grams array<int>"), "grams")
-    both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    return both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = 5, max_bits: int = 7) -> DataFrame:
-    """The rows of ``docs`` that have the least id of their group, with all their columns.
-
-    Documents are linked if their sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more.  Pairs are looked for by several fingerprints,
-    each with its own hashes: of one, 7 bits (four segments) reach about a
-    quarter of the pairs at a similarity of 0.8 and nine tenths at 0.95.  Texts
-    without words are near each other.  Rows without an id stay; rows that
-    repeat an id stay or go together.
-
-    The first search only gives pairs enough to hold together what is near.
-    Where the check of similarity then leaves such a group in parts, it is
-    searched again across the parts: for the nearest few of each part, and at
-    last for every near pair that isn't checked yet and still is in two parts.
-    """
-    units, same = near_units(docs, id_col, text_col, shingle, seeds)
-    checked = written(near_links(units, seeds, max_bits), "pairs")
-    near = written(connected_components(checked), "near")
-    sound = written(verified(checked, docs, id_col, text_col, shingle, similarity), "sound")
-    for most in (FIRST_TRIES, None):
-        left = undecided(units, near, sound)
-        if left.isEmpty():
-            break
-        pairs = written(cross_links(left, seeds, max_bits, most).join(checked, ["a", "b"], "left_anti"), "pairs")
-        sound = sound.union(written(verified(pairs, docs, id_col, text_col, shingle, similarity), "sound"))
-        checked = checked.union(pairs)
-    sound = sound.union(same)
-    roots = written(connected_components(sound), "roots")
-    least = roots.groupBy("root").agg(F.min("node").alias("least"))
-    gone = roots.join(least, "root").where("node != least").select(F.col("node").alias(id_col))
-    return drop_ids(docs, written(gone, "gone"), id_col)
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
