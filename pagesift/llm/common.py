@@ -68,6 +68,13 @@ def is_small(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def fits(df: DataFrame, rows: int, size: Column, most_bytes: int) -> bool:
+    """Whether a table has at most so many rows, and so many bytes in the column that may be long."""
+    if not is_small(df, rows):
+        return False
+    return (df.agg(F.sum(size)).first()[0] or 0) <= most_bytes
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose ``key`` isn't in ``ids``; rows with a null key stay."""
     return docs.join(small_enough(ids.select(key).distinct()), key, "left_anti")
@@ -78,6 +85,12 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(small_enough(ids.select(key).distinct()), key, "left_semi")
 
 
+def hot_keys(side: DataFrame, count: str) -> DataFrame:
+    """The rows of ``side`` whose key has more than its share of all rows; at most ``HOT_SHARE`` at any size."""
+    total = side.agg(F.sum(count)).first()[0] or 0
+    return side.where(F.col(count) > max(HOT_ROWS, total / HOT_SHARE))
+
+
 def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Inner join of many ``rows`` with ``side``, which has a key once and in ``count`` how many rows have it.
 
@@ -85,8 +98,7 @@ def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], count: str) -> D
     at most ``HOT_SHARE`` rows at any size, is broadcast.  All others are joined
     by shuffling.  Both tables should be written ones.
     """
-    total = side.agg(F.sum(count)).first()[0] or 0
-    hot = side.where(F.col(count) > max(HOT_ROWS, total / HOT_SHARE))
+    hot = hot_keys(side, count)
     if hot.isEmpty():
         return rows.join(side, keys)
     others = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(side, keys)
