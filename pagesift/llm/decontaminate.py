@@ -1,22 +1,30 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Of every run of ``window`` words the least hash of its word k-grams is kept.
-Two equal runs have the same k-grams and so keep the same hash; a join on kept
-hashes therefore meets every shared run.  A hit is extended to the whole run
-around its k-gram, which is compared with the benchmark's runs word by word.
+A window of ``window`` words has ``window - k + 1`` k-grams of words, and its
+fingerprint is the leftmost one with the least hash.  As the window slides over a
+text, a fingerprint is kept only where it isn't the one of the window before, so
+few of a text's k-grams are.  Two equal windows have their fingerprint at the
+same place within; a join on the hashes of fingerprints therefore meets every
+shared window.  A hit is extended word by word to the left and to the right, as
+far as any window with this fingerprint reaches, and counts if what is the same
+is as long as a window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, is_small, lower_ascii, small_enough, table, written
+from .common import drop_ids, lower_ascii, small_enough, table, written
 
 GRAM, WINDOW = 5, 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of benchmark hashes or runs that may be broadcast (about 100 bytes each).
-BROADCAST_RUNS = 200_000
+#: Windows that one piece of a text has.
+STRIDE = 16
+#: Rows of benchmark fingerprints, and bytes of the words around them, that may be broadcast.
+BROADCAST_RUNS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -24,21 +32,41 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lower_ascii(text), NOT_WORD), ""), F.array().cast("array<string>"))
 
 
-def least_hash(hashes: Column, start: Column, k: int, length: int) -> Column:
-    """The least k-gram hash of the run of ``length`` words at ``start``, from the words' hashes."""
-    grams = [F.xxhash64(*(F.get(hashes, start + (i + j - 1)) for j in range(k))) for i in range(length - k + 1)]
-    return F.least(*grams) if len(grams) > 1 else grams[0]
-
-
-def runs_of(texts: DataFrame, k: int, length: int) -> DataFrame:
-    """All runs of ``length`` words, with the columns of ``texts``, ``start`` and the run's least ``hash``.
+def winnowed(texts: DataFrame, k: int, length: int) -> DataFrame:
+    """The fingerprints of texts: their columns without ``words``, ``at`` (the place of the k-gram, from 1), ``hash``, and ``here``.
 
-    The words are hashed once; all else happens in compiled code, row by row.
+    ``here`` has the words that a window with this k-gram can have, null beyond
+    the text's ends.  A text is cut into overlapping pieces for ``STRIDE``
+    windows each, so that no row carries a whole text, and a k-gram is hashed
+    once in a piece; all that is done for each word is compiled code.
     """
-    last = F.size("words") - length + 1
-    hashed = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return hashed.select("*", F.explode(starts).alias("start")).withColumn("hash", least_hash(F.col("hashes"), F.col("start"), k, length))
+    n, pad = length - k + 1, max(1, length - k)  # k-grams of a window; words to the left of a piece's first window
+    windows = F.size("words") - length + 1
+    padded = F.concat(F.array_repeat(F.lit(None).cast("string"), pad), F.col("words"))
+    piece = lambda b: F.slice(padded, b * STRIDE + 1, pad + STRIDE + n + length - 2)
+    pieces = F.when(windows > 0, F.transform(F.sequence(F.lit(0), F.floor((windows - 1) / STRIDE).cast("int")), piece)).otherwise(F.array().cast("array<array<string>>"))
+    kept = [c for c in texts.columns if c != "words"]
+    rows = texts.withColumn("windows", windows).select(*kept, "windows", F.posexplode(pieces).alias("block", "near")).withColumn("hashes", F.transform("near", lambda w: F.xxhash64(w)))
+    gram = lambda i: F.xxhash64(*(F.get("hashes", F.lit(pad + i + j)) for j in range(k)))
+    rows = rows.select(*kept, "windows", "block", "near", *(gram(i).alias(f"gram{i + 1}") for i in range(-1, STRIDE + n - 1)))
+    g = lambda i: F.col(f"gram{i + 1}")
+    least = lambda a, b: F.least(*(g(i) for i in range(a, b))) if b - a > 1 else g(a)
+
+    def fingerprint(j: int) -> Column:
+        """Of the window at ``j`` of a piece, if it isn't that of the window before.
+
+        It is new if the k-gram that has left was the least of the window
+        before, or the one that came is less than all others.
+        """
+        value = least(j, j + n)
+        place = reduce(lambda found, i: found.when(g(i) == value, i), range(j + 1, j + n), F.when(g(j) == value, j))
+        there = F.col("block") * STRIDE + j < F.col("windows")
+        new = F.lit(True) if n == 1 else (F.col("block") * STRIDE + j == 0) | (g(j - 1) <= least(j, j + n - 1)) | (g(j + n - 1) < least(j, j + n - 1))
+        return F.when(there & new, F.struct(place.alias("place"), value.alias("hash")))
+
+    found = rows.select(*kept, "block", "near", F.explode(F.array_compact(F.array(*(fingerprint(j) for j in range(STRIDE))))).alias("f"))
+    at = F.col("block") * STRIDE + F.col("f.place") + 1
+    return found.select(*kept, at.alias("at"), F.col("f.hash").alias("hash"), F.slice("near", F.col("f.place") + (pad - (length - k) + 1), 2 * length - k).alias("here"))
 
 
 def benchmark_runs(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -48,20 +76,27 @@ def benchmark_runs(items: DataFrame, item_col: str, text_col: str, window: int)
 
 
 def shared_runs(docs: DataFrame, items: DataFrame, k: int, length: int) -> DataFrame:
-    """``id``, ``start``, ``end``, ``item`` for the runs of ``length`` words that a document shares with an item.
+    """``id``, ``tag``, ``start``, ``end``, ``item`` for what a document shares with an item, ``length`` words or more.
 
-    ``docs`` has ``id`` and ``words``, ``items`` has ``item`` and ``words``.
+    ``docs`` has ``id``, ``tag`` and ``words``, ``items`` has ``item`` and ``words``.
     """
-    run = F.array_join(F.slice("words", F.col("start"), length), " ").alias("run")
-    runs = written(runs_of(items, k, length).select("item", run, "hash").distinct(), "runs")
-    kept = written(runs.select("hash").distinct(), "hashes")
-    if is_small(kept, BROADCAST_RUNS):
-        met = runs_of(docs, k, length).join(F.broadcast(kept), "hash").select("id", "start", run)
+    kept = written(winnowed(items, k, length).select("item", "hash", F.col("here").alias("wanted")).distinct(), "fingerprints")
+    size = kept.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.array_join("wanted", " "))), F.lit(0)).alias("bytes")).first()
+    if size.rows <= BROADCAST_RUNS and size.bytes <= BROADCAST_BYTES:
+        met = winnowed(docs, k, length).join(F.broadcast(kept), "hash")
     else:  # hashes and places alone are shuffled, and the words of the documents met are joined back
-        places = runs_of(docs, k, length).select("id", "start", "hash").join(kept, "hash").groupBy(F.col("id").alias("at")).agg(F.collect_set("start").alias("starts"))
-        met = docs.join(places, F.col("id").eqNullSafe(F.col("at"))).select("id", "words", F.explode("starts").alias("start")).select("id", "start", run)
-    shared = met.join(small_enough(runs.select("item", "run"), BROADCAST_RUNS), "run")
-    return shared.select("id", "start", (F.col("start") + length - 1).alias("end"), "item")
+        places = winnowed(docs, k, length).select("id", "tag", "at", "hash").join(kept.select("hash").distinct(), "hash")
+        places = places.groupBy(F.col("id").alias("id_"), F.col("tag").alias("tag_")).agg(F.collect_set(F.struct("at", "hash")).alias("places"))
+        back = docs.dropDuplicates(["id", "tag"]).join(places, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")))
+        beside = F.concat(F.array_repeat(F.lit(None).cast("string"), length - k), F.col("words"))
+        here = F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["hash"].alias("hash"), F.slice(beside, p["at"], 2 * length - k).alias("here")))
+        met = back.select("id", "tag", F.explode(here).alias("p")).select("id", "tag", "p.*").join(kept, "hash")
+    before = length - k  # words to the left that are compared
+    same = [F.coalesce(F.get("here", F.lit(i)) == F.get("wanted", F.lit(i)), F.lit(False)) for i in range(before + length)]
+    reach = lambda order: reduce(lambda found, x: found.when(~same[x[1]], x[0]), list(enumerate(order))[1:], F.when(~same[order[0]], 0)).otherwise(len(order)) if order else F.lit(0)
+    spans = met.withColumn("l", reach(range(before - 1, -1, -1))).withColumn("r", reach(range(before, before + length)))
+    spans = spans.where((F.col("r") >= k) & (F.col("l") + F.col("r") >= length))
+    return spans.select("id", "tag", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r") - 1).alias("end"), "item")
 
 
 def covered(spans: Column) -> Column:
@@ -79,25 +114,29 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """What each document shares with benchmark items.
 
     One row per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit`` (words
-    inside a shared run), ``spans`` (shared runs as word places from 1), ``items``
-    (ids of the items met, as sorted strings) and ``contaminated``.  A run has
-    ``window`` words; an item of fewer words is one run.  Null and empty texts
-    have no words and are clean; items without words meet nothing, and an item
-    given twice counts once.  Rows that share an id share their hits.
-    Other columns are ignored.
+    inside a shared run), ``spans`` (stretches of shared runs, as word places
+    from 1, which may overlap), ``items`` (ids of the items met, as sorted
+    strings) and ``contaminated``.  A run has ``window`` words; an item of fewer
+    words is one run.  Null and empty texts have no words and are clean; items
+    without words meet nothing, and an item given twice counts once.  Each row
+    has the hits of its own text, also where rows share an id or have none.
+    Other columns are ignored; an empty table gives no rows.
     """
     wanted = written(benchmark_runs(items, item_col, item_text_col, window), "items")
-    words = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    text = F.col(text_col)
+    # rows of one id and text have the same hits, and others don't meet: two hashes tell an id's texts apart
+    tag = F.struct(F.xxhash64(text), F.xxhash64(F.lit("tag"), text)).alias("tag")
+    words = docs.select(F.col(id_col).alias("id"), tag, words_of(text).alias("words"))
     hits = None
     for (length,) in sorted(wanted.select("length").distinct().collect()):  # at most ``window`` rows
         more = shared_runs(words, wanted.where(F.col("length") == length).select("item", "words"), min(k, length), length)
         hits = more if hits is None else hits.unionByName(more)
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    counted = docs.select(F.col(id_col).alias("doc_id"), tag, F.size(words_of(text)).cast("long").alias("n_words"))
     none = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
     if hits is None:
         return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none[0].alias("spans"), none[1].alias("items"), F.lit(False).alias("contaminated"))
-    per = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    joined = counted.join(per, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    per = hits.groupBy("id", F.col("tag").alias("of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    joined = counted.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("of")), "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0))
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"), (n_hit > 0).alias("contaminated"))
 
