@@ -3,8 +3,11 @@
 The pages of a host come from one template.  The host's first page gives its
 tree; the trees of all its pages are aligned with it by simple tree matching,
 and what a place holds is compared over the pages.  Places that say the same on
-nearly all of the host's distinct pages are template, the others are slots.  A page's main text is what its
-slots say in the article.
+nearly all of the host's distinct pages are template, the others are slots.  The
+content is the smallest part of the template that has the slots in which pages
+say different things, menus and other links aside; a page's main text is what
+its slots say there.  An element that says it is the article settles where the
+slots leave room, and stands for the content on hosts too small to compare.
 """
 
 from __future__ import annotations
@@ -20,13 +23,19 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.htmltree import BLOCK, Element, parse
 
-from .common import small_enough, table, written
+from .common import fits, hot_keys, join_hot, table, written
 
 #: A place is template if at least so many distinct pages, and so large a part
-#: of the host's distinct pages, have it and all of them say the same there.
+#: of the host's distinct pages, have it and all of them say the same there.  On
+#: fewer pages equal words are no sign of a template.
 LEAST_PAGES, NEARLY_ALL = 5, 0.9
-#: Hosts whose wrappers (about 1 kB each) may be broadcast.
-BROADCAST_HOSTS = 20_000
+#: Slots with less of a host's varying text than this don't widen the content, but for headings.
+SMALL = 0.02
+#: Hosts whose wrappers may be broadcast, and bytes of these.
+BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 64 << 20
+#: Parts that stand side by side with one label are places of their own up to so many.
+SIDE_BY_SIDE = 8
+PARTS = frozenset("div section article main aside header footer nav form table ul ol dl".split())
 
 #: Elements that are never part of an article, and names that mark such parts.
 ASIDE = frozenset("aside button canvas dialog footer form head iframe input label menu nav noscript object script select style svg template textarea".split())
@@ -69,14 +78,17 @@ def label(e: Element) -> str:
 
 
 def runs(elements: list[Element]) -> list[list[Element]]:
-    """Neighbours of one label together: the repeats of a record are one place of a template."""
+    """Neighbours of one label together: the repeats of a record are one place of a template.
+
+    A few parts of a page with one label may be different things, and stay apart.
+    """
     out: list[list[Element]] = []
     for e in elements:
         if out and label(out[-1][0]) == label(e):
             out[-1].append(e)
         else:
             out.append([e])
-    return out
+    return [x for run in out for x in ([[e] for e in run] if run[0].tag in PARTS and len(run) <= SIDE_BY_SIDE else [run])]
 
 
 class Template:
@@ -87,9 +99,23 @@ class Template:
     def __init__(self, name: int, label: str, below: list[Template]):
         self.name, self.label, self.below = name, label, below
 
+    @property
+    def tag(self) -> str:
+        return self.label.partition(".")[0]
+
+    def paths(self, above: tuple[Template, ...] = ()) -> Iterator[tuple[Template, ...]]:
+        """This place and all below, each with what it lies in, from the top."""
+        yield (*above, self)
+        for x in self.below:
+            yield from x.paths((*above, self))
+
     @classmethod
     def induce(cls, root: Element) -> str:
-        """The template that one page's tree gives, as JSON: lists of a label and what is below."""
+        """The template that one page's tree gives, as JSON: lists of a label and what is below.
+
+        What lies deeper than 100 elements belongs to the place there: trees are
+        walked by recursion, and only broken pages are that deep.
+        """
 
         def made(e: Element, depth: int) -> list:
             return [label(e), [made(run[0], depth + 1) for run in runs(e.elements())] if depth < 100 else []]
@@ -155,6 +181,19 @@ def aligned(skeleton: str, root: Element) -> dict[int, list[Element]]:
     return found
 
 
+def unread(root: Element) -> set[int]:
+    """The elements that lie in asides or links."""
+    out: set[int] = set()
+    stack = [(root, False)]
+    while stack:
+        e, inside_ = stack.pop()
+        inside_ = inside_ or e is not root and (e.tag == "a" or is_aside(e))
+        if inside_:
+            out.add(id(e))
+        stack.extend((c, inside_) for c in e.elements())
+    return out
+
+
 def said(elements: list[Element]) -> int:
     """A number for what the elements at a place say; 0 if nothing."""
     text = "\0".join(own_text(e) for e in elements)
@@ -213,79 +252,149 @@ def slot_text(parts: list[Element], template: set[int]) -> str:
     return " ".join(blocks)
 
 
-def main_text(source: str | None, skeleton: str | None = None, template: list[int] | None = None) -> str:
-    """The main text of one page; ``template`` names the places of the skeleton that aren't slots."""
+def decide(template: Template, stats: dict[int, tuple[float, int, int, float]], pages: int) -> tuple[list[int], list[int]]:
+    """Places of a host's template that aren't slots, and those that hold the content, if its pages tell.
+
+    ``stats`` has for a place on how many distinct pages it is, the least and
+    the greatest of what they say, and how many characters of that can be read.
+    """
+    varied = {p: chars for p, (_, lo, hi, chars) in stats.items() if lo != hi}
+    if pages < LEAST_PAGES or not varied:  # pages that say the same everywhere show no template
+        return [], []
+    constant = sorted(p for p, (n, lo, hi, _) in stats.items() if lo == hi != 0 and n >= max(LEAST_PAGES, NEARLY_ALL * pages))
+    mass, paths = sum(varied.values()), {path[-1].name: path for path in template.paths()}
+    wide = [paths[p] for p, chars in varied.items() if chars and (chars >= SMALL * mass or re.fullmatch("h[1-6]", paths[p][-1].tag))]
+    if not wide:
+        return constant, []
+    shared = 0
+    while all(len(x) > shared + 1 and x[shared] is wide[0][shared] for x in wide):  # a slot itself isn't where slots lie
+        shared += 1
+    content = wide[0][: max(1, shared)]
+    articles = [x for x in content if x.tag in ("article", "main")]
+    if not articles:  # which of those inside have most of what varies there
+        below = [path[-1] for path in paths.values() if path[-1].tag in ("article", "main") and content[-1] in path and not any(x.tag in ("article", "main") for x in path[:-1])]
+        held = sum(chars for p, chars in varied.items() if any(x in below for x in paths[p]))
+        articles = below if held >= 0.5 * mass else []
+    found = [x.name for x in articles[:1] if x in content] or [x.name for x in articles] or [content[-1].name]
+    return constant, [p for p in found if p in stats and stats[p][0] >= 0.5 * pages]
+
+
+def main_text(source: str | None, skeleton: str | None = None, template: list[int] | None = None, content: list[int] | None = None) -> str:
+    """The main text of one page; ``template`` names the places of the skeleton that aren't slots, ``content`` those of the content."""
     if not source:
         return ""
     root = parse(source)
     fixed: set[int] = set()
-    if skeleton and template:
-        wanted = set(template)
-        fixed = {id(e) for name, found in aligned(skeleton, root).items() if name in wanted for e in found}
-    return slot_text(main_parts(root), fixed)
+    parts: list[Element] = []
+    if skeleton and (template or content):
+        wanted, region = set(template or ()), set(content or ())
+        for name, found in aligned(skeleton, root).items():
+            if name in wanted:
+                fixed.update(id(e) for e in found)
+            if name in region:
+                parts.extend(e for e in found if not is_aside(e))
+    if not parts or any(e.tag in ("article", "main") for e in parts):  # a page may have more articles than the first one
+        parts = main_parts(root)
+    return slot_text(sorted(parts, key=lambda e: e.place), fixed)
 
 
 def host_of(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^\w+://([^/?#]*)", 1)), F.lit(""))
 
 
+def with_wrapper(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """``rows`` with the wrapper of their host, of which ``wrappers`` has one for each, with the number of its ``rows``.
+
+    Wrappers are broadcast if all fit; else those of hosts with many pages are,
+    and pages of other hosts are shuffled.
+    """
+    size = F.octet_length("skeleton")
+    if fits(wrappers, BROADCAST_HOSTS, size, BROADCAST_BYTES):
+        return rows.join(F.broadcast(wrappers.drop("rows")), "host")
+    if fits(hot_keys(wrappers, "rows"), BROADCAST_HOSTS, size, BROADCAST_BYTES):
+        return join_hot(rows, wrappers, ["host"], "rows").drop("rows")
+    return rows.join(wrappers.drop("rows"), "host")
+
+
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """``host``, ``skeleton`` and ``template`` from all of a table of ``page_id``, ``host``, ``html``.
+    """``host``, ``skeleton``, ``template``, ``content`` and ``rows``, of every host of a table of ``page_id``, ``host``, ``html``.
 
     Pages of the same bytes count as one.
     """
+    page = F.coalesce("html", F.lit(""))
+    counts = written(pages.groupBy("host", F.xxhash64(page).alias("digest"), (page == "").alias("blank")).agg(F.count(F.lit(1)).alias("copies")), "counts")
+    copied = written(counts.where("copies > 1 AND NOT blank").select("host", "digest", "copies"), "copied")
+    hosts = counts.groupBy("host").agg(F.sum("copies").alias("rows"), F.sum(F.when(F.col("blank"), 0).otherwise(1)).alias("pages"))
     full = pages.where("html IS NOT NULL AND html != ''").withColumn("digest", F.xxhash64("html"))
-    counts = written(full.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("copies")), "counts")
-    copied = written(counts.where("copies > 1"), "copied")
-    sizes = counts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     first = full.groupBy("host").agg(F.min_by("html", F.struct("page_id", "digest")).alias("html"))
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([Template.induce(parse(x.as_py())) for x in b.column(1)], pa.string())], ["host", "skeleton"])
 
-    made = written(first.mapInArrow(skeletons, "host string, skeleton string"), "skeletons")
+    made = written(first.mapInArrow(skeletons, "host string, skeleton string").join(hosts, "host", "right"), "skeletons")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], list] = {}  # of a task: pages, least and greatest of what is said
+        seen: dict[tuple[str, int], list] = {}  # of a task: pages, least and greatest of what is said, characters
 
         def out() -> pa.RecordBatch:
             rows = [(h, p, *x) for (h, p), x in seen.items()]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["host", "place", "n", "lo", "hi"])
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "place", "n", "lo", "hi", "chars"])
 
         for b in batches:
             for host, skeleton, source, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for place, elements in aligned(skeleton, parse(source)).items():
+                root = parse(source)
+                skip = unread(root)
+                for place, elements in aligned(skeleton, root).items():
                     s = said(elements)
+                    chars = share * sum(len(own_text(e)) for e in elements if id(e) not in skip)
                     if x := seen.get((host, place)):
-                        x[:] = x[0] + share, min(x[1], s), max(x[2], s)
+                        x[:] = x[0] + share, min(x[1], s), max(x[2], s), x[3] + chars
                     else:
-                        seen[host, place] = [share, s, s]
+                        seen[host, place] = [share, s, s, chars]
             if len(seen) > 100_000:
                 yield out()
         if seen:
             yield out()
 
     # each of n copies counts for 1/n, so that they are one page together
-    rows = full.join(small_enough(copied), ["host", "digest"], "left").join(small_enough(made, BROADCAST_HOSTS), "host")
-    rows = rows.select("host", "skeleton", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
-    places = rows.mapInArrow(compare, "host string, place int, n double, lo long, hi long").groupBy("host", "place").agg(F.round(F.sum("n")).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    constant = places.where((F.col("n") >= LEAST_PAGES) & (F.col("lo") == F.col("hi")) & (F.col("lo") != 0))
-    constant = constant.join(sizes, "host").where(F.col("n") >= NEARLY_ALL * F.col("pages"))
-    # pages that say the same everywhere show no template
-    varied = places.where("lo != hi").select("host").distinct()
-    template = constant.join(varied, "host", "left_semi").groupBy("host").agg(F.array_sort(F.collect_list("place")).alias("template"))
-    return written(made.join(template, "host", "left"), "wrappers")
+    rows = join_copies(full, copied)
+    rows = with_wrapper(rows, made.drop("pages")).select("host", "skeleton", "html", (1 / F.col("copies")).alias("share"))
+    places = rows.mapInArrow(compare, "host string, place int, n double, lo long, hi long, chars double").groupBy("host", "place").agg(F.round(F.sum("n")).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("chars").alias("chars"))
+    per_host = places.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "n", "lo", "hi", "chars"))).alias("places"))  # as many as the host's first page has
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for skeleton, pages, stats in zip(*(b.column(c).to_pylist() for c in ("skeleton", "pages", "places")), strict=True):
+                found.append(decide(Template.load(skeleton), {x["place"]: (x["n"], x["lo"], x["hi"], x["chars"]) for x in stats}, pages) if skeleton and stats else ([], []))
+            lists = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("skeleton"), *lists, b.column("rows")], ["host", "skeleton", "template", "content", "rows"])
+
+    told = made.join(per_host, "host", "left").select("host", "skeleton", "pages", "places", "rows")
+    return written(told.mapInArrow(decided, "host string, skeleton string, template array<int>, content array<int>, rows long"), "wrappers")
+
+
+def join_copies(full: DataFrame, copied: DataFrame) -> DataFrame:
+    """``full`` with ``copies``, how many rows have a page's bytes."""
+    side = copied.select(F.col("host").alias("host_"), F.col("digest").alias("digest_"), "copies")
+    if fits(copied, BROADCAST_HOSTS * 20, F.octet_length("host"), BROADCAST_BYTES):
+        side = F.broadcast(side)
+    found = full.join(side, (F.col("host") == F.col("host_")) & (F.col("digest") == F.col("digest_")), "left")
+    return found.withColumn("copies", F.coalesce("copies", F.lit(1))).drop("host_", "digest_")
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url`` and ``text`` for every row of ``pages``.
 
-    A null, empty or unreadable page has an empty text, and one without an
-    article or other main part has what holds most of its text.  Pages without
-    a url are taken as one host.  Repeated rows each give a row; other columns
-    are ignored.
+    A null, empty or unreadable page has an empty text.  A page that doesn't
+    align with its host's content, or is of a host with fewer than
+    ``LEAST_PAGES`` distinct pages, has the text of its article or main part,
+    and without one that of what holds most of its text.  Pages without a url
+    are taken as one host.  Repeated rows each give a row; other columns are
+    ignored; an empty table gives no rows.
     """
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
     wrappers = induce_wrappers(own)
@@ -293,11 +402,11 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(*x) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            texts = [main_text(*x) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = own.join(small_enough(wrappers, BROADCAST_HOSTS), "host", "left")
-    return joined.select("page_id", "url", "html", "skeleton", "template").mapInArrow(run, f"page_id {kind}, url string, text string")
+    joined = with_wrapper(own, wrappers)
+    return joined.select("page_id", "url", "html", "skeleton", "template", "content").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
