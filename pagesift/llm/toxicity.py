@@ -3,9 +3,9 @@
 A word's embedding is the sum of two rows of a hashed table, one of the word and
 one of its first letters.  Filters over one, two and three words run over the
 whole text; the strongest answer of each filter goes into a logistic layer.  The
-model is fitted on a bounded sample of labelled documents of at most
-``FIT_CHARS`` characters.  The decision threshold is set for each language, which
-is told from the text itself, on all other labelled documents of any length.
+model is fitted on whole texts of a bounded sample of labelled documents.  The
+decision threshold is set for each language, which is told from the text itself,
+on all other labelled documents.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -26,8 +27,8 @@ from .quality import held_out
 #: Rows of the embedding table, its width, filters of each width, and filter widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 16, 8, (1, 2, 3)
 STEM = 4
-#: Labelled documents per class to fit on; longer texts aren't fitted on.
-FIT_ROWS, FIT_CHARS = 4_000, 20_000
+#: The sample to fit on: labelled documents of each class, and bytes of all their texts together.
+FIT_ROWS, FIT_BYTES = 2_000, 32 << 20
 #: Logits are counted in bins, so many to one, up to a bound on either side.
 BINS, BOUND = 64, 100
 #: Documents of each class that a language needs for a threshold of its own.
@@ -35,6 +36,8 @@ LANGUAGE_ROWS = 30
 #: Passes over the sample: so many that it is seen SHOWN times in all, within bounds.
 EPOCHS, SHOWN, BATCH, RATE, SEED = (5, 25), 40_000, 32, 0.1, 11
 THRESHOLD = 0.3
+#: Rows of the embedding table that fewer documents of the sample name stay zero, so that no document is learnt by its rarest words.
+LEAST_DOCS = 5
 WORDS_KEPT = 200_000
 STEP = 1 << 16
 
@@ -116,6 +119,11 @@ class Net:
 def train(docs: list[np.ndarray], y: np.ndarray) -> Net:
     """Fit a net by stochastic gradient descent with step sizes by coordinate."""
     net, rng = Net.start(), np.random.default_rng(SEED)
+    named = np.zeros(BUCKETS, np.int64)
+    for ids in docs:
+        named[np.unique(np.concatenate([ids >> 20, ids & 0xFFFFF]))] += 1
+    rare = named < LEAST_DOCS
+    net.table[rare] = 0
     squares = {k: np.full(v.shape, 1e-3, np.float32) for k, v in (("table", net.table), ("filters", net.filters), ("bias", net.bias), ("out", net.out))}
     offset_sq = 1e-3
     for epoch in range(min(max(EPOCHS[0], SHOWN // max(1, len(docs))), EPOCHS[1])):
@@ -156,6 +164,7 @@ def train(docs: list[np.ndarray], y: np.ndarray) -> Net:
             name, back = np.unique(np.concatenate(rows), return_inverse=True)
             total = np.zeros((len(name), DIM), np.float32)
             np.add.at(total, back, np.concatenate(grads))
+            total[rare[name]] = 0
             squares["table"][name] += total**2
             net.table[name] -= rate * total / np.sqrt(squares["table"][name])
             offset_sq += float(g.sum()) ** 2
@@ -214,31 +223,46 @@ class Scorer:
 
 
 def labelled(labels: DataFrame) -> DataFrame:
-    """``label_id``, ``y``, a hash, and whether a label only sets thresholds, of all labels that may teach."""
+    """``label_id``, ``y``, a hash, and whether a label only sets thresholds, of all labels that may teach.
+
+    A document that is labelled more than once is toxic if one of its labels says so.
+    """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("y")).where("y IS NOT NULL").where(~held_out("label_id", 4, 2))
-    known = known.withColumn("h", F.xxhash64("label_id"))
+    known = known.groupBy("label_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("label_id"))
     return known.withColumn("sets", F.pmod("h", F.lit(5)) == 0)
 
 
-def sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple[list[tuple[list[int], int, int]], DataFrame]:
+def sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple[list[tuple[np.ndarray, int, int]], DataFrame]:
     """Word numbers, label and hash of at most FIT_ROWS documents of each class, and the table of their ids.
 
-    Which documents are taken follows from a hash of their id.
+    Which documents are taken follows from a hash of their id: the first
+    FIT_ROWS, as far as their texts have FIT_BYTES bytes together; a document
+    with more than that alone is passed over.  Of rows that repeat an id one is
+    taken.  A document's words come as its distinct word numbers and the place
+    of each word's number among them.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") <= FIT_CHARS)
-    short = known.where(~F.col("sets")).join(texts.select(F.col("doc_id").alias("label_id")), "label_id", "left_semi")
-    parts = [short.where(F.col("y") == y).orderBy("h", "label_id").limit(FIT_ROWS) for y in (0, 1)]
-    chosen = written(parts[0].unionByName(parts[1]), "chosen")
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("h", "text", "y")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sized = known.where(~F.col("sets")).join(texts.select("doc_id", F.octet_length("text").alias("n")), F.col("doc_id") == F.col("label_id"))
+    sized = sized.groupBy("label_id", "h", "y").agg(F.max("n").alias("n")).where(F.col("n") <= FIT_BYTES)
+    parts = [sized.where(F.col("y") == y).orderBy("h", "label_id").limit(FIT_ROWS) for y in (0, 1)]
+    together = F.sum("n").over(W.partitionBy("y").orderBy("h", "label_id"))  # over the first FIT_ROWS only
+    chosen = written(parts[0].unionByName(parts[1]).withColumn("together", together).where(F.col("together") <= FIT_BYTES), "chosen")
+    rows = texts.join(F.broadcast(chosen.select("label_id", "h", "y")), F.col("doc_id") == F.col("label_id")).select("label_id", "h", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = [WORD.findall(x.as_py().lower()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[word_ids(w) for w in words] for words in cut], pa.list_(pa.int64())), b.column(2)], ["h", "ids", "y"])
+            names, places = [], []
+            for x in b.column(3):
+                name, place = np.unique(np.array([word_ids(w) for w in WORD.findall(x.as_py().lower())], np.int64), return_inverse=True)
+                names.append(name)
+                places.append(place.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["label_id", "h", "y", "names", "places"])
 
-    found = rows.mapInArrow(run, "h long, ids array<long>, y int").toArrow()
-    out = [(i.values.to_numpy(), y.as_py(), h.as_py()) for h, i, y in zip(*(found.column(c) for c in ("h", "ids", "y")), strict=True)]
-    return sorted(out, key=lambda x: (x[2], len(x[0]))), chosen.select("label_id").distinct()
+    kind = known.schema["label_id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"label_id {kind}, h long, y int, names array<long>, places array<int>")
+    one = found.groupBy("label_id", "h", "y").agg(F.min(F.struct("names", "places")).alias("x")).select("h", "y", "x.names", "x.places").toArrow()
+    out = [(n.values.to_numpy()[p.values.to_numpy()], y.as_py(), h.as_py()) for h, y, n, p in zip(*(one.column(c) for c in ("h", "y", "names", "places")), strict=True)]
+    return sorted(out, key=lambda x: (x[2], len(x[0]))), chosen.select("label_id")
 
 
 def fit(rows: list) -> tuple[Net, bool]:
@@ -256,7 +280,10 @@ def shifts(counts: np.ndarray) -> np.ndarray:
     """What to add to a logit, by language, from rows of language, bin, label, whether fitted on, and count.
 
     Fitted documents only say how frequent each class is: the others of a class
-    stand for all of it.
+    stand for all of it.  A language with fewer than LANGUAGE_ROWS documents of
+    a class among these has the threshold of all languages, as so few tell
+    nothing; where even all languages have fewer toxic ones, fitted documents
+    set the threshold as well.
     """
     lang, at, y, fitted, n = counts.T
     at = (at + 0.5) / BINS
@@ -283,10 +310,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     ``labels`` has ``doc_id`` and ``toxic``; null labels, and those of documents
     with crc32(doc_id) mod 4 = 2, teach nothing.  Of the others at most
-    ``FIT_ROWS`` of each class, of texts of at most ``FIT_CHARS`` characters, are
-    fitted on; all that aren't set the thresholds, whatever their length.  A
-    null text counts as empty, and a text without words gets what the net says
-    of no words.  Repeated rows each give a row; other columns are ignored.
+    ``FIT_ROWS`` of each class, with at most ``FIT_BYTES`` of text together, are
+    fitted on; all that aren't set the thresholds.  A document that is labelled
+    twice is toxic if one of its labels says so.  A null text counts as empty,
+    and a text without words gets what the net says of no words.  Repeated rows
+    each give a row, and each counts for thresholds; without labels of both
+    classes the net says nothing, and documents are clean.  Other columns are
+    ignored; an empty table gives no rows.
     """
     known = labelled(labels)
     rows, fitted = sample(docs, known, id_col, text_col)

@@ -122,6 +122,27 @@ def test_copies_and_optional_places_are_no_template(spark):
     assert all(got[100 + k] == f"Title {k} {'Summary ' if k < 6 else ''}Body {k}" for k in range(40))
 
 
+def test_content_is_found_without_telling_names(spark):
+    """The article is a plain part among constant parts of the same label, beside a menu and a list of links."""
+    part = "<div><p>Welcome to our site</p><p>We are open daily</p></div>"
+    page = lambda k: f"<body>{part}<div><div><a href='/{k}'>Link {k}</a> <a href='/x'>more {k}</a></div></div><div><h2>Title {k}</h2><div><p>Body {k} one</p><p>and {k} two</p></div></div><div><p>All rights reserved</p></div></body>"
+    rows = [(k, "http://plain.x/", page(k)) for k in range(30)] + [(100, "http://small.x/", "<body><div>menu</div><main><p>own</p></main></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages.repartition(4)).collect()}
+    assert all(got[k] == f"Title {k} Body {k} one and {k} two" for k in range(30))
+    assert got[100] == "own"
+
+
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_wrappers_that_are_not_broadcast(spark, monkeypatch, rows):
+    from pagesift.llm import wrapper
+
+    monkeypatch.setattr(wrapper, "BROADCAST_HOSTS", rows)
+    pages = spark.createDataFrame([(k, f"http://h{k % 3 if k < 300 else k}.x/", f"<article><p>Always</p><h1>T {k}</h1></article>") for k in range(320)] + [(999, "http://null.x/", None)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages.repartition(4)).collect()}
+    assert len(got) == 321 and all(got[k] == (f"T {k}" if k < 300 else f"Always T {k}") for k in range(320)) and got[999] == ""
+
+
 def labelled(spark, n=900):
     r = random.Random(4)
     word = lambda: "".join(r.choice(["th", "er", "in", "on", "at", "es"]) for _ in range(r.randrange(1, 4)))
@@ -182,12 +203,36 @@ def test_toxicity(spark, monkeypatch):
     assert not any(r.predicted for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_learns_nothing_from_held_out_labels(spark, monkeypatch):
+    """Nor from null labels; rows and labels that repeat an id don't multiply the sample."""
+    monkeypatch.setattr(toxicity, "SHOWN", 2000)
+    docs, labels = labelled(spark, 300)
+    lied = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    null = labels.limit(40).withColumn("toxic", F.lit(None).cast("int"))
+    taken, plain = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows: (taken.append(rows), plain(rows))[1])
+    some = docs.where("doc_id % 7 = 0 AND doc_id < 100")
+    runs = [{r.doc_id: r.score for r in toxicity.toxicity_scores(d, x).collect()} for d, x in ((docs, labels), (docs, lied), (docs.union(some).union(some), labels.union(labels.limit(50)).union(null)))]
+    assert runs[0] == pytest.approx(runs[1])
+    assert [[(x[2], x[1]) for x in rows] for rows in taken] == [[(x[2], x[1]) for x in taken[0]]] * 3
+
+
+def test_the_sample_is_bounded_and_takes_long_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * (50_000 if k == 3 else 20)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(400)], "doc_id long, toxic int")
+    known = toxicity.labelled(labels)
+    size = lambda: sorted(len(x[0]) for x in toxicity.sample(docs, known, "doc_id", "text")[0])
+    assert size()[-1] == 50_000 or 3 in {r.label_id for r in known.where("sets").collect()} or zlib.crc32(b"3") % 4 == 2
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 2_000)
+    assert size() == [20] * 40
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 7)
+    assert size() == [20] * 14
+
+
 def test_thresholds_come_from_all_other_labels(spark, monkeypatch):
     """Long texts and rows beyond the fitted ones set thresholds, for a rare language too."""
     monkeypatch.setattr(toxicity, "SHOWN", 3000)
     monkeypatch.setattr(toxicity, "FIT_ROWS", 60)
-    monkeypatch.setattr(toxicity, "FIT_CHARS", 500, raising=False)
-    monkeypatch.setattr(toxicity, "THRESHOLD_ROWS", 60, raising=False)
     docs, labels = labelled(spark)
     rare = [(20_000 + k, ("der hund und die katze " * (40 if k % 2 else 4)) + ("idiotron" if k % 4 < 2 else "")) for k in range(160)]
     docs = docs.select("doc_id", "text").union(spark.createDataFrame(rare, "doc_id long, text string"))
