@@ -1,479 +1,245 @@
-"""The part of XPath and CSS that rules use, over trees of ``htmltree``.
-
-A path is compiled once and then evaluated on many trees.  What isn't supported
-is an error when it is compiled, on the driver, before any page is read.
+"""The forms of XPath and CSS that rules have, as expressions over a page's nodes.
+
+A path becomes a chain of filters over the array that ``nodes.page_nodes`` gives.
+What isn't one of these forms is an error on the driver, before any page is read:
+steps by ``/`` and ``//``, names, ``*``, ``text()``, ``..``, ``@name`` at the end,
+unions, a number for a path in brackets, and conditions on attributes, texts,
+children and places; for CSS names, ids, classes, attributes, places among
+siblings, the four combinators and commas.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import partial, reduce
 from typing import NamedTuple
 
-from .htmltree import Element
-
-
-class PathError(ValueError):
-    """A path or selector that can't be compiled."""
-
-
-class Text(NamedTuple):
-    parent: Element
-    index: int
-
-    @property
-    def value(self) -> str:
-        return self.parent.children[self.index]
-
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-class Attribute(NamedTuple):
-    parent: Element
-    name: str
+from .nodes import TEXT, is_element, string_value, within
 
-    @property
-    def value(self) -> str:
-        return self.parent.attrs[self.name]
+Test = Callable[[Column, Column], Column]  # of all nodes and one of them
 
 
-Node = Element | Text | Attribute
-
-
-def string_of(x) -> str:
-    """The string value of a node or a scalar."""
-    if isinstance(x, Element):
-        return x.text()
-    if isinstance(x, Text | Attribute):
-        return x.value
-    if isinstance(x, bool):
-        return "true" if x else "false"
-    if isinstance(x, float):
-        return str(int(x)) if x == int(x) else str(x)
-    return str(x)
-
+class PathError(ValueError):
+    """A path or selector that isn't of a form that rules have."""
 
-def depth(e: Element | None) -> int:
-    n = 0
-    while e is not None:
-        n, e = n + 1, e.parent
-    return n
 
+def union(nodes: Column, parts: list[Column]) -> Column:
+    """Nodes of several arrays once each, in document order; a node's place is its index."""
+    places = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.transform(p, lambda n: n["pos"]) for p in parts)))))
+    return F.transform(places, lambda p: F.element_at(nodes, p))
 
-def order(x: Node) -> tuple:
-    """Sorts nodes as the document has them."""
-    if isinstance(x, Element):
-        return (x.place, -(10**9), 0, "")
-    if isinstance(x, Attribute):
-        return (x.parent.place, -(10**8), 0, x.name)
-    before = next((c for c in reversed(x.parent.children[: x.index]) if isinstance(c, Element)), None)
-    last = x.parent.place
-    while before is not None:
-        last = before.place
-        before = next((c for c in reversed(before.children) if isinstance(c, Element)), None)
-    return (last, -depth(x.parent), x.index, "")
 
+class Found(NamedTuple):
+    """The nodes that a path finds, in document order, and how one of them is shown."""
 
-def unique(nodes: list[Node]) -> list[Node]:
-    keyed = {(o := order(n))[:3] + (o[3],): n for n in nodes}
-    return [keyed[k] for k in sorted(keyed)]
+    found: Callable[[Column], Column]
+    shown: Test
 
 
-_TOKEN = re.compile(r"""\s*(?:(\d+(?:\.\d+)?)|"([^"]*)"|'([^']*)'|([A-Za-z_][\w.-]*)|(//|::|!=|<=|>=|\.\.|[/|()\[\]@.*=<>,+-]))""")
-AXES = ("child", "descendant", "descendant-or-self", "self", "parent", "ancestor", "ancestor-or-self", "following-sibling", "preceding-sibling", "attribute")
-FUNCTIONS = {"contains": 2, "starts-with": 2, "not": 1, "last": 0, "position": 0, "normalize-space": None, "string": None, "count": 1, "string-length": None, "name": None, "true": 0, "false": 0, "concat": None}
+_STRING = r"""(?:"([^"]*)"|'([^']*)')"""
+_STEP = re.compile(r"""(//|/)?\s*(\.\.|\.|@?[A-Za-z_][\w.:-]*|@?\*|text\(\)|node\(\))(\(\))?\s*((?:\[(?:[^\]"']|"[^"]*"|'[^']*')*\]\s*)*)""")
+_CONDITION = re.compile(r"""\[((?:[^\]"']|"[^"]*"|'[^']*')*)\]""")
+_PART = re.compile(r"""(?:[^|"'\[\]]|"[^"]*"|'[^']*'|\[(?:[^\]"']|"[^"]*"|'[^']*')*\])+""")
+_GROUP = re.compile(r"\((.*)\)\s*\[\s*(\d+|last\(\))\s*\]\s*(.*)", re.DOTALL)
 
 
-class Step(NamedTuple):
-    axis: str
-    test: str  # a name, "*", "text()" or "node()"
-    conditions: tuple[Callable, ...]
+def inside(n: Column, c: Column) -> Column:
+    return (n["pos"] > c["pos"]) & (n["pos"] <= c["last"])
 
 
-class _Compiler:
-    """Turns a path into a function of (node, position, size)."""
+def operand(text: str) -> Test:
+    """What a condition compares, as all strings that it can be."""
+    if text.startswith("@"):
+        return lambda nodes, n: F.filter(F.array(n["attrs"][text[1:].lower()]), lambda v: v.isNotNull())
+    if text == "text()":
+        return lambda nodes, n: F.transform(F.filter(within(nodes, n), lambda t: (t["tag"] == TEXT) & (t["parent"] == n["pos"])), lambda t: t["text"])
+    if text == ".":
+        return lambda nodes, n: F.array(string_value(nodes, n))
+    raise PathError(f"unsupported {text!r}")
 
-    def __init__(self, source: str):
-        self.tokens: list[tuple[str, str]] = []
-        at = 0
-        source = source.rstrip()
-        while at < len(source):
-            m = _TOKEN.match(source, at)
-            if not m:
-                raise PathError(f"unsupported {source[at:].strip()[:20]!r}")
-            kind = ("number", "string", "string", "name", "sign")[m.lastindex - 1]
-            self.tokens.append((kind, m[m.lastindex]))
-            at = m.end()
-        self.at = 0
 
-    def peek(self, ahead: int = 0) -> tuple[str, str]:
-        return self.tokens[self.at + ahead] if self.at + ahead < len(self.tokens) else ("end", "")
+def condition(text: str) -> Test:
+    """A condition that one node meets by itself."""
+    text = text.strip()
+    if len(parts := re.split(rf"\s+and\s+(?=(?:[^\"']|{_STRING.replace('(', '(?:').replace('(?:?:', '(?:')})*$)", text)) > 1:
+        tests = [condition(x) for x in parts]
+        return lambda nodes, n: reduce(lambda a, b: a & b, (t(nodes, n) for t in tests))
+    if m := re.fullmatch(r"not\s*\((.*)\)", text, re.DOTALL):
+        inner = condition(m[1])
+        return lambda nodes, n: ~inner(nodes, n)
+    if m := re.fullmatch(rf"(contains|starts-with)\s*\(\s*(@[\w:-]+|text\(\)|\.)\s*,\s*{_STRING}\s*\)", text):
+        of, value = operand(m[2]), m[3] if m[3] is not None else m[4]
+        holds = (lambda v: v.contains(value)) if m[1] == "contains" else (lambda v: v.startswith(value))
+        return lambda nodes, n: F.exists(of(nodes, n), holds)
+    if m := re.fullmatch(rf"(@[\w:-]+|text\(\)|\.)\s*(?:(!?=)\s*{_STRING})?", text):
+        of, value = operand(m[1]), m[3] if m[3] is not None else m[4]
+        return lambda nodes, n: F.exists(of(nodes, n), lambda v: F.lit(True) if not m[2] else v == value if m[2] == "=" else v != value)
+    if re.fullmatch(r"[A-Za-z][\w-]*", text):
+        return lambda nodes, n: F.exists(within(nodes, n), lambda c: (c["parent"] == n["pos"]) & (c["tag"] == text.lower()))
+    raise PathError(f"unsupported condition [{text}]")
 
-    def take(self, sign: str | None = None) -> str:
-        kind, value = self.peek()
-        if kind == "end" or sign is not None and value != sign:
-            raise PathError(f"expected {sign or 'more'} before {value or 'the end'!r}")
-        self.at += 1
-        return value
 
-    def accept(self, *signs: str) -> str | None:
-        kind, value = self.peek()
-        if kind in ("sign", "name") and value in signs:
-            self.at += 1
-            return value
+def placed(found: Column, text: str) -> Column | None:
+    """Of nodes of one name those at a place among their siblings, if the condition is a place."""
+    if not re.fullmatch(r"\d+|last\(\)", text.strip()):
         return None
+    if text.strip() == "last()":
+        return F.filter(found, lambda n: ~F.exists(found, lambda m: (m["parent"] == n["parent"]) & (m["pos"] > n["pos"])))
+    return F.filter(found, lambda n: F.size(F.filter(found, lambda m: (m["parent"] == n["parent"]) & (m["pos"] <= n["pos"]))) == int(text))
 
-    def whole(self) -> Callable:
-        out = self.either()
-        if self.peek()[0] != "end":
-            raise PathError(f"unsupported {self.peek()[1]!r}")
-        return out
-
-    def either(self) -> Callable:
-        left = self.both()
-        while self.peek() == ("name", "or"):
-            self.at += 1
-            left = (lambda a, b: lambda *x: truth(a(*x)) or truth(b(*x)))(left, self.both())
-        return left
-
-    def both(self) -> Callable:
-        left = self.compared()
-        while self.peek() == ("name", "and"):
-            self.at += 1
-            left = (lambda a, b: lambda *x: truth(a(*x)) and truth(b(*x)))(left, self.compared())
-        return left
-
-    def compared(self) -> Callable:
-        left = self.union()
-        if sign := self.accept("=", "!=", "<", ">", "<=", ">="):
-            right = self.union()
-            return lambda *x: compare(sign, left(*x), right(*x))
-        return left
-
-    def union(self) -> Callable:
-        arms = [self.value()]
-        while self.accept("|"):
-            arms.append(self.value())
-        if len(arms) == 1:
-            return arms[0]
-
-        def merged(*x):
-            found = [arm(*x) for arm in arms]
-            if not all(isinstance(f, list) for f in found):
-                raise PathError("a union of values that aren't nodes")
-            return unique([n for f in found for n in f])
-
-        return merged
-
-    def value(self) -> Callable:
-        kind, value = self.peek()
-        if kind == "number":
-            self.at += 1
-            return lambda *x: float(value)
-        if kind == "string":
-            self.at += 1
-            return lambda *x: value
-        if value == "(":
-            self.at += 1
-            inner = self.either()
-            self.take(")")
-            conditions = self.conditions()
-            return self.rest(lambda *x: filtered(inner(*x), conditions), after=True)
-        if kind == "name" and self.peek(1)[1] == "(" and value not in ("text", "node"):
-            return self.call()
-        return self.path()
-
-    def call(self) -> Callable:
-        name = self.take()
-        if name not in FUNCTIONS:
-            raise PathError(f"unsupported function {name}()")
-        self.take("(")
-        args = []
-        while not self.accept(")"):
-            if args:
-                self.take(",")
-            args.append(self.either())
-        if FUNCTIONS[name] is not None and len(args) != FUNCTIONS[name]:
-            raise PathError(f"{name}() takes {FUNCTIONS[name]} arguments")
-        return lambda *x: call(name, [a(*x) for a in args], *x)
-
-    def path(self) -> Callable:
-        if self.peek()[1] in ("/", "//"):
-            return self.rest(lambda node, *_: [root(node)], after=True, absolute=True)
-        first = self.step()
-        return self.rest(lambda node, *_: walk([node], first), after=True)
-
-    def rest(self, start: Callable, after: bool, absolute: bool = False) -> Callable:
-        steps: list[Step] = []
-        if absolute and self.peek()[1] == "/" and self.peek(1)[0] == "end":
-            self.take()
-            return start
-        while sign := self.accept("/", "//"):
-            if sign == "//":
-                steps.append(Step("descendant-or-self", "node()", ()))
-            steps.append(self.step())
-        if not steps:
-            return start
-
-        def run(*x):
-            nodes = start(*x)
-            if not isinstance(nodes, list):
-                raise PathError("a step below a value")
-            for s in steps:
-                nodes = walk(nodes, s)
-            return nodes
-
-        return run
-
-    def step(self) -> Step:
-        if self.accept(".."):
-            return Step("parent", "node()", ())
-        if self.accept("."):
-            return Step("self", "node()", ())
-        axis = "child"
-        if self.accept("@"):
-            axis = "attribute"
-        elif self.peek()[0] == "name" and self.peek(1)[1] == "::":
-            axis = self.take()
-            if axis not in AXES:
-                raise PathError(f"unsupported axis {axis}")
-            self.take("::")
-        kind, value = self.peek()
-        if value == "*":
-            self.at += 1
-            test = "*"
-        elif kind == "name":
-            self.at += 1
-            test = value if axis == "attribute" else value.lower()
-            if self.accept("("):
-                self.take(")")
-                if value not in ("text", "node"):
-                    raise PathError(f"unsupported {value}()")
-                test = f"{value}()"
-        else:
-            raise PathError(f"unsupported {value or 'end of path'!r}")
-        return Step(axis, test, self.conditions())
-
-    def conditions(self) -> tuple[Callable, ...]:
-        out = []
-        while self.accept("["):
-            out.append(self.either())
-            self.take("]")
-        return tuple(out)
-
-
-def root(x: Node) -> Element:
-    e = x if isinstance(x, Element) else x.parent
-    while e.parent is not None:
-        e = e.parent
-    return e
-
-
-def along(x: Node, axis: str) -> list[Node]:
-    """The nodes of an axis, nearest first."""
-    if axis == "self":
-        return [x]
-    if axis == "parent":
-        return [x.parent] if x.parent is not None else []
-    if axis in ("ancestor", "ancestor-or-self"):
-        out: list[Node] = [x] if axis == "ancestor-or-self" else []
-        e = x.parent
-        while e is not None:
-            out.append(e)
-            e = e.parent
-        return out
-    if axis in ("following-sibling", "preceding-sibling"):
-        if isinstance(x, Attribute) or x.parent is None:
-            return []
-        around = below(x.parent)
-        at = next(k for k, y in enumerate(around) if y is x or isinstance(y, Text) and y == x)
-        return around[at + 1 :] if axis == "following-sibling" else around[:at][::-1]
-    if not isinstance(x, Element):
-        return [x] if axis == "descendant-or-self" else []
-    if axis == "attribute":
-        return [Attribute(x, n) for n in x.attrs]
-    if axis == "child":
-        return below(x)
-    out = [x] if axis == "descendant-or-self" else []
-    stack = list(reversed(below(x)))
-    while stack:
-        y = stack.pop()
-        out.append(y)
-        if isinstance(y, Element):
-            stack.extend(reversed(below(y)))
-    return out
-
-
-def below(e: Element) -> list[Node]:
-    return [c if isinstance(c, Element) else Text(e, k) for k, c in enumerate(e.children)]
-
-
-def fits(x: Node, test: str) -> bool:
-    if test == "node()":
-        return True
-    if test == "text()":
-        return isinstance(x, Text)
-    if isinstance(x, Attribute):
-        return test in ("*", x.name)
-    return isinstance(x, Element) and (test == "*" and x.tag != "#document" or test == x.tag)
-
-
-def walk(nodes: list[Node], step: Step) -> list[Node]:
-    out: list[Node] = []
-    for x in nodes:
-        out += filtered([y for y in along(x, step.axis) if fits(y, step.test)], step.conditions)
-    return unique(out) if len(nodes) > 1 or step.axis in ("ancestor", "ancestor-or-self", "preceding-sibling") else out
-
-
-def filtered(nodes, conditions: tuple[Callable, ...]):
-    for c in conditions:
-        if not isinstance(nodes, list):
-            raise PathError("a condition on a value")
-        kept = []
-        for k, x in enumerate(nodes, 1):
-            v = c(x, k, len(nodes))
-            if v == k if isinstance(v, float) else truth(v):
-                kept.append(x)
-        nodes = kept
-    return nodes
-
-
-def truth(v) -> bool:
-    return bool(v)
-
-
-def compare(sign: str, a, b) -> bool:
-    left, right = (v if isinstance(v, list) else [v] for v in (a, b))
-    return any(_compare(sign, x, y) for x in left for y in right)
-
-
-def _compare(sign: str, x, y) -> bool:
-    if isinstance(x, float) or isinstance(y, float) or sign not in ("=", "!="):
-        try:
-            x, y = float(string_of(x)), float(string_of(y))
-        except ValueError:
-            return sign == "!="
-    else:
-        x, y = string_of(x), string_of(y)
-    return {"=": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[sign]
-
-
-def call(name: str, args: list, node: Node, position: int, size: int):
-    one = lambda k: string_of((args[k][0] if args[k] else "") if isinstance(args[k], list) else args[k])
-    own = lambda: one(0) if args else string_of(node)
-    match name:
-        case "contains":
-            return one(1) in one(0)
-        case "starts-with":
-            return one(0).startswith(one(1))
-        case "not":
-            return not truth(args[0])
-        case "last":
-            return float(size)
-        case "position":
-            return float(position)
-        case "normalize-space":
-            return " ".join(own().split())
-        case "string":
-            return own()
-        case "string-length":
-            return float(len(own()))
-        case "count":
-            return float(len(args[0]))
-        case "concat":
-            return "".join(one(k) for k in range(len(args)))
-        case "name":
-            x = (args[0][0] if args[0] else None) if args else node
-            return x.tag if isinstance(x, Element) else getattr(x, "name", "")
-    return name == "true"
-
-
-@lru_cache(1000)
-def xpath(source: str) -> Callable[[Element], list[str]]:
-    """The strings that an XPath finds in a tree; a path to a value gives one, or none if it is empty."""
-    run = _Compiler(source).whole()
-
-    def found(tree: Element) -> list[str]:
-        v = run(tree, 1, 1)
-        if isinstance(v, list):
-            return [string_of(x) for x in v]
-        return [string_of(v)] if v else []
 
+def step(before: Column | None, nodes: Column, axis: str, name: str, conditions: list[str]) -> Column:
+    """The nodes that one step reaches from those before it, or from the top."""
+    if name == "..":
+        found = union(nodes, [F.transform(F.filter(before, lambda c: c["parent"] > 0), lambda c: F.element_at(nodes, c["parent"]))])
+    elif name == ".":
+        found = before
+    else:
+        named = (lambda n: n["tag"] == TEXT) if name == "text()" else is_element if name == "*" else (lambda n: F.lit(True)) if name == "node()" else (lambda n: n["tag"] == name.lower())
+        reached = (lambda n: F.lit(True)) if axis == "//" else (lambda n: n["parent"] == 0)
+        if before is None:
+            found = F.filter(nodes, lambda n: named(n) & reached(n))
+        elif axis == "/":  # a child has one parent, so nothing comes twice, but parents may lie in each other
+            found = F.array_sort(F.flatten(F.transform(before, lambda c: F.transform(F.filter(within(nodes, c), lambda n: named(n) & (n["parent"] == c["pos"])), lambda n: n["pos"]))))
+            found = F.transform(found, lambda p: F.element_at(nodes, p))
+        else:
+            found = union(nodes, [F.flatten(F.transform(before, lambda c: F.filter(within(nodes, c), named)))])
+    for text in conditions:
+        at = placed(found, text)
+        if at is None:
+            at = F.filter(found, partial(condition(text), nodes))
+        found = at
     return found
 
 
-_SIMPLE = re.compile(r"""(?P<tag>\*|[A-Za-z][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[\^$*~|]?=)\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[^\s\]"']+))\s*)?\]|:(?P<pseudo>first-child|last-child|nth-child\(\s*(?P<n>\d+)\s*\))""")
+def arm(source: str) -> Found:
+    """One path of a union."""
+    source = source.strip()
+    if m := _GROUP.fullmatch(source):
+        whole, rest = xpath(m[1]), m[3]
+        if rest:
+            raise PathError(f"unsupported {rest!r}")
+        one = lambda nodes: F.filter(whole.found(nodes), lambda n, k: k == (F.size(whole.found(nodes)) - 1 if m[2] == "last()" else int(m[2]) - 1))
+        return Found(one, whole.shown)
+    steps, at, attribute = [], 0, None
+    text = source[1:] if source.startswith(".//") else source
+    while at < len(text):
+        m = _STEP.match(text, at)
+        name = m and m[2] + (m[3] or "")
+        if not m or attribute or (m[3] and name not in ("text()", "node()")) or "::" in name or (at and not m[1]) or (not at and m[1] is None):
+            raise PathError(f"unsupported {text[at:][:20]!r}")
+        conditions = _CONDITION.findall(m[4])
+        if name.startswith("@"):
+            attribute = name[1:].lower()
+            if conditions or not steps or attribute == "*":
+                raise PathError(f"unsupported {text[at:][:20]!r}")
+            if m[1] == "//":
+                steps.append(("//", "*", []))
+        else:
+            if name in (".", "..") and (not steps or m[1] == "//"):
+                raise PathError(f"unsupported {text[at:][:20]!r}")
+            steps.append((m[1], name, conditions))
+        at = m.end()
+    if not steps:
+        raise PathError(f"unsupported {source[:20]!r}")
+
+    def found(nodes: Column) -> Column:
+        now = None
+        for axis, name, conditions in steps:
+            now = step(now, nodes, axis, name, conditions)
+        return F.filter(now, lambda n: n["attrs"][attribute].isNotNull()) if attribute else now
+
+    found(F.col("nodes"))  # a condition of no known form is an error now
+    return Found(found, (lambda nodes, n: n["attrs"][attribute]) if attribute else string_value)
+
+
+def xpath(source: str) -> Found:
+    """An XPath that rules may have."""
+    parts = [m[0] for m in _PART.finditer(source)]
+    if not parts or "|".join(parts) != source.strip("\n") or any(not p.strip() for p in parts):
+        raise PathError(f"unsupported {source[:20]!r}")
+    arms = [arm(p) for p in parts]
+    if len(arms) == 1:
+        return arms[0]
+    attributes = any(a.shown is not string_value for a in arms)
+    if attributes:  # an attribute comes after its element, in the order of the arms
+        of = lambda a, k, nodes: F.transform(a.found(nodes), lambda n: F.struct(n["pos"].alias("pos"), F.lit(k).alias("arm"), a.shown(nodes, n).alias("shown")))
+        return Found(lambda nodes: F.array_sort(F.array_distinct(F.flatten(F.array(*(of(a, k, nodes) for k, a in enumerate(arms)))))), lambda nodes, n: n["shown"])
+    return Found(lambda nodes: union(nodes, [a.found(nodes) for a in arms]), string_value)
+
+
+_SIMPLE = re.compile(rf"""(?P<tag>\*|[A-Za-z][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[\^$*~|]?=)\s*(?:{_STRING}|(?P<bare>[^\s\]"']+))\s*)?\]|:(?P<pseudo>first-child|last-child|nth-child\(\s*(?P<n>\d+)\s*\))""")
 _BETWEEN = re.compile(r"\s*([>+~,])\s*|\s+")
 
 
-def _simple(m: re.Match) -> Callable[[Element], bool]:
+def siblings(nodes: Column, n: Column, after: bool) -> Column:
+    """The elements beside a node that come after, or before, it."""
+    return F.filter(nodes, lambda m: is_element(m) & (m["parent"] == n["parent"]) & (m["pos"] > n["pos"] if after else m["pos"] < n["pos"]))
+
+
+def simple(m: re.Match) -> Test:
+    """One part of a compound selector."""
     if m["tag"]:
-        return (lambda e: True) if m["tag"] == "*" else (lambda e, t=m["tag"].lower(): e.tag == t)
+        return lambda nodes, n: is_element(n) if m["tag"] == "*" else n["tag"] == m["tag"].lower()
     if m["id"]:
-        return lambda e, v=m["id"]: e.attrs.get("id") == v
+        return lambda nodes, n: n["attrs"]["id"] == m["id"]
     if m["cls"]:
-        return lambda e, v=m["cls"]: v in e.attrs.get("class", "").split()
+        return lambda nodes, n: F.array_contains(F.split(n["attrs"]["class"], r"\s+"), m["cls"])
     if m["attr"]:
-        name, value = m["attr"].lower(), next((m[k] for k in ("v1", "v2", "v3") if m[k] is not None), "")
+        name = m["attr"].lower()
+        value = next((v for v in (m["bare"], *m.groups()[5:7]) if v is not None), "")
         tests = {
             "=": lambda a: a == value,
-            "^=": lambda a: bool(value) and a.startswith(value),
-            "$=": lambda a: bool(value) and a.endswith(value),
-            "*=": lambda a: bool(value) and value in a,
-            "~=": lambda a: value in a.split(),
-            "|=": lambda a: a == value or a.startswith(value + "-"),
+            "^=": lambda a: a.startswith(value) if value else F.lit(False),
+            "$=": lambda a: a.endswith(value) if value else F.lit(False),
+            "*=": lambda a: a.contains(value) if value else F.lit(False),
+            "~=": lambda a: F.array_contains(F.split(a, r"\s+"), value),
+            "|=": lambda a: (a == value) | a.startswith(value + "-"),
         }
-        test = tests.get(m["op"], lambda a: True)
-        return lambda e: name in e.attrs and test(e.attrs[name])
-    n = int(m["n"]) if m["n"] else 1
-
-    def placed(e: Element) -> bool:
-        around = e.parent.elements()
-        k = len(around) if m["pseudo"] == "last-child" else n
-        return 0 < k <= len(around) and around[k - 1] is e
+        test = tests.get(m["op"], lambda a: a.isNotNull())
+        return lambda nodes, n: F.coalesce(test(n["attrs"][name]), F.lit(False))
+    if m["pseudo"] == "last-child":
+        return lambda nodes, n: F.size(siblings(nodes, n, True)) == 0
+    return lambda nodes, n: F.size(siblings(nodes, n, False)) == (int(m["n"]) if m["n"] else 1) - 1
 
-    return placed
 
-
-@lru_cache(1000)
-def css(source: str) -> Callable[[Element], list[str]]:
-    """The texts of the elements that a selector finds in a tree, in document order."""
-    groups: list[list[tuple[str, list[Callable]]]] = [[("", [])]]
+def css(source: str) -> Found:
+    """A selector that rules may have."""
+    groups: list[list[tuple[str, list[Test]]]] = [[("", [])]]
     at, text = 0, source.strip()
     while at < len(text):
         if m := _SIMPLE.match(text, at):
             if m["tag"] and groups[-1][-1][1]:
                 raise PathError(f"unsupported {text[at:][:20]!r}")
-            groups[-1][-1][1].append(_simple(m))
+            groups[-1][-1][1].append(simple(m))
         elif (m := _BETWEEN.match(text, at)) and groups[-1][-1][1]:
-            sign = m[1] or " "
-            if sign == ",":
-                groups.append([("", [])])
-            else:
-                groups[-1].append((sign, []))
+            groups.append([("", [])]) if m[1] == "," else groups[-1].append((m[1] or " ", []))
         else:
             raise PathError(f"unsupported {text[at:][:20]!r}")
         at = m.end()
     if not all(tests for g in groups for _, tests in g):
         raise PathError("an empty selector")
 
-    def matches(e: Element, chain: list[tuple[str, list[Callable]]]) -> bool:
-        sign, tests = chain[-1]
-        if e.tag == "#document" or not all(t(e) for t in tests):
-            return False
-        if len(chain) == 1:
-            return True
+    def between(nodes: Column, sign: str, c: Column, n: Column) -> Column:
         if sign in (" ", ">"):
-            up = e.parent
-            while up is not None:
-                if matches(up, chain[:-1]):
-                    return True
-                if sign == ">":
-                    return False
-                up = up.parent
-            return False
-        around = e.parent.elements()
-        k = next(i for i, x in enumerate(around) if x is e)
-        before = around[max(0, k - 1) : k] if sign == "+" else around[:k]
-        return any(matches(x, chain[:-1]) for x in before)
-
-    return lambda tree: [e.text() for e in tree.walk() if any(matches(e, g) for g in groups)]
+            return inside(n, c) if sign == " " else n["parent"] == c["pos"]
+        after = (n["parent"] == c["parent"]) & (n["pos"] > c["pos"])
+        return after if sign == "~" else after & ~F.exists(siblings(nodes, n, False), lambda m: m["pos"] > c["pos"])
+
+    def chain(nodes: Column, steps: list[tuple[str, list[Test]]]) -> Column:
+        sign, tests = steps[-1]
+        before = chain(nodes, steps[:-1]) if steps[1:] else None
+
+        def fits(n: Column) -> Column:
+            own = reduce(lambda x, y: x & y, (F.coalesce(t(nodes, n), F.lit(False)) for t in tests)) & is_element(n)
+            return own if before is None else own & F.exists(before, lambda c: between(nodes, sign, c, n))
+
+        return F.filter(nodes, fits)
+
+    if len(groups) == 1:
+        return Found(lambda nodes: chain(nodes, groups[0]), string_value)
+    return Found(lambda nodes: union(nodes, [chain(nodes, g) for g in groups]), string_value)

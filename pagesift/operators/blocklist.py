@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.functions.htmltree import parse
-from pagesift.functions.paths import xpath
+from pagesift.functions.nodes import page_nodes
 
+#: Patterns that become one expression; a longer list is joined.
 MOST_PATTERNS = 1000
 
 # Parts of urls that are blocked by default.
@@ -31,28 +30,32 @@ def is_blocked(url: Column, patterns: list[str] = BLOCKED) -> Column:
 
 
 def block_requests(df: DataFrame, url_col: str = "url", patterns: list[str] | DataFrame = BLOCKED) -> DataFrame:
-    """Adds ``blocked``; patterns may be a table with a column ``pattern``, of at most ``MOST_PATTERNS`` rows."""
+    """Adds ``blocked``; patterns may be a table with a column ``pattern``, of any length.
+
+    More than ``MOST_PATTERNS`` are looked for in each distinct url, by blocks of
+    the list.
+    """
     if isinstance(patterns, DataFrame):
-        patterns = [r.pattern for r in patterns.select("pattern").where("pattern IS NOT NULL").distinct().limit(MOST_PATTERNS + 1).collect()]
+        found = patterns.select("pattern").where("pattern IS NOT NULL").distinct()
+        patterns = [r.pattern for r in found.limit(MOST_PATTERNS + 1).collect()]
         if len(patterns) > MOST_PATTERNS:
-            raise ValueError(f"more than {MOST_PATTERNS} patterns")
+            lists = found.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(found.count() // MOST_PATTERNS + 1)).alias("block")).agg(F.collect_list("pattern").alias("patterns"))
+            urls = df.select(F.col(url_col).alias("hit")).where("hit IS NOT NULL").distinct()
+            hits = urls.join(lists, F.exists("patterns", lambda p: F.col("hit").contains(p)), "left_semi")
+            return df.join(hits, F.col(url_col) == F.col("hit"), "left").withColumn("blocked", F.col("hit").isNotNull()).drop("hit")
     return df.withColumn("blocked", is_blocked(F.col(url_col), patterns))
 
 
-_RESOURCES = [("script", "//script/@src"), ("img", "//img/@src"), ("iframe", "//iframe/@src"), ("link", "//link/@href"), ("a", "//a/@href")]
+#: Elements whose requests a page makes, and the attribute that names the target.
+_RESOURCES = {"script": "src", "img": "src", "iframe": "src", "link": "href", "a": "href"}
 
 
 def resource_requests(pages: DataFrame, links: bool = False) -> DataFrame:
     """``page_id``, ``element`` and ``resource_url`` of what each page loads, absolute; with ``links`` its links too."""
-    wanted = [(n, p) for n, p in _RESOURCES if links or n != "a"]
-
-    @F.pandas_udf("array<struct<element:string,target:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        def one(t: str | None):
-            tree = parse(t or "")
-            return [{"element": n, "target": v} for n, p in wanted for v in xpath(p)(tree)]
-
-        return texts.map(one)
+    wanted = {n: a for n, a in _RESOURCES.items() if links or n != "a"}
+    named = F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair))
+    asks = F.filter(page_nodes(F.col("html")), lambda n: n["attrs"][named[n["tag"]]].isNotNull())
+    found = F.transform(asks, lambda n: F.struct(n["tag"].alias("element"), n["attrs"][named[n["tag"]]].alias("target")))
 
     scheme, place = F.regexp_extract("url", r"^(\w+):", 1), F.regexp_extract("url", r"^(\w+://[^/?#]*)", 1)
     folder = F.regexp_extract("url", r"^(\w+://[^/?#]*(?:/[^?#]*/)?)", 1)
@@ -63,7 +66,7 @@ def resource_requests(pages: DataFrame, links: bool = False) -> DataFrame:
         .when(t.startswith("/"), F.concat(place, t))
         .otherwise(F.concat(F.regexp_replace(folder, "/*$", ""), F.lit("/"), t))
     )
-    return pages.select("page_id", "url", F.explode(found("html")).alias("r")).select("page_id", "url", "r.element", absolute.alias("resource_url"))
+    return pages.select("page_id", "url", F.explode(found).alias("r")).select("page_id", "url", "r.element", absolute.alias("resource_url"))
 
 
 def blocked_by_pattern(requests: DataFrame, url_col: str = "resource_url", patterns: list[str] = BLOCKED) -> DataFrame:

@@ -1,51 +1,29 @@
 """All rules on all pages in one pass: no join, no shuffle.
 
-Rules of one set are known before the job, so they become expressions of one
-projection.  Regular expressions and JSON paths are Spark's own; all rules that
-need the page's tree are evaluated together by one vectorized function, which
-parses a page once.
+Rules of one set are known before the job, so they become expressions of two
+projections: one that finds, with each rule's matches or nodes in a column of
+its own, and one that shapes what is found.  Regular expressions and JSON paths
+are Spark's own; XPath and CSS are filters over a page's nodes, which one
+vectorized function lists once for all rules.
 """
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.functions.htmltree import parse
-from pagesift.functions.paths import PathError, css, xpath
+from pagesift.functions.nodes import page_nodes
+from pagesift.functions.paths import Found, css, xpath
 from pagesift.functions.text import first_ten, strip
 from pagesift.plans.rules import Pattern, Rule, checked_path, checked_pattern, parse_rules, route
 
 CAP = 10
 NO_DATA, NO_MATCH = "No data found", "No matches found"
-FOUND = "struct<n:int,values:array<string>,error:string>"
 RESULT = "struct<rule_idx:int,key:string,kind:string,status:string,n_matches:int,values:array<string>,value:string,error:string>"
-
-
-def dom_values(text: str, rules: list[tuple[str, str]]) -> list[tuple[int, list[str], str | None]]:
-    """Number of matches, first ten values stripped, and error of each (kind, expression) on one page."""
-    tree, out = parse(text), []
-    for kind, expr in rules:
-        try:
-            found = (xpath if kind == "xpath" else css)(expr)(tree)
-            out.append((len(found), [x.strip() for x in found[:CAP]], None))
-        except PathError as e:
-            out.append((0, [], ("XPath error: " if kind == "xpath" else "CSS selector error: ") + str(e)))
-    return out
-
-
-def dom_column(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """An array with what each rule finds in a page; null for null text."""
-
-    @F.pandas_udf(f"array<{FOUND}>")
-    def evaluate(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"n": n, "values": v, "error": e} for n, v, e in dom_values(t, rules)])
-
-    return evaluate(text)
+#: Stands behind a page's text where it is read as part of a list, which tells whether anything follows its value.
+END = "\u0001end of page\u0001"
 
 
 def none() -> Column:
@@ -74,8 +52,9 @@ def shaped(rule: Rule, kind: str, n: Column, values: Column, nothing: str, senti
     return result(rule, kind, many_status(n, nothing), n, values, value, F.lit(None).cast("string"))
 
 
-def dom_result(rule: Rule, kind: str, found: Column) -> Column:
-    return F.when(found["error"].isNotNull(), failed(rule, kind, found["error"])).otherwise(shaped(rule, kind, found["n"], found["values"], "no_data", NO_DATA))
+def dom_found(nodes: Column, found: Column, path: Found) -> Column:
+    """Of the nodes that an XPath or a selector found the number, and the first ten as text, stripped."""
+    return F.struct(F.size(found).alias("n"), F.transform(F.slice(found, 1, CAP), lambda n: strip(path.shown(nodes, n))).alias("values"))
 
 
 def matches(text: Column, p: Pattern) -> Column:
@@ -86,9 +65,8 @@ def matches(text: Column, p: Pattern) -> Column:
     return F.transform(F.arrays_zip(*each), lambda z: F.to_json(F.array(*(z[str(k)] for k in range(p.groups)))))
 
 
-def regex_result(rule: Rule, kind: str, text: Column, p: Pattern) -> Column:
+def regex_result(rule: Rule, kind: str, found: Column) -> Column:
     """Matches in the page's source; a single one is stripped, of many the first ten are kept as they are."""
-    found = matches(text, p)
     n = F.size(found)
     kept = F.when(n == 1, F.transform(found, strip)).otherwise(first_ten(found))
     return shaped(rule, kind, n, kept, "no_match", NO_MATCH)
@@ -99,30 +77,34 @@ def quoted(name: str) -> str | None:
     return None if "'" in name or "]" in name else f"['{name}']"
 
 
-def json_key_result(rule: Rule, text: Column, variant: Column) -> Column:
+def json_key_found(name: str, text: Column, variant: Column) -> Column:
     """The value of a key of the top object, as JSON text; a null is a value, a missing key isn't."""
-    step = quoted(rule.key)
+    step = quoted(name)
     if step is None:
-        return failed(rule, "json_key", "JSON error: unsupported key")
+        raise ValueError("unsupported key")
     at = F.try_variant_get(variant, f"${step}", "variant")
-    n = F.when(at.isNull(), 0).otherwise(1)
-    value = F.when(at.isNull(), NO_DATA).when(F.is_variant_null(at), "null").otherwise(F.get_json_object(text, f"${step}"))
-    values = F.when(at.isNull(), none()).otherwise(F.array(value))
-    good = result(rule, "json_key", F.when(at.isNull(), "no_data").otherwise("one"), n, values, value, F.lit(None).cast("string"))
+    value = F.when(F.is_variant_null(at), "null").otherwise(F.get_json_object(text, f"${step}"))
     is_object = F.try_variant_get(variant, "$", "map<string,variant>").isNotNull()
-    return F.when(is_object, good).otherwise(failed(rule, "json_key", "JSON error: the page isn't an object"))
+    return F.struct(is_object.alias("object"), at.isNotNull().alias("there"), F.when(at.isNotNull(), value).otherwise(NO_DATA).alias("value"))
+
+
+def json_key_result(rule: Rule, found: Column) -> Column:
+    there, value = found["there"], found["value"]
+    values = F.when(there, F.array(value)).otherwise(none())
+    good = result(rule, "json_key", F.when(there, "one").otherwise("no_data"), there.cast("int"), values, value, F.lit(None).cast("string"))
+    return F.when(found["object"], good).otherwise(failed(rule, "json_key", "JSON error: the page isn't an object"))
 
 
 _STEP = re.compile(r"([^\[\]]*)(?:\[(-?\d+)\])?")
 
 
-def json_path_result(rule: Rule, text: Column, variant: Column) -> Column:
+def json_path_found(expr: str, text: Column, variant: Column) -> Column:
     """``$.a.b[0].c``: keys by dots, at most one index each, which may count from the end."""
     steps: list[tuple[str, int | None]] = []
-    for part in rule.expr[2:].split("."):
+    for part in expr[2:].split("."):
         m = _STEP.fullmatch(part)
         if not m or not m[1] or quoted(m[1]) is None:
-            return failed(rule, "json_path", f"JSON error: unsupported step {part}")
+            raise ValueError(f"unsupported step {part}")
         steps.append((m[1], int(m[2]) if m[2] else None))
     plain, at, from_end = "$", variant, False
     for name, index in steps:
@@ -136,16 +118,16 @@ def json_path_result(rule: Rule, text: Column, variant: Column) -> Column:
             from_end = True
     # text of numbers as the page has it, unless the path counts from the end
     shown = F.coalesce(F.try_variant_get(at, "$", "string"), F.to_json(at)) if from_end else F.get_json_object(text, plain)
-    value = F.when(F.is_variant_null(at), "null").otherwise(shown)
-    good = result(rule, "json_path", F.lit("one"), F.lit(1), F.array(value), value, F.lit(None).cast("string"))
-    return F.when(at.isNotNull(), good).otherwise(failed(rule, "json_path", f"JSON extraction error: nothing at {rule.expr}"))
+    return F.struct(at.isNotNull().alias("there"), F.when(F.is_variant_null(at), "null").otherwise(shown).alias("value"))
+
+
+def json_path_result(rule: Rule, found: Column) -> Column:
+    good = result(rule, "json_path", F.lit("one"), F.lit(1), F.array(found["value"]), found["value"], F.lit(None).cast("string"))
+    return F.when(found["there"], good).otherwise(failed(rule, "json_path", f"JSON extraction error: nothing at {rule.expr}"))
 
 
-def json_regex_result(rule: Rule, text: Column, p: Pattern) -> Column:
+def json_regex_result(rule: Rule, found: Column) -> Column:
     """All matches in the JSON text, joined; neither capped nor stripped."""
-    if p.groups > 1:
-        return failed(rule, "json_regex", "JSON extraction error: more than one group")
-    found = F.regexp_extract_all(text, F.lit(p.java), F.lit(p.groups))
     n = F.size(found)
     value = F.when(n == 0, NO_MATCH).otherwise(F.array_join(found, ", "))
     return result(rule, "json_regex", many_status(n, "no_match"), n, found, value, F.lit(None).cast("string"))
@@ -161,53 +143,64 @@ def page_error(text: Column, mode: Column, status: Column) -> Column:
     )
 
 
-def loads(text: str | None) -> bool:
-    """Whether a text is JSON for Python's ``json``: NaN and repeated keys are, trailing text isn't."""
-    try:
-        json.loads(text)
-    except (TypeError, ValueError, RecursionError):
-        return False
-    return True
+def whole_json(text: Column, parsed: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; what follows a value is else passed over when it is parsed."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]'.replace("\u0001", "\\u0001")))), "$", "array<variant>")
+    ends = (F.size(listed) == 2) & (F.try_variant_get(F.get(listed, F.lit(1)), "$", "string") == END)
+    return parsed.isNotNull() & F.coalesce(F.when(parsed.isNotNull(), ends), F.lit(False))
 
 
-def strictly_json(text: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def test(texts: pd.Series) -> pd.Series:
-        return texts.map(loads)
+def build(spark: SparkSession, rules: list[Rule], text: Column, variant: Column, is_json: Column, nodes: Column) -> tuple[list[Column], list[Column], list[Column]]:
+    """What rules find in a page's nodes, as columns ``nodes1``, ...; what each finds, as ``found1``, ...; and what shapes it."""
+    inner, finds, shapes = [], [], []
 
-    return test(text)
+    def find(column: Column) -> Column:
+        name = f"found{len(finds) + 1}"
+        finds.append(column.alias(name))
+        return F.col(name)
 
-
-def build(spark: SparkSession, rules: list[Rule], text: Column, variant: Column, is_json: Column, dom: Column | None, dom_at: dict[int, int]) -> list[Column]:
-    """One result column per rule."""
-    out = []
     for rule in rules:
-        by_type = {}
+        by_type, patterns = {}, {}
         for js in (True, False):
             kind = route(rule, js)
-            pattern = rule.key if kind == "key_regex" else rule.expr or rule.key
             try:
                 if kind == "invalid":
                     by_type[js] = failed(rule, kind, "Empty key name")
                 elif kind in ("xpath", "css"):
-                    wrong = checked_path(kind, rule.expr or "")
-                    by_type[js] = failed(rule, kind, wrong) if wrong else dom_result(rule, kind, F.get(dom, F.lit(dom_at[rule.index])))
-                elif kind in ("regex", "key_regex"):
-                    by_type[js] = regex_result(rule, kind, text, checked_pattern(spark, pattern))
+                    if wrong := checked_path(kind, rule.expr or ""):
+                        by_type[js] = failed(rule, kind, wrong)
+                    else:
+                        path = (xpath if kind == "xpath" else css)(rule.expr or "")
+                        inner.append(path.found(nodes).alias(f"nodes{len(inner) + 1}"))
+                        found = find(dom_found(nodes, F.col(f"nodes{len(inner)}"), path))
+                        by_type[js] = shaped(rule, kind, found["n"], found["values"], "no_data", NO_DATA)
                 elif kind == "json_key":
-                    by_type[js] = json_key_result(rule, text, variant)
+                    by_type[js] = json_key_result(rule, find(json_key_found(rule.key, text, variant)))
                 elif kind == "json_path":
-                    by_type[js] = json_path_result(rule, text, variant)
+                    by_type[js] = json_path_result(rule, find(json_path_found(rule.expr or "", text, variant)))
                 else:
-                    by_type[js] = json_regex_result(rule, text, checked_pattern(spark, pattern))
+                    p = checked_pattern(spark, rule.key if kind == "key_regex" else rule.expr or rule.key)
+                    if kind == "json_regex" and p.groups > 1:
+                        by_type[js] = failed(rule, kind, "JSON extraction error: more than one group")
+                    else:
+                        patterns[js] = (kind, p)
             except ValueError as e:
                 by_type[js] = failed(rule, kind, ("JSON error: " if js else "Extraction error: ") + str(e))
-        out.append(F.when(is_json, by_type[True]).otherwise(by_type[False]))
-    return out
+        if patterns:  # on pages of both types the pattern is the same
+            p = next(iter(patterns.values()))[1]
+            found = find(matches(text if len(patterns) == 2 else F.when(is_json if True in patterns else ~is_json, text), p))
+            for js, (kind, _) in patterns.items():
+                by_type[js] = json_regex_result(rule, found) if kind == "json_regex" else regex_result(rule, kind, found)
+        shapes.append(F.when(is_json, by_type[True]).otherwise(by_type[False]))
+    return inner, finds, shapes
+
 
+def with_results(pages: DataFrame, rules, *, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", mode_col: str | None = None, status_col: str | None = None) -> DataFrame:
+    """``page_id``, ``url``, ``page_error`` and ``results``, an array with one struct per rule.
 
-def with_results(pages: DataFrame, rules, *, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", mode_col: str | None = None, status_col: str | None = None, strict_json: bool = False) -> DataFrame:
-    """``page_id``, ``url``, ``page_error`` and ``results``, an array with one struct per rule."""
+    A page is JSON if its whole text is one JSON value; one with ``NaN`` or with
+    a key twice isn't.
+    """
     spark, rules = pages.sparkSession, parse_rules(rules)
     own = pages.select(
         F.col(id_col).alias("page_id"),
@@ -218,23 +211,22 @@ def with_results(pages: DataFrame, rules, *, id_col: str = "page_id", url_col: s
     )
     kinds = {(r.index, js): route(r, js) for r in rules for js in (True, False)}
     reads_json = any(kinds[r.index, True].startswith("json") or kinds[r.index, True] != kinds[r.index, False] for r in rules)
-    dom_rules = [(r, k) for r in rules if (k := kinds[r.index, False]) in ("xpath", "css") and checked_path(k, r.expr or "") is None]
-    dom_rules += [(r, k) for r in rules if (r, kinds[r.index, False]) not in dom_rules and (k := kinds[r.index, True]) in ("xpath", "css") and checked_path(k, r.expr or "") is None]
-    variant = F.when(F.col("mode") != "playwright", F.try_parse_json("text")) if reads_json else F.lit(None).cast("variant")
+    # only texts that can start a value of JSON are tried
+    maybe = (F.col("mode") != "playwright") & F.col("text").rlike(r'^\s*[\[{"\d\-tfn]')
+    variant = F.when(maybe, F.try_parse_json("text")) if reads_json else F.lit(None).cast("variant")
     parsed = own.withColumn("page_error", page_error(F.col("text"), F.col("mode"), F.col("code"))).withColumn("parsed", variant)
-    is_json = F.col("parsed").isNotNull()
-    if strict_json:
-        # only texts that can start a value of JSON are tried
-        maybe = (F.col("mode") != "playwright") & F.col("text").rlike(r'^\s*[\[{"\d\-tfnNI]')
-        is_json = is_json & maybe & strictly_json(F.when(maybe, F.col("text")))
-    typed = parsed.withColumn("is_json", is_json)
-    source = F.when(F.col("page_error").isNull() & ~F.col("is_json"), F.col("text"))
-    dom = dom_column(source, [(k, r.expr or "") for r, k in dom_rules]) if dom_rules else F.lit(None).cast(f"array<{FOUND}>")
-    ready = typed.withColumn("dom", dom)
-    columns = build(spark, rules, F.col("text"), F.col("parsed"), F.col("is_json"), F.col("dom"), {r.index: k for k, (r, _) in enumerate(dom_rules)})
-    bad = [F.when(F.col("page_error").isNotNull(), failed(r, kinds[r.index, False], F.col("page_error"))).otherwise(c) for r, c in zip(rules, columns, strict=True)]
-    results = F.array(*bad) if bad else F.array().cast(f"array<{RESULT}>")
-    return ready.select("page_id", "url", "page_error", results.alias("results"))
+    typed = parsed.withColumn("is_json", whole_json(F.col("text"), F.col("parsed")) if reads_json else F.lit(False))
+    good = F.col("page_error").isNull()
+    used = typed.withColumn("text", F.when(good, F.col("text")))
+    dom = {js: any(kinds[r.index, js] in ("xpath", "css") and checked_path(kinds[r.index, js], r.expr or "") is None for r in rules) for js in (True, False)}
+    read = F.lit(True) if dom[True] and dom[False] else F.col("is_json") if dom[True] else ~F.col("is_json")
+    if any(dom.values()):
+        used = used.withColumn("nodes", page_nodes(F.when(read, F.col("text"))))
+    inner, finds, shapes = build(spark, rules, F.col("text"), F.col("parsed"), F.col("is_json"), F.col("nodes"))
+    found = used.select("*", *inner).select("page_id", "url", "page_error", "text", "parsed", "is_json", *finds)
+    columns = [F.when(~good, failed(r, kinds[r.index, False], F.col("page_error"))).otherwise(c) for r, c in zip(rules, shapes, strict=True)]
+    results = F.array(*columns) if columns else F.array().cast(f"array<{RESULT}>")
+    return found.select("page_id", "url", "page_error", results.alias("results"))
 
 
 def extract(pages: DataFrame, rules, **options) -> DataFrame:
@@ -246,17 +238,19 @@ def extract(pages: DataFrame, rules, **options) -> DataFrame:
     Repeated pages each have their rows.  Other columns are ignored.
     """
     rows = with_results(pages, rules, **options)
-    return rows.select("page_id", "url", "page_error", F.explode("results").alias("r")).select("page_id", "url", "r.*", "page_error")
+    # an outer explode, as Spark would else look at all results once more to leave out pages that have none
+    each = F.explode_outer("results") if parse_rules(rules) else F.explode("results")
+    return rows.select("page_id", "url", "page_error", each.alias("r")).select("page_id", "url", "r.*", "page_error")
 
 
-def extract_wide(pages: DataFrame, rules, **options) -> DataFrame:
+def extract_wide(pages: DataFrame, rules, *, comma: str = ",", colon: str = ":", **options) -> DataFrame:
     """One row per page with a JSON object of key and value; lists stay lists."""
     parsed = parse_rules(rules)
     rows = with_results(pages, parsed, **options)
     many = lambda r: r["status"] == "many"
     # to_json of a one-element array, less its brackets, is the JSON text of a string
     inner = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
-    entry = lambda r: F.concat(inner(r["key"]), F.lit(":"), F.when(many(r) & (r["kind"] != "json_regex"), F.to_json(r["values"])).when((r["kind"] == "json_key") & (r["status"] == "one") & r["value"].rlike(r"^\s*[\[{]"), r["value"]).otherwise(inner(r["value"])))
-    whole = F.concat(F.lit("{"), F.array_join(F.transform("results", entry), ","), F.lit("}"))
+    entry = lambda r: F.concat(inner(r["key"]), F.lit(colon), F.when(many(r) & (r["kind"] != "json_regex"), F.to_json(r["values"])).when((r["kind"] == "json_key") & (r["status"] == "one") & r["value"].rlike(r"^\s*[\[{]"), r["value"]).otherwise(inner(r["value"])))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform("results", entry), comma), F.lit("}"))
     error = F.concat(F.lit('{"error":'), inner(F.col("page_error")), F.lit("}"))
     return rows.select("page_id", "url", "page_error", F.when(F.col("page_error").isNotNull(), error).otherwise(whole).alias("result"))

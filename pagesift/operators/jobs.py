@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import re
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.functions.htmltree import parse
-from pagesift.functions.paths import PathError, css, xpath
-from pagesift.operators.extract import CAP, NO_DATA, NO_MATCH, page_error
-from pagesift.plans.rules import Rule, parse_rules, route
+from pagesift.operators.extract import extract_wide
+from pagesift.sources.scratch import scratch_path
 
-#: Urls that may be broadcast to keep only the pages that jobs ask for.
-BROADCAST_URLS = 1_000_000
+#: Urls that may be broadcast to keep only the pages that jobs ask for, and bytes of these.
+BROADCAST_URLS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def validated(jobs: DataFrame) -> DataFrame:
@@ -40,76 +36,6 @@ def union_captures(static: DataFrame, rendered: DataFrame) -> DataFrame:
     return static.withColumn("mode", F.lit("requests")).unionByName(rendered.withColumn("mode", F.lit("playwright")), allowMissingColumns=True)
 
 
-def _json_value(rule: Rule, kind: str, data, text: str):
-    if kind == "json_key":
-        if not isinstance(data, dict):
-            return "JSON error: the page isn't an object"
-        return data.get(rule.key, NO_DATA)
-    if kind == "json_path":
-        at = data
-        try:
-            for part in rule.expr[2:].split("."):
-                m = re.fullmatch(r"([^\[\]]*)(?:\[(-?\d+)\])?", part)
-                if not m:
-                    return f"JSON error: unsupported step {part}"
-                at = at[m[1]]
-                if m[2]:
-                    if not isinstance(at, list):
-                        return f"JSON extraction error: no list at {m[1]}"
-                    at = at[int(m[2])]
-        except (KeyError, IndexError, TypeError):
-            return f"JSON extraction error: nothing at {rule.expr}"
-        return at if isinstance(at, str) else json.dumps(at, ensure_ascii=False)
-    try:
-        p = re.compile(rule.expr or "")
-    except re.error as e:
-        return f"JSON error: {e}"
-    if p.groups > 1:
-        return "JSON extraction error: more than one group"
-    return ", ".join(p.findall(text)) or NO_MATCH
-
-
-def _html_value(rule: Rule, kind: str, tree, text: str):
-    if kind in ("xpath", "css"):
-        try:
-            found = [x.strip() for x in (xpath if kind == "xpath" else css)(rule.expr or "")(tree)]
-        except PathError as e:
-            return ("XPath error: " if kind == "xpath" else "CSS selector error: ") + str(e)
-        return NO_DATA if not found else found[0] if len(found) == 1 else found[:CAP]
-    try:
-        found = re.findall(rule.key if kind == "key_regex" else rule.expr or "", text)
-    except re.error as e:
-        return f"Extraction error: {e}"
-    if not found:
-        return NO_MATCH
-    shown = [x if isinstance(x, str) else list(x) for x in found]
-    if len(shown) > 1:
-        return shown[:CAP]
-    return shown[0].strip() if isinstance(shown[0], str) else json.dumps(shown[0], ensure_ascii=False)
-
-
-def apply_rules(text: str, rules: list[str], mode: str) -> dict:
-    """All rules on one page's text, which is parsed once."""
-    data, is_json = None, False
-    if mode != "playwright":
-        try:
-            data, is_json = json.loads(text), True
-        except (ValueError, RecursionError):
-            pass
-    tree, out = None, {}
-    for rule in parse_rules(list(rules)):
-        kind = route(rule, is_json)
-        if kind == "invalid":
-            out[rule.key] = "Empty key name"
-        elif is_json:
-            out[rule.key] = _json_value(rule, kind, data, text)
-        else:
-            if tree is None and kind in ("xpath", "css"):
-                tree = parse(text)
-            out[rule.key] = _html_value(rule, kind, tree, text)
-    return out
-
-
 def run_jobs(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     """``job_id``, ``url``, ``job_error`` and ``result`` (a JSON object) for every job.
 
@@ -118,21 +44,32 @@ def run_jobs(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     url, rules or a page has an error instead of a result.  A url with several
     pages gives a row for each.  Only the pages that some job asks for take part
     in the join; the jobs' urls are broadcast for this if they are few.
+
+    Jobs with the same rules are extracted together, by the same expressions as
+    any other pages; the jobs of each rule set are a part of one written table.
     """
-    checked = normal_mode(validated(jobs))
+    spark = jobs.sparkSession
+    checked = normal_mode(validated(jobs)).select("job_id", "url", "rules", "mode", "job_error")
     urls = checked.where("job_error IS NULL").select("url").distinct()
-    if urls.limit(BROADCAST_URLS + 1).count() <= BROADCAST_URLS:
+    n = urls.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("bytes")).first()
+    if n.n <= BROADCAST_URLS and n.bytes <= BROADCAST_BYTES:
         urls = F.broadcast(urls)
     code = F.col("status") if "status" in pages.columns else F.lit(None)
     wanted = pages.select("url", F.col("html").alias("text"), code.cast("int").alias("code"), F.lit(True).alias("captured")).join(urls, "url", "left_semi")
-    joined = checked.select("job_id", "url", "rules", "mode", "job_error").join(wanted, "url", "left")
-    missing = F.when(F.col("captured").isNull(), F.lit("Request failed: no capture of this url"))
-    error = F.coalesce(F.col("job_error"), missing, page_error(F.col("text"), F.col("mode"), F.col("code")))
-
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series, rules: pd.Series, modes: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else json.dumps(apply_rules(t, r, m), ensure_ascii=False) for t, r, m in zip(texts, rules, modes, strict=True)])
-
-    ready = joined.withColumn("job_error", error).withColumn("text", F.when(F.col("job_error").isNull(), F.col("text")))
-    failed = F.to_json(F.struct(F.col("job_error").alias("error")))
-    return ready.select("job_id", "url", "job_error", F.coalesce(apply("text", "rules", "mode"), failed).alias("result"))
+    good = checked.where("job_error IS NULL").join(wanted, "url", "left")
+    error = F.when(F.col("captured").isNull(), F.lit("Request failed: no capture of this url"))
+    good = good.withColumn("job_error", error)
+    shown = F.to_json(F.struct(F.col("job_error").alias("error"))).alias("result")
+    # a rule set's name tells it from others for certain: its rules are JSON text, and sets are few beside jobs
+    sets = [tuple(r.rules) for r in good.where("job_error IS NULL").select("rules").distinct().collect()]
+    named = F.xxhash64(F.to_json("rules"))
+    path = scratch_path(spark, "jobs")
+    good.withColumn("rule_set", F.when(F.col("job_error").isNull(), named)).write.partitionBy("rule_set").parquet(path)
+    ready = spark.read.schema(f"job_id {jobs.schema['job_id'].dataType.simpleString()}, url string, rules array<string>, mode string, text string, code int, captured boolean, job_error string, rule_set long").parquet(path)
+    out = [checked.where("job_error IS NOT NULL").select("job_id", "url", "job_error", shown), ready.where("job_error IS NOT NULL").select("job_id", "url", "job_error", shown)]
+    for rules in sets:
+        own = F.array(*(F.lit(r).cast("string") for r in rules))
+        of = ready.where((F.col("rule_set") == F.xxhash64(F.to_json(own))) & F.col("rules").eqNullSafe(own) & F.col("job_error").isNull())
+        found = extract_wide(of, [r for r in rules if r is not None], comma=", ", colon=": ", id_col="job_id", text_col="text", mode_col="mode", status_col="code")
+        out.append(found.select(F.col("page_id").alias("job_id"), "url", F.col("page_error").alias("job_error"), "result"))
+    return reduce(DataFrame.unionByName, out)

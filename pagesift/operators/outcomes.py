@@ -22,13 +22,14 @@ def success_rate(results: DataFrame) -> DataFrame:
 
 
 def latest_captures(captures: DataFrame, keys: tuple[str, ...] = ("captured_at", "page_id")) -> DataFrame:
-    """The newest capture of each url.
+    """The newest capture of each url, one row for each; captures without a url are one group.
 
-    The newest key is found first, without the text, and joined back; so no
-    group's texts are sorted together.
+    Captures with equal keys are told apart by a hash of all their columns.  The
+    newest of a url is found within each partition first.
     """
-    newest = captures.groupBy("url").agg(F.max(F.struct(*keys)).alias("newest")).select("url", *(F.col(f"newest.{k}").alias(k) for k in keys))
-    return captures.join(newest, ["url", *keys])
+    order = F.struct(*keys, F.xxhash64(*captures.columns).alias("tag"))
+    newest = captures.groupBy(F.col("url").alias("of")).agg(F.max_by(F.struct(*captures.columns), order).alias("newest"))
+    return newest.select("newest.*")
 
 
 def hit_rates(results: DataFrame, run_col: str = "run") -> DataFrame:

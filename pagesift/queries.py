@@ -9,6 +9,9 @@ from pagesift.functions import text as fn
 from pagesift.operators import blocklist, jobs, outcomes, shape
 from pagesift.operators.extract import extract, extract_wide, with_results
 from pagesift.plans.rules import PRESET, Rule, route_rules, rule_lines
+from pagesift.sources import captures as io
+from pagesift.sources.scratch import scratch_path
+from pagesift.streaming.captures import extract_stream, page_stream, without_repeats
 
 #: Words that the test pages' urls hold, unlike the default list's.
 LOCAL = ["spam-farm", "cheap-pills", "track"]
@@ -61,7 +64,8 @@ def json_of(rules: list[Rule]):
 
 def preset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preset's rules on all pages in one pass."""
-    return extract(pages(spark, sf_dir), PRESET)
+    rows = extract(pages(spark, sf_dir), PRESET)
+    return rows.select("page_id", "url", F.col("rule_idx").cast("long").alias("rule_idx"), "key", "kind", "status", F.col("n_matches").cast("long").alias("n_matches"), "value")
 
 
 def multi_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +122,7 @@ LONG_RULES = [Rule("title", "<title>[^<]*", "regex"), Rule("words", "([A-Za-z]+)
 
 
 def long_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"), LONG_RULES)
+    return extract(pages(spark, sf_dir), LONG_RULES)
 
 
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,17 +215,73 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures taken in as a stream; new ones only, once."""
-    import uuid
-
-    from pagesift.streaming.captures import extract_stream, page_stream
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    at = f"{base}/pagesift/stream-{uuid.uuid4().hex}"
+    at = scratch_path(spark, "stream")
     stream = page_stream(spark, f"{sf_dir}/pages.parquet", table(spark, sf_dir, "pages").schema)
     extract_stream(stream, [Rule("title", "<title>([A-Za-z]*)", "regex")], f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("page_id", "status", "value")
 
 
+def repeats_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of two days as a stream: a url that came within an hour before isn't taken again."""
+    at = scratch_path(spark, "repeats")
+    c = captures(spark, sf_dir).withColumn("captured_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("run") * 600 + F.col("page_id") % 1000)).select("page_id", "url", "run", "captured_at")
+    c.repartition(4, "url").write.parquet(f"{at}/in")
+    stream = without_repeats(spark.readStream.schema(c.schema).parquet(f"{at}/in"), "1 hour")
+    stream.select("url").writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{at}/out").start().awaitTermination()
+    return spark.read.schema("url string").parquet(f"{at}/out")
+
+
+def read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures read from Parquet and from JSON lines that were written from them."""
+    at = scratch_path(spark, "sources")
+    p = io.read_pages(spark, f"{sf_dir}/pages.parquet")
+    p.write.json(f"{at}/json")
+    both = p.withColumn("kind", F.lit("parquet")).unionByName(io.read_pages(spark, f"{at}/json", "json").withColumn("kind", F.lit("json")))
+    return both.select("kind", "page_id", "url", F.length("html").cast("long").alias("n_chars"))
+
+
+def read_job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs written as JSON lines, with rules as a text block or as an array, and read back."""
+    at = scratch_path(spark, "jobs")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("job_id"), "url")
+    rules = F.array(F.lit("t: //title"), F.lit("  "), F.concat(F.lit("id: "), F.col("job_id").cast("string")))
+    p.where("job_id % 2 = 0").withColumn("rules", F.array_join(rules, "\n")).withColumn("mode", F.lit("playwright")).write.json(f"{at}/block")
+    p.where("job_id % 2 = 1").withColumn("rules", rules).write.json(f"{at}/array")
+    read = io.read_jobs(spark, f"{at}/block").unionByName(io.read_jobs(spark, f"{at}/array"))
+    return read.select("job_id", "url", F.posexplode("rules").alias("pos", "rule"), "mode").withColumn("pos", F.col("pos").cast("long"))
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long results written as CSV and XML, and read back."""
+    at = scratch_path(spark, "files")
+    rows = extract(pages(spark, sf_dir), [Rule("links", '<li><a href="([^"]*)"', "regex"), Rule("title", "<title>([A-Za-z]*)", "regex")])
+    rows = rows.select("page_id", "key", "status", "n_matches", "values")
+    io.write_csv(rows, f"{at}/csv")
+    io.write_xml(rows, f"{at}/xml")
+    as_csv = spark.read.schema("page_id long, key string, status string, n_matches long, values string").option("header", True).option("multiLine", True).option("escape", '"').csv(f"{at}/csv")
+    as_xml = spark.read.schema("page_id long, key string, status string, n_matches long, values array<string>").format("xml").option("rowTag", "result").load(f"{at}/xml")
+    as_csv = as_csv.withColumn("values", F.coalesce("values", F.lit("")))  # CSV doesn't tell an empty text from none
+    both = as_csv.withColumn("kind", F.lit("csv")).unionByName(as_xml.withColumn("values", F.array_join("values", "\n")).withColumn("kind", F.lit("xml")))
+    return both.select("kind", "page_id", "key", "status", "n_matches", F.col("values").alias("shown"))
+
+
+def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON with lists, made from the events: indices from both ends, nested, and beyond the end."""
+    e = table(spark, sf_dir, "events")
+    body = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("t")), F.struct(F.col("user_id").cast("string").alias("t"))).alias("a"), F.struct(F.array(F.col("user_id"), F.col("event_id")).alias("n")).alias("b")))
+    made = e.select("event_id", F.col("event_id").alias("page_id"), F.col("event_type").alias("url"), F.when(F.col("event_id") % 7 == 0, F.concat(body, F.lit(" x"))).otherwise(body).alias("html"))
+    rules = [Rule("first", "$.a[0].t", "json_path"), Rule("last", "$.a[-1].t", "json_path"), Rule("number", "$.b.n[1]", "json_path"), Rule("back", "$.b.n[-2]", "json_path"), Rule("beyond", "$.a[2].t", "json_path"), Rule("before", "$.b.n[-3]", "json_path")]
+    rows = extract(made.where("event_id % 7 != 0"), rules).unionByName(extract(made.where("event_id % 7 = 0"), [Rule("first", "zzz")]))
+    return rows.select("page_id", "key", "kind", "status", "value")
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of tables, made from the parts: header and data cells in the order of the page."""
+    p = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<table><tr><th> key <th>name</tr><tr><td>"), F.col("n_nationkey").cast("string"), F.lit("<td>\n "), F.col("n_name"), F.lit("</table><p>x")).alias("html"))
+    found = shape.positions(extract(p, ["cells: //table//tr//td/text()", "heads: //table//th/text()"]))
+    return found.select("page_id", "key", F.col("pos").cast("long").alias("pos"), "item")
+
+
 QUERIES = {
     "preset": preset,
     "xpath_title": values_of("//title/text()"),
@@ -260,6 +320,12 @@ QUERIES = {
     "wide_json": wide,
     "first_matches": first_of_matches,
     "stream_extract": streamed,
+    "stream_repeats": repeats_skipped,
+    "read_pages": read_sources,
+    "read_jobs": read_job_files,
+    "csv_and_xml": written_files,
+    "json_lists": json_lists,
+    "table_cells": table_cells,
 }
 
 _HOST = r"regexp_extract(url, '^\w+://([^/?#]*)', 1)"
@@ -298,7 +364,29 @@ _LONG = f"""(SELECT page_id, url, key, rule_idx, len(m) AS n, CASE WHEN key = 'b
   SELECT page_id, url, 'query', 3, regexp_extract_all(html, '\\?page=\\d+') FROM pages UNION ALL
   SELECT page_id, url, 'bad', 4, [] FROM pages))""".replace("\\\\", "\\")
 
+#: The preset's rules: texts that are right below a paragraph end where an element of its own starts.
+_PRESET = f"""(SELECT page_id, url, 1 AS rule_idx, 'title' AS key, [{_text("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}] AS m FROM pages
+  UNION ALL SELECT page_id, url, 2, 'heading', [{_text("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}] FROM pages
+  UNION ALL SELECT page_id, url, 3, 'links', list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: {_text("x")}) FROM pages
+  UNION ALL SELECT page_id, url, 4, 'paragraphs', list_transform(flatten(list_transform(string_split(html, '<p>')[2:], lambda x: list_filter(string_split(
+    regexp_replace(regexp_replace(regexp_replace(x, '(?s)(?:</p>|</?article|<footer|<div|<h1|<nav).*$', ''), '(?s)<b>.*?(?:</b>|$)', chr(1), 'g'), '<br>', chr(1), 'g'), chr(1)), lambda y: y <> ''))), lambda x: {_text("x")}) FROM pages
+  UNION ALL SELECT page_id, url, 5, 'meta_description', [] FROM pages)"""
+
 ORACLE_SQL = {
+    "preset": f"""SELECT page_id, url, CAST(rule_idx AS BIGINT) AS rule_idx, key, 'xpath' AS kind, CASE WHEN len(m) = 0 THEN 'no_data' WHEN len(m) = 1 THEN 'one' ELSE 'many' END AS status, CAST(len(m) AS BIGINT) AS n_matches,
+  CASE WHEN len(m) = 0 THEN 'No data found' WHEN len(m) = 1 THEN m[1] ELSE CAST(to_json(m[1:10]) AS VARCHAR) END AS value FROM {_PRESET}""",
+    "stream_repeats": "SELECT DISTINCT url FROM pages",
+    "read_pages": "SELECT kind, page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages, (VALUES ('parquet'), ('json')) k(kind)",
+    "read_jobs": """SELECT page_id AS job_id, url, CAST(pos AS BIGINT) AS pos, CASE pos WHEN 0 THEN 't: //title' ELSE 'id: ' || page_id END AS rule, CASE WHEN page_id % 2 = 0 THEN 'playwright' ELSE 'requests' END AS mode
+FROM pages, (VALUES (0), (1)) k(pos)""",
+    "csv_and_xml": f"""SELECT kind, page_id, key, CASE WHEN len(m) = 1 THEN 'one' ELSE 'many' END AS status, CAST(len(m) AS BIGINT) AS n_matches, CASE WHEN len(m) = 1 THEN trim(m[1], {_SPACES}) ELSE array_to_string(m[1:10], chr(10)) END AS shown
+FROM (SELECT page_id, 'links' AS key, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS m FROM pages UNION ALL SELECT page_id, 'title', [regexp_extract(html, '<title>([A-Za-z]*)', 1)] FROM pages), (VALUES ('csv'), ('xml')) k(kind)""",
+    "json_lists": """SELECT event_id AS page_id, key, CASE WHEN event_id % 7 = 0 THEN 'regex' ELSE 'json_path' END AS kind, CASE WHEN event_id % 7 = 0 THEN 'no_match' WHEN value IS NULL THEN 'error' ELSE 'one' END AS status,
+  CASE WHEN event_id % 7 = 0 THEN 'No matches found' ELSE coalesce(value, 'JSON extraction error: nothing at ' || path) END AS value
+FROM (SELECT event_id, key, path, json_extract_string(body, path) AS value FROM (SELECT event_id, json_object('a', [json_object('t', event_type), json_object('t', CAST(user_id AS VARCHAR))], 'b', json_object('n', [user_id, event_id])) AS body FROM events),
+  (VALUES ('first', '$.a[0].t'), ('last', '$.a[-1].t'), ('number', '$.b.n[1]'), ('back', '$.b.n[-2]'), ('beyond', '$.a[2].t'), ('before', '$.b.n[-3]')) k(key, path)) WHERE event_id % 7 <> 0 OR key = 'first'""",
+    "table_cells": """SELECT n_nationkey AS page_id, key, CAST(pos AS BIGINT) AS pos, CASE WHEN key = 'heads' THEN head WHEN pos = 1 THEN CAST(n_nationkey AS VARCHAR) ELSE n_name END AS item
+FROM nation, (VALUES ('cells', 1, ''), ('cells', 2, ''), ('heads', 1, 'key'), ('heads', 2, 'name')) k(key, pos, head)""",
     "xpath_title": _one("(?s)<title>(.*?)</title>", "xpath"),
     "xpath_heading": _one("(?s)<h1>(.*?)</h1>", "xpath"),
     "xpath_footer": _one("(?s)<footer>(.*?)</footer>", "xpath"),
