@@ -4,6 +4,13 @@ Each stage gets what the one before has written and reads all of it: the
 quality classifier drops documents, exact and near deduplication keep one
 document of each group, decontamination drops documents that hold benchmark
 passages, and what remains is encoded.
+
+Rows without an id stay to the end, as nothing can name them; of rows that repeat
+an id and a text one stays, and else they go together wherever one of them goes.
+Null and empty texts, and those of white space, are scored like any other; they
+are copies of each other, of which one stays, hold no passage and have no tokens.
+Texts are read whole at any length.  Columns beyond those of ``documents`` go
+through unread.  No documents give no rows; without labels nothing is rejected.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pagesift.llm.decontaminate import drop_contaminated
 from pagesift.llm.exact_dedup import deduplicate
 from pagesift.llm.piece_codec import encode
 from pagesift.llm.quality import keep_good
-from pagesift.llm.simhash import drop_near_copies
+from pagesift.llm.near_copies import drop_near_copies
 
 MODEL = "piece_bpe_32k.model"
 
