@@ -18,6 +18,9 @@ HOT_ROWS = 100
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Bytes of texts that go to a Python worker at once, unless the session has a setting of its own.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is.
@@ -27,6 +30,18 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``doc_id`` and ``text`` of ``docs``, and more columns between them, to be handed to Python workers.
+
+    Texts go there in batches bounded in bytes, which is a setting of the
+    session: rows alone would bound nothing where texts are long.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, small_enough, table, written
+from .common import join_hot, small_enough, table, texts_of, written
 from .components import connected_components
 
 SHINGLE, MAX_BITS = 4, 4
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def signed(x: int) -> int:

@@ -20,14 +20,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts_of
 
-#: Bounds of the broadcast table: documents looked at for it, characters taken
-#: from each, and pieces held.  The table decides speed only: what isn't in it
-#: is encoded exactly, so the result doesn't depend on these figures.
-TABLE_DOCS, TABLE_CHARS, TABLE_SIZE = 2_000, 20_000, 50_000
-#: Entries in a worker's cache before it starts anew, and the longest piece it holds.
-CACHE_SIZE, CACHE_CHARS = 1_000_000, 64
+#: Bounds of the broadcast table: documents drawn for it from all of the table,
+#: pieces that each may name, and pieces held.  The table decides speed only:
+#: what isn't in it is encoded exactly, so no result depends on these figures.
+TABLE_DOCS, DOC_PIECES, TABLE_SIZE = 2_000, 1_000, 50_000
+#: Entries in a worker's cache before it starts anew (about 150 bytes each), and the longest piece it holds.
+CACHE_SIZE, CACHE_CHARS = 300_000, 64
 
 #: A word and the marks after it: two pre-tokens for the tokenizer.  Its lower-casing
 #: of these letters is Python's, and none of the marks joins a letter.
@@ -113,12 +113,26 @@ class Lookup:
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text") -> dict[str, int]:
-    """The pieces seen most often in the first documents, with their token counts."""
-    rows = docs.select(F.substring(text_col, 1, TABLE_CHARS).alias("t")).where("t IS NOT NULL").limit(TABLE_DOCS)
-    seen: Counter = Counter()
-    for row in rows.toLocalIterator():
-        seen.update(x for x in pieces(row.t) if 0 < len(x) <= CACHE_CHARS)
-    words = [x for x, _ in seen.most_common(TABLE_SIZE)]
+    """The pieces seen most often in documents drawn from all of the table, with their token counts.
+
+    Tasks count the pieces of the documents that they draw; nothing is shuffled,
+    and at most ``DOC_PIECES`` pieces of about ``TABLE_DOCS`` documents reach the
+    driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for x in b.column(0):
+                seen.update(dict(Counter(y for y in pieces(x.as_py()) if 0 < len(y) <= CACHE_CHARS).most_common(DOC_PIECES)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+
+    share = min(1.0, TABLE_DOCS / max(1, docs.count()))
+    drawn = docs.select(F.col(text_col).alias("text")).sample(share, seed=7).where("text IS NOT NULL")
+    total: Counter = Counter()
+    for piece, n in drawn.mapInArrow(run, "piece string, n long").collect():
+        total[piece] += n
+    words = [x for x, _ in total.most_common(TABLE_SIZE)]
     return dict(zip(words, lengths(load_tokenizer(path), words), strict=True)) if words else {}
 
 
@@ -145,7 +159,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), counts], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
+    rows = texts_of(docs, id_col, text_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
