@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, texts_of, written
 from .quality import held_out
 
 #: Rows of the embedding table, its width, filters of each width, and filter widths.
@@ -331,7 +331,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 logits, langs = own.logits(b.column(1).slice(k, 512).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 512), pa.array(logits), pa.array(langs.astype(np.int32))], ["doc_id", "logit", "lang"])
 
-    scored = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, logit double, lang int"), "logits")
+    scored = written(texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, logit double, lang int"), "logits")
     if learned:
         told = known.join(fitted.withColumn("fitted", F.lit(1)), "label_id", "left").join(scored, F.col("label_id") == F.col("doc_id"))
         at = F.floor(F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.col("logit"))) * BINS).cast("int")
