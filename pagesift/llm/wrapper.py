@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.htmltree import BLOCK, Element, parse
 
-from .common import fits, hot_keys, join_hot, table, written
+from .common import fits, hot_keys, join_hot, table, texts_of, written
 
 #: A place is template if at least so many distinct pages, and so large a part
 #: of the host's distinct pages, have it and all of them say the same there.  On
@@ -396,7 +396,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     are taken as one host.  Repeated rows each give a row; other columns are
     ignored; an empty table gives no rows.
     """
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
+    own = texts_of(pages, id_col, html_col, F.col(url_col).alias("url"), host_of(url_col).alias("host")).withColumnsRenamed({"doc_id": "page_id", "text": "html"})
     wrappers = induce_wrappers(own)
     kind = own.schema["page_id"].dataType.simpleString()
 
