@@ -1,14 +1,17 @@
 """Exact deduplication by a stream with keyed state.
 
-Digests of texts arrive as a stream.  A streaming aggregation keeps, for every
+Normalised texts are stored as they arrive, each run in a folder of its own, and
+their digests are taken in as a stream.  A streaming aggregation keeps, for every
 digest ever seen, the row that stays, where its content lies and how many rows
 there were; its state lives on disk (RocksDB) and never expires, so a later run
-with the same checkpoint goes on where the last one ended.  Where a digest has
-been hit more than once, the full bytes of all its texts are compared.
+with the same state goes on where the last one ended.  Where a run hits a digest
+that has more than one row, the full bytes of all its texts, of earlier runs
+too, are read back from where they lie and compared.
 """
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +27,14 @@ STATE = {
     # state that is small for its number of partitions would else claim disk ahead of need
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a task closes its part of the state when it ends, and all open ones share bounded memory
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
 }
+CONTENTS = "doc_id {kind}, digest string, full string, n_bytes long, run long, row long, content string"
 
 
 def normal(text_col: str) -> Column:
@@ -43,26 +53,35 @@ def disk_state(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def arrivals(docs: DataFrame, id_col: str, text_col: str, digest_chars: int) -> DataFrame:
-    """``doc_id``, ``digest``, ``n_bytes``, ``row`` (tells repeated rows apart) and ``locator``, one row per document."""
+def store(docs: DataFrame, state_path: str, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64) -> int:
+    """Store the normalised texts of ``docs`` as a new run, whose number is returned.
+
+    A row is named by ``run`` and ``row``, whose upper bits are the number of
+    the file that it lies in; so these two are its locator.
+    """
+    run = time.time_ns() // 1000
     text = normal(text_col)
-    return docs.select(
+    full = F.sha2(text, 256)
+    docs.select(
         F.col(id_col).alias("doc_id"),
-        F.substring(F.sha2(text, 256), 1, digest_chars).alias("digest"),
+        F.substring(full, 1, digest_chars).alias("digest"),
+        full.alias("full"),
         F.octet_length(text).cast("long").alias("n_bytes"),
+        F.lit(run).cast("long").alias("run"),
         F.monotonically_increasing_id().alias("row"),
-        F.input_file_name().alias("locator"),
-    )
+        text.alias("content"),
+    ).write.parquet(f"{state_path}/contents/run-{run}")
+    return run
 
 
 def stream_index(stream: DataFrame) -> DataFrame:
-    """The keyed state: per digest and length the row that stays, with its locator, and the number of rows."""
-    keep = F.max(F.struct("doc_id", "row", "locator")).alias("keep")
-    return stream.groupBy("digest", "n_bytes").agg(keep, F.count(F.lit(1)).alias("group_size"))
+    """The keyed state: per digest and length the row that stays, with its locator, the number of rows and the last run."""
+    keep = F.max(F.struct("doc_id", "run", "row")).alias("keep")
+    return stream.groupBy("digest", "n_bytes").agg(keep, F.count(F.lit(1)).alias("group_size"), F.max("run").alias("last_run"))
 
 
-def run_index(spark: SparkSession, path: str, schema, state_path: str, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
-    """Take in what is new under ``path`` and return the index after it.
+def run_index(spark: SparkSession, state_path: str, kind: str, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
+    """Take in what is new among the stored contents and return the index after it; ``kind`` is the type of ids.
 
     Every micro-batch writes the keys it touched to a folder of its own, which a
     batch that is run again after a failure overwrites.
@@ -72,55 +91,64 @@ def run_index(spark: SparkSession, path: str, schema, state_path: str, bytes_per
     def put(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch:06d}")
 
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
+    stream = spark.readStream.schema(CONTENTS.format(kind=kind)).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{state_path}/contents/*")
     index = stream_index(stream)
     with disk_state(spark):
         index.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema("digest string, n_bytes long, keep struct<doc_id: bigint, row: bigint, locator: string>, group_size long, batch int".replace("bigint", schema["doc_id"].dataType.simpleString(), 1)).parquet(out)
-    newest = F.max_by(F.struct("keep", "group_size"), "batch").alias("x")
-    return found.groupBy("digest", "n_bytes").agg(newest).select("digest", "n_bytes", "x.keep", "x.group_size")
+    found = spark.read.schema(f"digest string, n_bytes long, keep struct<doc_id: {kind}, run: bigint, row: bigint>, group_size long, last_run long, batch int").parquet(out)
+    newest = F.max_by(F.struct("keep", "group_size", "last_run"), "batch").alias("x")
+    return found.groupBy("digest", "n_bytes").agg(newest).select("digest", "n_bytes", "x.*")
 
 
-def collisions(docs: DataFrame, index: DataFrame, text_col: str, digest_chars: int) -> DataFrame:
-    """Digests, hit more than once, whose texts aren't all the same bytes.
+def collisions(contents: DataFrame, hits: DataFrame) -> DataFrame:
+    """Digests of ``hits`` whose texts aren't all the same bytes.
 
     The least and the greatest text of a digest are first found within each
     partition, so a group of any size moves two texts per partition at most.
     """
-    hit = small_enough(index.where("group_size > 1").select("digest"), BROADCAST_DIGESTS)
-    text = normal(text_col)
-    texts = docs.select(F.substring(F.sha2(text, 256), 1, digest_chars).alias("digest"), text.alias("text")).join(hit, "digest", "left_semi")
-    return texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest")
+    texts = contents.select("digest", "content").join(small_enough(hits, BROADCAST_DIGESTS), "digest", "left_semi")
+    return texts.groupBy("digest").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a != b").select("digest")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, state_path: str | None = None, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
     """Groups of texts that are equal but for the case of A-Z.
 
-    One row per row of ``docs``: ``doc_id``, ``keep_id`` (the largest id of the
-    group), ``group_size``, ``kept``, ``text_sha256`` of the normalised text and
-    ``locator`` (the file the staying text was read from).  A null text is an
-    empty one.  Of rows that repeat an id and a text one is kept; a null id is
-    less than any other.  Other columns are ignored.  An empty table gives no rows.
+    One row per row of ``docs``, and of those that earlier calls with the same
+    ``state_path`` took in: ``doc_id``, ``keep_id`` (the largest id of the
+    group), ``group_size``, ``kept``, ``text_sha256`` of the normalised text,
+    and ``run`` and ``row``, which name the row, with ``keep_run`` and
+    ``keep_row`` for the one that stays.  A null text is an empty one.  Of rows
+    that repeat an id and a text the last one is kept; a null id is less than
+    any other.  Other columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     state_path = state_path or scratch_path(spark, "dedup")
-    seen = arrivals(docs, id_col, text_col, 64)
-    path = f"{state_path}/arrivals"
-    seen.withColumn("full", F.col("digest")).withColumn("digest", F.substring("digest", 1, digest_chars)).write.mode("append").parquet(path)
-    rows = spark.read.schema(f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest string, n_bytes long, row long, locator string, full string").parquet(path)
+    kind = docs.schema[id_col].dataType.simpleString()
+    run = store(docs, state_path, id_col, text_col, digest_chars)
+    contents = spark.read.schema(CONTENTS.format(kind=kind)).parquet(f"{state_path}/contents/*")
+    rows = contents.drop("content")
     if rows.isEmpty():
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("full").alias("text_sha256"), "locator")
-    index = written(run_index(spark, path, rows.schema, state_path, bytes_per_batch), "index")
-    wrong = written(collisions(docs, index, text_col, digest_chars), "collisions")
-    out = join_hot(rows, index, ["digest", "n_bytes"], "group_size")
-    if not wrong.isEmpty():  # one digest for several texts: these are grouped by their whole text
-        text = normal(text_col)
-        texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("full"), F.input_file_name().alias("locator"), F.monotonically_increasing_id().alias("row"))
-        texts = texts.withColumn("digest", F.substring("full", 1, digest_chars)).withColumn("n_bytes", F.octet_length("text").cast("long")).join(small_enough(wrong, BROADCAST_DIGESTS), "digest", "left_semi")
-        exact = texts.groupBy("text").agg(F.max(F.struct("doc_id", "row", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        apart = texts.join(exact, "text").select(out.columns)
-        out = out.join(small_enough(wrong, BROADCAST_DIGESTS), "digest", "left_anti").unionByName(apart)
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.col("full").alias("text_sha256"), F.col("keep.locator").alias("locator"))
+        index = rows.select("digest", "n_bytes", F.struct("doc_id", "run", "row").alias("keep"), F.lit(1).cast("long").alias("group_size"))
+        out = rows.join(index, ["digest", "n_bytes"])
+    else:
+        index = written(run_index(spark, state_path, kind, bytes_per_batch), "index")
+        hits = written(index.where((F.col("group_size") > 1) & (F.col("last_run") == run)).select("digest").distinct(), "hits")
+        collisions(contents, hits).write.parquet(f"{state_path}/collisions/run-{run}")
+        wrong = spark.read.schema("digest string").parquet(f"{state_path}/collisions/*").distinct()
+        out = join_hot(rows, index.drop("last_run"), ["digest", "n_bytes"], "group_size")
+        if not wrong.isEmpty():  # one digest for several texts: these are grouped by their whole text
+            texts = contents.join(small_enough(wrong, BROADCAST_DIGESTS), "digest", "left_semi")
+            exact = texts.groupBy("content").agg(F.max(F.struct("doc_id", "run", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+            apart = texts.join(exact, "content").select(out.columns)
+            out = out.join(small_enough(wrong, BROADCAST_DIGESTS), "digest", "left_anti").unionByName(apart)
+    kept = (F.col("run") == F.col("keep.run")) & (F.col("row") == F.col("keep.row"))
+    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("full").alias("text_sha256"), "run", "row", F.col("keep.run").alias("keep_run"), F.col("keep.row").alias("keep_row"))
+
+
+def content_at(spark: SparkSession, state_path: str, places: DataFrame) -> DataFrame:
+    """The stored texts that ``places`` (``run``, ``row``) lead to."""
+    contents = spark.read.schema("run long, row long, content string").parquet(f"{state_path}/contents/*")
+    return contents.join(small_enough(places.select("run", "row").distinct()), ["run", "row"])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +168,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents")).drop("locator")
+    return exact_groups(table(spark, sf_dir, "documents")).drop("run", "row", "keep_run", "keep_row")
 
 
 OP4_SQL = """
