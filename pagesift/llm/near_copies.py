@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, join_hot, keep_ids, small_enough, written
+from .common import drop_ids, join_hot, keep_ids, small_enough, texts_of, written
 from .components import connected_components
 from .simhash import distance, links, shingle_hashes, word_list
 
@@ -29,7 +29,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, MAX_BITS, REACH = 3, 7, 30
 #: Shingles of the documents of a group that a task compares with each other at
 #: once; a larger group is cut into blocks, each pair of which is compared by itself.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 17
 _STEP = 1 << 14
 
 
@@ -79,7 +79,7 @@ def near_units(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds:
             fps = np.array(fps, np.uint64).reshape(-1, seeds).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), *(pa.array(fps[:, s]) for s in range(seeds))], ["doc_id", "same", *names])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    rows = texts_of(docs, id_col, text_col).where("doc_id IS NOT NULL")
     own = written(rows.mapInArrow(run, f"doc_id {kind}, same binary, " + ", ".join(f"{x} long" for x in names)), "signatures")
     units = written(own.groupBy("same", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "units")
     copies = join_hot(own.select("doc_id", "same"), units.where("copies > 1").select("same", "first", "copies"), ["same"], "copies").where("doc_id != first")
@@ -209,7 +209,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sh
             sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "grams"])
 
-    texts = keep_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ids, "doc_id")
+    texts = keep_ids(texts_of(docs, id_col, text_col), ids, "doc_id")
     return texts.mapInArrow(run, f"doc_id {kind}, grams array<long>").dropDuplicates(["doc_id"])
 
 

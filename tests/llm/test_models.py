@@ -186,6 +186,36 @@ def test_quality_learns_nothing_from_held_out_labels(spark):
     assert a == pytest.approx(b)
 
 
+def test_quality_is_the_plain_ridge_solution(spark):
+    """Sums over partitions give what one system over all rows gives, null and doubled labels aside."""
+    from pagesift.llm import quality
+
+    docs, labels = labelled(spark, 400)
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    labels = labels.union(labels.where("doc_id < 50")).union(labels.limit(30).withColumn("quality", F.lit(None).cast("int")))
+    seen, plain = [], quality.fit
+    stats = {r.doc_id: statistics(r.text) for r in docs.collect()}
+    rows = [(stats[i], y) for i, y in known.items() if i in stats and zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    model = quality.Model(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3))
+    z = model.expand(x)
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * max(1.0, len(z) / 1000) * np.eye(z.shape[1]), z.T @ y)
+
+    def fit(rows):
+        seen.append(plain(rows))
+        return seen[-1]
+
+    quality.fit, before = fit, quality.fit
+    try:
+        got = {r.doc_id: r.score for r in quality_scores(docs.repartition(7), labels).collect()}
+    finally:
+        quality.fit = before
+    assert seen[0].weights == pytest.approx(want, rel=1e-6, abs=1e-8)
+    raw = model.expand(np.array([stats[k] for k in range(400)])) @ want
+    order = np.argsort(raw)
+    assert (np.diff(np.array([got[k] for k in range(400)])[order]) >= -1e-9).all()
+
+
 def test_statistics_and_isotonic():
     for t in (None, "", " ", "\n\n", "x", "é" * 10_000, "\x00"):
         assert len(statistics(t)) == N_STATS and np.isfinite(statistics(t)).all()
@@ -269,25 +299,42 @@ def test_languages():
     assert [toxicity.LANGUAGES[toxicity.language(t.split())] for t in ("the cat of it", "der hund und die", "le chat et les", "el gato y los", "zz", "")] == ["en", "de", "fr", "es", "other", "other"]
 
 
+def write_tables(spark, at, docs, labels, items):
+    docs.write.parquet(f"{at}/documents.parquet")
+    labels.write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+
 def test_pipeline(spark, tmp_path):
-    """Each stage's decisions, seen on planted documents."""
+    """Each stage's decisions, seen on planted documents; null, empty, very long and repeated rows go through."""
     docs, labels = labelled(spark, 600)
     r = random.Random(9)
     passage = " ".join(r.choice(["th", "er", "in", "on", "ath", "esin"]) + str(r.randrange(30)) for _ in range(25))
     long = " ".join("".join(r.choice(["th", "er", "in", "on", "at", "es"]) for _ in range(r.randrange(1, 4))) for _ in range(190))
-    planted = [(5001, "The " + long), (5002, "the " + long), (5003, "the " + long + " th"), (5004, f"er in at {passage} on es er")]
-    clean = docs.select("doc_id", "text").where("doc_id < 9000").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
-    clean = clean.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
-    clean.write.parquet(f"{tmp_path}/documents.parquet")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    planted = [(5001, "The " + long), (5002, "the " + long), (5003, "the " + long + " th"), (5004, f"er in at {passage} on es er"), (5002, "the " + long), (None, long), (None, f"er {passage}"), (5005, None)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    every = every.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *(F.lit(1).alias(c) for c in ("fp0", "digest", "words", "score", "at", "grams", "root", "keep")))
+    write_tables(spark, tmp_path, every, labels, [(1, passage), (2, None)])
     assert len(corpus_pipeline.STAGES) == 5
-    got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {x.doc_id: x for x in found}
     assert 5004 not in got and 5001 not in got and len({5002, 5003} & set(got)) == 1
+    assert sum(x.doc_id == 5002 for x in found) <= 1 and sum(x.doc_id is None for x in found) == 3  # rows without an id stay
+    assert len({9000, 9001, 5005} & set(got)) <= 1  # texts without words are copies of each other
     bad = [k for k in range(600) if k % 5 == 0]
     good = [k for k in range(600) if k % 5]
     assert sum(k in got for k in bad) <= 0.05 * len(bad) and sum(k in got for k in good) >= 0.97 * len(good)
-    texts = {x.doc_id: x.text for x in clean.collect()}
+    texts = {x.doc_id: x.text for x in every.collect()}
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     for k in list(got)[:50]:
-        assert got[k].n_tokens == len(model.encode(texts[k]))
+        if k is not None:
+            assert got[k].n_tokens == len(model.encode(texts[k] or ""))
+
+
+def test_pipeline_of_no_rows_and_of_no_labels(spark, tmp_path):
+    docs, labels = labelled(spark, 20)
+    docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    write_tables(spark, f"{tmp_path}/a", docs.limit(0), labels, [(1, "a b")])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    write_tables(spark, f"{tmp_path}/b", docs, labels.limit(0), [])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() >= 20
