@@ -22,7 +22,7 @@ from .common import drop_ids, lower_ascii, small_enough, table, written
 GRAM, WINDOW = 5, 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows that one piece of a text has.
-STRIDE = 16
+STRIDE = 8
 #: Rows of benchmark fingerprints, and bytes of the words around them, that may be broadcast.
 BROADCAST_RUNS, BROADCAST_BYTES = 200_000, 64 << 20
 
@@ -33,40 +33,62 @@ def words_of(text: Column) -> Column:
 
 
 def winnowed(texts: DataFrame, k: int, length: int) -> DataFrame:
-    """The fingerprints of texts: their columns without ``words``, ``at`` (the place of the k-gram, from 1), ``hash``, and ``here``.
+    """The fingerprints of texts: their columns without ``words``, ``block``, ``near``, ``j`` and ``hash``.
 
-    ``here`` has the words that a window with this k-gram can have, null beyond
-    the text's ends.  A text is cut into overlapping pieces for ``STRIDE``
-    windows each, so that no row carries a whole text, and a k-gram is hashed
-    once in a piece; all that is done for each word is compiled code.
+    A text is cut into overlapping pieces for ``STRIDE`` windows each, so that
+    no row carries a whole text: ``near`` has the words of the piece, and the
+    fingerprint is that of its window ``j``.  A word is hashed once, and a k-gram
+    once in a piece, by compiled code that is short enough for the JVM.
+
+    A window's fingerprint is new if the k-gram that has left was the least of
+    the window before, or the one that came is less than all others.
     """
     n, pad = length - k + 1, max(1, length - k)  # k-grams of a window; words to the left of a piece's first window
     windows = F.size("words") - length + 1
-    padded = F.concat(F.array_repeat(F.lit(None).cast("string"), pad), F.col("words"))
-    piece = lambda b: F.slice(padded, b * STRIDE + 1, pad + STRIDE + n + length - 2)
-    pieces = F.when(windows > 0, F.transform(F.sequence(F.lit(0), F.floor((windows - 1) / STRIDE).cast("int")), piece)).otherwise(F.array().cast("array<array<string>>"))
     kept = [c for c in texts.columns if c != "words"]
-    rows = texts.withColumn("windows", windows).select(*kept, "windows", F.posexplode(pieces).alias("block", "near")).withColumn("hashes", F.transform("near", lambda w: F.xxhash64(w)))
-    gram = lambda i: F.xxhash64(*(F.get("hashes", F.lit(pad + i + j)) for j in range(k)))
-    rows = rows.select(*kept, "windows", "block", "near", *(gram(i).alias(f"gram{i + 1}") for i in range(-1, STRIDE + n - 1)))
-    g = lambda i: F.col(f"gram{i + 1}")
-    least = lambda a, b: F.least(*(g(i) for i in range(a, b))) if b - a > 1 else g(a)
-
-    def fingerprint(j: int) -> Column:
-        """Of the window at ``j`` of a piece, if it isn't that of the window before.
 
-        It is new if the k-gram that has left was the least of the window
-        before, or the one that came is less than all others.
-        """
-        value = least(j, j + n)
-        place = reduce(lambda found, i: found.when(g(i) == value, i), range(j + 1, j + n), F.when(g(j) == value, j))
-        there = F.col("block") * STRIDE + j < F.col("windows")
-        new = F.lit(True) if n == 1 else (F.col("block") * STRIDE + j == 0) | (g(j - 1) <= least(j, j + n - 1)) | (g(j + n - 1) < least(j, j + n - 1))
-        return F.when(there & new, F.struct(place.alias("place"), value.alias("hash")))
+    def piece(column: str, kind: str, b: Column) -> Column:
+        """What a column has for a block of windows and around it, with nulls before the text's first word."""
+        missing = F.greatest(F.lit(0), pad - b * STRIDE)
+        own = F.slice(column, F.greatest(F.lit(1), b * STRIDE + 1 - pad), pad - missing + STRIDE + n + length - 2)
+        return F.when(missing == 0, own).otherwise(F.concat(F.array_repeat(F.lit(None).cast(kind), missing), own))
+
+    both = lambda b: F.struct(piece("words", "string", b).alias("near"), piece("hashes", "long", b).alias("hashes"))
+    blocks = F.sequence(F.lit(0), F.floor((F.col("windows") - 1) / STRIDE).cast("int"))
+    rows = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("windows", windows).where("windows > 0")
+    rows = rows.select(*kept, "windows", F.posexplode(F.transform(blocks, both)).alias("block", "piece"))
+    first, last = pad - 1, pad + STRIDE + n + k - 3
+    rows = rows.select(*kept, "windows", "block", F.col("piece.near").alias("near"), *(F.coalesce(F.get("piece.hashes", F.lit(i)), F.lit(0)).alias(f"word{i}") for i in range(first, last + 1)))
+    rows = rows.select(*kept, "windows", "block", "near", *(F.xxhash64(*(f"word{pad + i + x}" for x in range(k))).alias(f"gram{i + 1}") for i in range(-1, STRIDE + n - 1)))
+    g = lambda i: F.col(f"gram{i + 1}")
+    if n == 1:
+        new = lambda j: F.struct(F.lit(j).alias("j"), g(j).alias("hash"))
+    else:
+        least = lambda j: F.least(*(g(i) for i in range(j, j + n - 1))) if n > 2 else g(j)
+        rows = rows.select("*", *(least(j).alias(f"least{j}") for j in range(STRIDE)))
+        isnew = lambda j: (F.col("block") * STRIDE + j == 0) | (g(j - 1) <= F.col(f"least{j}")) | (g(j + n - 1) < F.col(f"least{j}"))
+        new = lambda j: F.when(isnew(j), F.struct(F.lit(j).alias("j"), F.least(f"least{j}", g(j + n - 1)).alias("hash")))
+    prints = F.array(*(F.when(F.col("block") * STRIDE + j < F.col("windows"), new(j)) for j in range(STRIDE)))
+    # an array of its own before it is exploded: within the generator it wouldn't be compiled
+    rows = rows.select(*kept, "block", "near", prints.alias("prints"))
+    return rows.select(*kept, "block", "near", F.explode(F.array_compact("prints")).alias("f")).select(*kept, "block", "near", "f.j", "f.hash")
+
+
+def located(found: DataFrame, k: int, length: int) -> DataFrame:
+    """Fingerprints with ``at``, the place of the k-gram (from 1), and ``here``.
 
-    found = rows.select(*kept, "block", "near", F.explode(F.array_compact(F.array(*(fingerprint(j) for j in range(STRIDE))))).alias("f"))
-    at = F.col("block") * STRIDE + F.col("f.place") + 1
-    return found.select(*kept, at.alias("at"), F.col("f.hash").alias("hash"), F.slice("near", F.col("f.place") + (pad - (length - k) + 1), 2 * length - k).alias("here"))
+    ``here`` has the words that a window with this k-gram can have, null beyond
+    the text's ends.
+    """
+    n, pad = length - k + 1, max(1, length - k)
+    rest = [c for c in found.columns if c not in ("block", "near", "j")]
+    hashes = F.transform(F.slice("near", F.col("j") + (pad + 1), length), lambda w: F.xxhash64(w))
+    rows = found.withColumn("hashes", hashes)
+    gram = lambda i: F.xxhash64(*(F.get("hashes", F.lit(i + x)) for x in range(k)))
+    place = reduce(lambda c, i: c.when(gram(i) == F.col("hash"), i), range(1, n), F.when(gram(0) == F.col("hash"), 0))
+    rows = rows.withColumn("first", F.col("j") + place)
+    here = F.slice("near", F.col("first") + (pad - (length - k) + 1), 2 * length - k)
+    return rows.select(*rest, (F.col("block") * STRIDE + F.col("first") + 1).alias("at"), here.alias("here"))
 
 
 def benchmark_runs(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -80,12 +102,12 @@ def shared_runs(docs: DataFrame, items: DataFrame, k: int, length: int) -> DataF
 
     ``docs`` has ``id``, ``tag`` and ``words``, ``items`` has ``item`` and ``words``.
     """
-    kept = written(winnowed(items, k, length).select("item", "hash", F.col("here").alias("wanted")).distinct(), "fingerprints")
+    kept = written(located(winnowed(items, k, length), k, length).select("item", "hash", F.col("here").alias("wanted")).distinct(), "fingerprints")
     size = kept.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.array_join("wanted", " "))), F.lit(0)).alias("bytes")).first()
     if size.rows <= BROADCAST_RUNS and size.bytes <= BROADCAST_BYTES:
-        met = winnowed(docs, k, length).join(F.broadcast(kept), "hash")
+        met = located(winnowed(docs, k, length).join(F.broadcast(kept), "hash"), k, length)
     else:  # hashes and places alone are shuffled, and the words of the documents met are joined back
-        places = winnowed(docs, k, length).select("id", "tag", "at", "hash").join(kept.select("hash").distinct(), "hash")
+        places = located(winnowed(docs, k, length).join(kept.select("hash").distinct(), "hash"), k, length).select("id", "tag", "at", "hash")
         places = places.groupBy(F.col("id").alias("id_"), F.col("tag").alias("tag_")).agg(F.collect_set(F.struct("at", "hash")).alias("places"))
         back = docs.dropDuplicates(["id", "tag"]).join(places, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")))
         beside = F.concat(F.array_repeat(F.lit(None).cast("string"), length - k), F.col("words"))
