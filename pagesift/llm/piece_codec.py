@@ -25,12 +25,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts_of
 
 MARK = "▁"
-#: Words a worker keeps before it starts anew, and the longest word it keeps.
-CACHE_SIZE, CACHE_CHARS = 600_000, 64
-PAIRS_SIZE = 1_000_000
+#: Words of a worker's newer cache (the older one has as many; about 250 bytes each),
+#: the longest word it keeps, and pairs of pieces likewise (about 80 bytes each).
+CACHE_SIZE, CACHE_CHARS = 150_000, 64
+PAIRS_SIZE = 400_000
 
 _worker: dict = {}
 
@@ -56,6 +57,7 @@ class PieceModel:
         #: Two characters side by side in some piece; between any others no merge happens.
         self.inner = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.pairs: dict[int, bool] = {}
+        self.older: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             if len(p) == 1 or self._merge(list(p)) == [p]:
@@ -79,9 +81,13 @@ class PieceModel:
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two pieces, side by side, are their own encoding; remembered by both ids."""
         if len(self.pairs) >= PAIRS_SIZE:
-            self.pairs.clear()
-        a, b = self.piece[left], self.piece[right]
-        known = self.pairs[left << 32 | right] = a[-1] + b[0] not in self.inner or self._merge(list(a + b)) == [a, b]
+            self.older, self.pairs = self.pairs, {}
+        both = left << 32 | right
+        known = self.older.get(both)
+        if known is None:
+            a, b = self.piece[left], self.piece[right]
+            known = a[-1] + b[0] not in self.inner or self._merge(list(a + b)) == [a, b]
+        self.pairs[both] = known
         return known
 
     def last_pieces(self, text: str) -> list[int | None]:
@@ -141,23 +147,30 @@ class Codec:
     """Encodes and decodes whole texts in one worker, word by word through its cache.
 
     The cache has a word's ids, joined by commas, and the bytes they decode to.
+    When it is full it becomes the older one, from which words that come again
+    are taken over, so that frequent words stay.
     """
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
         self.cache: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def word(self, word: str) -> tuple[str, bytes]:
+        if found := self.older.get(word):
+            return self.keep(word, found)
         m = TAIL.fullmatch(word)
         if m and m[1][-1] + m[2][0] not in self.model.inner:  # the marks after a word are apart from it
             (a, x), (b, y) = (self.cache.get(w) or self.word(w) for w in m.groups())
             return f"{a},{b}", x + y
         ids = self.model.encode(word)
         found = ",".join(map(str, ids)), b"".join([self.model.raw[i] for i in ids])
-        if len(word) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_SIZE:
-                self.cache.clear()
-            self.cache[word] = found
+        return self.keep(word, found) if len(word) <= CACHE_CHARS else found
+
+    def keep(self, word: str, found: tuple[str, bytes]) -> tuple[str, bytes]:
+        if len(self.cache) >= CACHE_SIZE:
+            self.older, self.cache = self.cache, {}
+        self.cache[word] = found
         return found
 
     def run(self, text: str) -> tuple[int, str, str]:
@@ -200,7 +213,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.string())], ["doc_id", "ids", "decoded"])
 
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {out}")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, {out}")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

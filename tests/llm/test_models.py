@@ -74,6 +74,17 @@ def test_codec_on_random_texts_and_ids():
         assert own.model.decode(ids) == library.decode(ids), ids
 
 
+def test_full_caches_change_no_result(spark, monkeypatch):
+    from pagesift.llm import piece_codec
+
+    library, texts = sentencepiece.SentencePieceProcessor(model_file=PIECE), sample_texts(spark)
+    monkeypatch.setattr(piece_codec, "CACHE_SIZE", 50)
+    monkeypatch.setattr(piece_codec, "PAIRS_SIZE", 20)
+    own = Codec(PIECE)
+    assert all(own.run(t)[1] == ",".join(map(str, library.encode(t))) for t in texts if t)
+    assert len(own.cache) <= 50 and len(own.older) <= 50 and len(own.model.pairs) <= 20
+
+
 PAGE = """<html><head><title>t</title><script>var a="<article>";</script></head><body><header>site</header><nav><ul><li>menu</ul></nav>
 <div class="cookie-notice">accept</div><article><h1>Head &amp; line</h1><p>one <b>two</b>three<br>four<p>five&nbsp;
  six<div class="ad">buy</div><form>name</form><aside>side</aside><section id="comments"><p>reader</section>{}</article><footer>foot</footer></body></html>"""
