@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .cascade import OP13_SQL, op13_quality_rules
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .piece_codec import op10_piece_codec
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_piece_codec": op10_piece_codec,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op13_quality_rules": OP13_SQL,
 }
