@@ -30,15 +30,19 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let rows go to Python workers in batches bounded in bytes, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """``doc_id`` and ``text`` of ``docs``, and more columns between them, to be handed to Python workers.
 
     Texts go there in batches bounded in bytes, which is a setting of the
     session: rows alone would bound nothing where texts are long.
     """
-    spark = docs.sparkSession
-    if spark.conf.get(BATCH_SETTING, None) is None:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).alias("text"))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from .cascade import OP13_SQL, op13_quality_rules
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .lexical import OP12_SQL, op12_lexical_search
 from .piece_codec import op10_piece_codec
 from .quality import op3_quality
 from .sharding import op6_sharding
 from .simhash import op1_simhash
+from .spelling import op11_spelling
 from .token_counts import op7_token_counts
 from .toxicity import op5_toxicity
 from .warc import OP9_SQL, op9_warc
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_piece_codec": op10_piece_codec,
+    "op11_spelling": op11_spelling,
+    "op12_lexical_search": op12_lexical_search,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -33,5 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op12_lexical_search": OP12_SQL,
     "op13_quality_rules": OP13_SQL,
 }
