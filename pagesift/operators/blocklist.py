@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.functions.nodes import page_nodes
+from pagesift.functions.nodes import Needs, page_nodes
 
 #: Patterns that become one expression; a longer list is joined.
 MOST_PATTERNS = 1000
@@ -54,7 +54,8 @@ def resource_requests(pages: DataFrame, links: bool = False) -> DataFrame:
     """``page_id``, ``element`` and ``resource_url`` of what each page loads, absolute; with ``links`` its links too."""
     wanted = {n: a for n, a in _RESOURCES.items() if links or n != "a"}
     named = F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair))
-    asks = F.filter(page_nodes(F.col("html")), lambda n: n["attrs"][named[n["tag"]]].isNotNull())
+    needs = Needs(frozenset(wanted), frozenset(wanted.values()))
+    asks = F.filter(page_nodes(F.col("html"), needs), lambda n: n["attrs"][named[n["tag"]]].isNotNull())
     found = F.transform(asks, lambda n: F.struct(n["tag"].alias("element"), n["attrs"][named[n["tag"]]].alias("target")))
 
     scheme, place = F.regexp_extract("url", r"^(\w+):", 1), F.regexp_extract("url", r"^(\w+://[^/?#]*)", 1)

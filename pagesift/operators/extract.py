@@ -1,23 +1,24 @@
 """All rules on all pages in one pass: no join, no shuffle.
 
 Rules of one set are known before the job, so they become expressions of two
-projections: one that finds, with each rule's matches or nodes in a column of
-its own, and one that shapes what is found.  Regular expressions and JSON paths
-are Spark's own; XPath and CSS are filters over a page's nodes, which one
-vectorized function lists once for all rules.
+projections: one that finds, with each rule's matches in a column of its own,
+and one that shapes what is found.  Regular expressions and JSON paths are
+Spark's own; XPath and CSS are steps over a page's nodes, which one vectorized
+function lists once for all rules, leaving out what none of them can touch.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.functions.nodes import page_nodes
-from pagesift.functions.paths import Found, css, xpath
+from pagesift.functions.nodes import Needs, page_nodes
+from pagesift.functions.paths import css, found, literal, shown, xpath
 from pagesift.functions.text import first_ten, strip
-from pagesift.plans.rules import Pattern, Rule, checked_path, checked_pattern, parse_rules, route
+from pagesift.plans.rules import Pattern, Rule, checked_path, checked_patterns, parse_rules, route
 
 CAP = 10
 NO_DATA, NO_MATCH = "No data found", "No matches found"
@@ -30,16 +31,19 @@ def none() -> Column:
     return F.array().cast("array<string>")
 
 
-def result(rule: Rule, kind: str, status: Column, n: Column, values: Column, value: Column, error: Column) -> Column:
-    text = lambda s: F.lit(s).cast("string")
+def text_of(x: Column | str | None) -> Column:
+    return F.lit(x).cast("string")
+
+
+def result(rule: Rule, kind: Column | str, status: Column, n: Column, values: Column, value: Column, error: Column) -> Column:
+    """What a rule gives; its index, key and kind may be columns."""
     return F.struct(
-        F.lit(rule.index).alias("rule_idx"), text(rule.key).alias("key"), text(kind).alias("kind"), status.alias("status"), n.cast("int").alias("n_matches"), values.alias("values"), value.alias("value"), error.alias("error")
+        F.lit(rule.index).alias("rule_idx"), text_of(rule.key).alias("key"), text_of(kind).alias("kind"), status.alias("status"), n.cast("int").alias("n_matches"), values.alias("values"), value.alias("value"), error.alias("error")
     ).cast(RESULT)
 
 
-def failed(rule: Rule, kind: str, error: Column | str) -> Column:
-    e = F.lit(error) if isinstance(error, str) else error
-    return result(rule, kind, F.lit("error"), F.lit(0), none(), e, e)
+def failed(rule: Rule, kind: Column | str, error: Column | str) -> Column:
+    return result(rule, kind, F.lit("error"), F.lit(0), none(), text_of(error), text_of(error))
 
 
 def many_status(n: Column, nothing: str) -> Column:
@@ -52,9 +56,10 @@ def shaped(rule: Rule, kind: str, n: Column, values: Column, nothing: str, senti
     return result(rule, kind, many_status(n, nothing), n, values, value, F.lit(None).cast("string"))
 
 
-def dom_found(nodes: Column, found: Column, path: Found) -> Column:
-    """Of the nodes that an XPath or a selector found the number, and the first ten as text, stripped."""
-    return F.struct(F.size(found).alias("n"), F.transform(F.slice(found, 1, CAP), lambda n: strip(path.shown(nodes, n))).alias("values"))
+def dom_found(nodes: Column, path: Column) -> Column:
+    """Of the nodes that an XPath or a selector finds the number, and the first ten as text, stripped."""
+    counted = F.transform(F.array(found(nodes, path)), lambda x: F.struct(F.size(x).alias("n"), F.transform(F.slice(x, 1, CAP), lambda f: strip(shown(nodes, path, f))).alias("values")))
+    return counted[0]
 
 
 def matches(text: Column, p: Pattern) -> Column:
@@ -123,7 +128,7 @@ def json_path_found(expr: str, text: Column, variant: Column) -> Column:
 
 def json_path_result(rule: Rule, found: Column) -> Column:
     good = result(rule, "json_path", F.lit("one"), F.lit(1), F.array(found["value"]), found["value"], F.lit(None).cast("string"))
-    return F.when(found["there"], good).otherwise(failed(rule, "json_path", f"JSON extraction error: nothing at {rule.expr}"))
+    return F.when(found["there"], good).otherwise(failed(rule, "json_path", F.concat(F.lit("JSON extraction error: nothing at "), text_of(rule.expr))))
 
 
 def json_regex_result(rule: Rule, found: Column) -> Column:
@@ -150,9 +155,12 @@ def whole_json(text: Column, parsed: Column) -> Column:
     return parsed.isNotNull() & F.coalesce(F.when(parsed.isNotNull(), ends), F.lit(False))
 
 
-def build(spark: SparkSession, rules: list[Rule], text: Column, variant: Column, is_json: Column, nodes: Column) -> tuple[list[Column], list[Column], list[Column]]:
-    """What rules find in a page's nodes, as columns ``nodes1``, ...; what each finds, as ``found1``, ...; and what shapes it."""
-    inner, finds, shapes = [], [], []
+def build(rules: list[Rule], patterns: dict[str, Pattern | ValueError], text: Column, variant: Column, is_json: Column, dom: Column) -> tuple[list[Column], list[Column]]:
+    """What each rule finds, as columns ``found1``, ...; and what shapes it.
+
+    ``dom`` has what each of ``paths_of`` finds.
+    """
+    finds, shapes, places = [], [], {p: k for k, p in enumerate(paths_of(rules))}
 
     def find(column: Column) -> Column:
         name = f"found{len(finds) + 1}"
@@ -160,7 +168,7 @@ def build(spark: SparkSession, rules: list[Rule], text: Column, variant: Column,
         return F.col(name)
 
     for rule in rules:
-        by_type, patterns = {}, {}
+        by_type, used = {}, {}
         for js in (True, False):
             kind = route(rule, js)
             try:
@@ -170,29 +178,41 @@ def build(spark: SparkSession, rules: list[Rule], text: Column, variant: Column,
                     if wrong := checked_path(kind, rule.expr or ""):
                         by_type[js] = failed(rule, kind, wrong)
                     else:
-                        path = (xpath if kind == "xpath" else css)(rule.expr or "")
-                        inner.append(path.found(nodes).alias(f"nodes{len(inner) + 1}"))
-                        found = find(dom_found(nodes, F.col(f"nodes{len(inner)}"), path))
-                        by_type[js] = shaped(rule, kind, found["n"], found["values"], "no_data", NO_DATA)
+                        own = F.get(dom, F.lit(places[kind, rule.expr or ""]))
+                        by_type[js] = shaped(rule, kind, own["n"], own["values"], "no_data", NO_DATA)
                 elif kind == "json_key":
                     by_type[js] = json_key_result(rule, find(json_key_found(rule.key, text, variant)))
                 elif kind == "json_path":
                     by_type[js] = json_path_result(rule, find(json_path_found(rule.expr or "", text, variant)))
                 else:
-                    p = checked_pattern(spark, rule.key if kind == "key_regex" else rule.expr or rule.key)
+                    p = patterns[rule.key if kind == "key_regex" else rule.expr or rule.key]
+                    if isinstance(p, ValueError):
+                        raise p
                     if kind == "json_regex" and p.groups > 1:
                         by_type[js] = failed(rule, kind, "JSON extraction error: more than one group")
                     else:
-                        patterns[js] = (kind, p)
+                        used[js] = (kind, p)
             except ValueError as e:
                 by_type[js] = failed(rule, kind, ("JSON error: " if js else "Extraction error: ") + str(e))
-        if patterns:  # on pages of both types the pattern is the same
-            p = next(iter(patterns.values()))[1]
-            found = find(matches(text if len(patterns) == 2 else F.when(is_json if True in patterns else ~is_json, text), p))
-            for js, (kind, _) in patterns.items():
+        if used:  # on pages of both types the pattern is the same
+            p = next(iter(used.values()))[1]
+            found = find(matches(text if len(used) == 2 else F.when(is_json if True in used else ~is_json, text), p))
+            for js, (kind, _) in used.items():
                 by_type[js] = json_regex_result(rule, found) if kind == "json_regex" else regex_result(rule, kind, found)
         shapes.append(F.when(is_json, by_type[True]).otherwise(by_type[False]))
-    return inner, finds, shapes
+    return finds, shapes
+
+
+def paths_of(rules: list[Rule]) -> list[tuple[str, str]]:
+    """The kinds and texts of the rules' XPaths and selectors that are sound."""
+    kinds = [(route(r, js), r.expr or "") for r in rules for js in (True, False)]
+    return list(dict.fromkeys((k, e) for k, e in kinds if k in ("xpath", "css") and checked_path(k, e) is None))
+
+
+def patterns_of(rules: list[Rule]) -> list[str]:
+    """The regular expressions of rules."""
+    kinds = [(route(r, js), r) for r in rules for js in (True, False)]
+    return list(dict.fromkeys(r.key if k == "key_regex" else r.expr or r.key for k, r in kinds if k in ("regex", "key_regex", "json_regex")))
 
 
 def with_results(pages: DataFrame, rules, *, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", mode_col: str | None = None, status_col: str | None = None) -> DataFrame:
@@ -218,12 +238,15 @@ def with_results(pages: DataFrame, rules, *, id_col: str = "page_id", url_col: s
     typed = parsed.withColumn("is_json", whole_json(F.col("text"), F.col("parsed")) if reads_json else F.lit(False))
     good = F.col("page_error").isNull()
     used = typed.withColumn("text", F.when(good, F.col("text")))
-    dom = {js: any(kinds[r.index, js] in ("xpath", "css") and checked_path(kinds[r.index, js], r.expr or "") is None for r in rules) for js in (True, False)}
-    read = F.lit(True) if dom[True] and dom[False] else F.col("is_json") if dom[True] else ~F.col("is_json")
-    if any(dom.values()):
-        used = used.withColumn("nodes", page_nodes(F.when(read, F.col("text"))))
-    inner, finds, shapes = build(spark, rules, F.col("text"), F.col("parsed"), F.col("is_json"), F.col("nodes"))
-    found = used.select("*", *inner).select("page_id", "url", "page_error", "text", "parsed", "is_json", *finds)
+    if paths := [(xpath if k == "xpath" else css)(e) for k, e in paths_of(rules)]:
+        # rules of pages of one type don't have those of the other parsed
+        html, js = (any(kinds[r.index, x] in ("xpath", "css") for r in rules) for x in (False, True))
+        read = F.lit(True) if html and js else F.col("is_json") if js else ~F.col("is_json")
+        needs = reduce(Needs.__or__, (p.needs for p in paths))
+        used = used.withColumn("nodes", page_nodes(F.when(read, F.col("text")), needs))
+        used = used.withColumn("dom", F.transform(literal([p.path for p in paths]), lambda p: dom_found(F.col("nodes"), p)))
+    finds, shapes = build(rules, checked_patterns(spark, patterns_of(rules)), F.col("text"), F.col("parsed"), F.col("is_json"), F.col("dom"))
+    found = used.select("page_id", "url", "page_error", "text", "parsed", "is_json", *(["dom"] if paths else []), *finds)
     columns = [F.when(~good, failed(r, kinds[r.index, False], F.col("page_error"))).otherwise(c) for r, c in zip(rules, shapes, strict=True)]
     results = F.array(*columns) if columns else F.array().cast(f"array<{RESULT}>")
     return found.select("page_id", "url", "page_error", results.alias("results"))

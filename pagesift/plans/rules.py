@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,18 +105,40 @@ class Pattern:
     groups: int
 
 
-def checked_pattern(spark: SparkSession, pattern: str) -> Pattern:
-    """A pattern that both Python and the JVM take; raises ``ValueError`` if either doesn't."""
+def groups_of(pattern: str) -> int:
+    """How many groups a pattern has; raises ``ValueError`` if Python doesn't take it."""
     try:
-        groups = re.compile(pattern).groups
-    except re.error as e:
+        return re.compile(pattern).groups
+    except (re.error, OverflowError, RecursionError) as e:
         raise ValueError(str(e)) from e
-    java = java_pattern(pattern)
-    try:
-        spark.range(1).select(F.regexp_extract_all(F.col("id").cast("string"), F.lit(java), F.lit(min(groups, 1)))).collect()
-    except PySparkException as e:
-        raise ValueError(f"not supported here: {pattern}") from e
-    return Pattern(java, groups)
+
+
+def runs_here(java: Column) -> Column:
+    """Whether the JVM takes a pattern."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java).isNotNull()
+
+
+def checked_patterns(spark: SparkSession, patterns: list[str]) -> dict[str, Pattern | ValueError]:
+    """Patterns that both Python and the JVM take, or what is wrong with them; one small job for all."""
+    out: dict[str, Pattern | ValueError] = {}
+    for p in patterns:
+        try:
+            out[p] = Pattern(java_pattern(p), groups_of(p))
+        except ValueError as e:
+            out[p] = e
+    asked = [(p, x.java) for p, x in out.items() if isinstance(x, Pattern)]
+    if asked:
+        for r in spark.createDataFrame(asked, "pattern string, java string").where(~runs_here(F.col("java"))).collect():
+            out[r.pattern] = ValueError(f"not supported here: {r.pattern}")
+    return out
+
+
+def checked_pattern(spark: SparkSession, pattern: str) -> Pattern:
+    """The same for one pattern; raises ``ValueError``."""
+    found = checked_patterns(spark, [pattern])[pattern]
+    if isinstance(found, ValueError):
+        raise found
+    return found
 
 
 def checked_path(kind: str, expr: str) -> str | None:

@@ -107,3 +107,55 @@ def test_forms_agree_with_the_built_in(spark):
         assert df.select(F.xpath("x", F.lit(path))).first()[0] == found(spark, "xpath", path, page), path
     for k in (1, 2):
         assert df.select(F.xpath_string("x", F.lit(f"(//p)[{k}]"))).first()[0] == found(spark, "xpath", f"(//p)[{k}]", page)[0]
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [
+        ("//ul/li[a][2]", ["b"]),  # the second of those with a link, not the second item
+        ("//ul/li[a][last()]", ["b", "d"]),
+        ("//li[last()]", ["c", "e"]),
+        ("//ul/*[2]", ["x", "e"]),
+        ("(//li | //b)[2]", ["x"]),
+        ("(//ul/li)[1] | //b", ["a", "x"]),
+        ("//li/a/@href | //b | //li/a/@href", ["/1", "x", "/2", "/3"]),
+        ("//ul//a/text()", ["a", "b", "d"]),
+        ("//li[0]", []),
+        ("//li/a/../a", ["a", "b", "d"]),
+        ("//li[not(a)]", ["c", "e"]),
+    ],
+)
+def test_places_and_unions(spark, path, want):
+    page = '<ul><li><a href="/1">a</a><b>x</b><li><a href="/2">b</a><li>c</ul><ul><li><a href="/3">d</a><li>e</ul>'
+    assert found(spark, "xpath", path, page.replace("<b>x</b><li>", "</li><b>x</b><li>")) == want
+
+
+def test_only_what_rules_touch_leaves_the_helper():
+    tree = parse(GOOD)
+    rows = node_rows(tree, xpath("//title/text()").needs)
+    assert [(r[3], r[5]) for r in rows] == [("title", None), ("#text", "T & t")] and rows[0][4] == []
+    rows = node_rows(tree, xpath("//div/p[@id]").needs | css("a[href]").needs)
+    assert [r[3] for r in rows] == ["div", "p", "#text", "#text", "#text", "p", "#text", "a", "#text", "a", "#text"]
+    assert [r[2] for r in rows][:4] == [0 if rows[0][6] else -1, 1, 2, -1]  # a parent that isn't kept is none
+    assert sum(len(str(r)) for r in node_rows(tree, xpath("//title/text()").needs)) * 20 < sum(len(str(r)) for r in node_rows(tree))
+
+
+def test_what_is_left_out_changes_nothing(spark):
+    """The same nodes are found among all nodes and among those that the path needs."""
+    for kind, expr in (("xpath", "//div/p[2]"), ("xpath", "/html/body/h2"), ("xpath", "//div[h1]//b"), ("xpath", "//tr[td]/td[last()]/text()"), ("css", "h1 ~ p"), ("css", "#p1 + p"), ("css", "body p b"), ("xpath", "//p[text()='q']"), ("xpath", "//p/b/..")):
+        path = (xpath if kind == "xpath" else css)(expr)
+        df = spark.createDataFrame([(GOOD,)], "page string").select(page_nodes(F.col("page"), path.needs).alias("nodes"))
+        assert df.select(F.transform(path.found(F.col("nodes")), lambda n: path.shown(F.col("nodes"), n))).first()[0] == found(spark, kind, expr, GOOD), expr  # noqa: B023
+
+
+@pytest.mark.parametrize(("kind", "expr"), [("css", "nav > ul > li"), ("xpath", "//li/a[1]"), ("xpath", "//nav//li[a][1]"), ("css", "li ~ li"), ("xpath", "//div//div")])
+def test_time_is_in_proportion_to_the_page(spark, kind, expr):
+    import time
+
+    took = {}
+    for n in (500, 500, 4000):
+        page = "<nav>" + "".join(f'<ul><li><a href="/{k}">x</a><li>y</ul>' for k in range(n)) + "</nav>" + "<div>" * (n // 2)
+        began = time.time()
+        found(spark, kind, expr, page)
+        took[n] = time.time() - began
+    assert took[4000] < 8 * took[500] + 3  # 160 kB; by pairs of nodes it would be 64 times as long
