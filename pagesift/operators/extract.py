@@ -82,15 +82,19 @@ def quoted(name: str) -> str | None:
     return None if "'" in name or "]" in name else f"['{name}']"
 
 
+def json_key_at(path: Column, text: Column, variant: Column) -> Column:
+    """The value at a key of the top object, as JSON text; a null is a value, a missing key isn't."""
+    at = F.try_variant_get(variant, path, "variant")
+    value = F.when(F.is_variant_null(at), "null").otherwise(F.call_function("get_json_object", text, path))
+    is_object = F.try_variant_get(variant, "$", "map<string,variant>").isNotNull()
+    return F.struct(is_object.alias("object"), at.isNotNull().alias("there"), F.when(at.isNotNull(), value).otherwise(NO_DATA).alias("value"))
+
+
 def json_key_found(name: str, text: Column, variant: Column) -> Column:
-    """The value of a key of the top object, as JSON text; a null is a value, a missing key isn't."""
     step = quoted(name)
     if step is None:
         raise ValueError("unsupported key")
-    at = F.try_variant_get(variant, f"${step}", "variant")
-    value = F.when(F.is_variant_null(at), "null").otherwise(F.get_json_object(text, f"${step}"))
-    is_object = F.try_variant_get(variant, "$", "map<string,variant>").isNotNull()
-    return F.struct(is_object.alias("object"), at.isNotNull().alias("there"), F.when(at.isNotNull(), value).otherwise(NO_DATA).alias("value"))
+    return json_key_at(F.lit(f"${step}"), text, variant)
 
 
 def json_key_result(rule: Rule, found: Column) -> Column:
@@ -103,7 +107,7 @@ def json_key_result(rule: Rule, found: Column) -> Column:
 _STEP = re.compile(r"([^\[\]]*)(?:\[(-?\d+)\])?")
 
 
-def json_path_found(expr: str, text: Column, variant: Column) -> Column:
+def json_steps(expr: str) -> list[tuple[str, int | None]]:
     """``$.a.b[0].c``: keys by dots, at most one index each, which may count from the end."""
     steps: list[tuple[str, int | None]] = []
     for part in expr[2:].split("."):
@@ -111,21 +115,30 @@ def json_path_found(expr: str, text: Column, variant: Column) -> Column:
         if not m or not m[1] or quoted(m[1]) is None:
             raise ValueError(f"unsupported step {part}")
         steps.append((m[1], int(m[2]) if m[2] else None))
-    plain, at, from_end = "$", variant, False
-    for name, index in steps:
-        at = F.try_variant_get(at, f"${quoted(name)}", "variant")
-        plain += quoted(name)
-        if index is not None and index >= 0:
-            at = F.try_variant_get(at, f"$[{index}]", "variant")
-            plain += f"[{index}]"
-        elif index is not None:
-            at = F.try_element_at(F.try_variant_get(at, "$", "array<variant>"), F.lit(index))
-            from_end = True
+    return steps
+
+
+def json_path_at(steps: Column, text: Column, variant: Column) -> Column:
+    """What lies at the end of a path: an array of ``name`` and ``index``."""
+
+    def on(at: Column, s: Column) -> Column:
+        named = F.try_variant_get(at, F.concat(F.lit("$['"), s["name"], F.lit("']")), "variant")
+        listed = F.try_variant_get(named, "$", "array<variant>")
+        return F.when(s["index"].isNull(), named).otherwise(F.try_element_at(listed, F.when(s["index"] < 0, s["index"]).otherwise(s["index"] + 1)))
+
+    at = F.aggregate(steps, variant, on)
+    plain = F.concat(F.lit("$"), F.array_join(F.transform(steps, lambda s: F.concat(F.lit("['"), s["name"], F.lit("']"), F.when(s["index"].isNotNull(), F.concat(F.lit("["), s["index"].cast("string"), F.lit("]"))).otherwise(""))), ""))
     # text of numbers as the page has it, unless the path counts from the end
-    shown = F.coalesce(F.try_variant_get(at, "$", "string"), F.to_json(at)) if from_end else F.get_json_object(text, plain)
+    from_end = F.coalesce(F.try_variant_get(at, "$", "string"), F.to_json(at))
+    shown = F.when(F.exists(steps, lambda s: F.coalesce(s["index"] < 0, F.lit(False))), from_end).otherwise(F.call_function("get_json_object", text, plain))
     return F.struct(at.isNotNull().alias("there"), F.when(F.is_variant_null(at), "null").otherwise(shown).alias("value"))
 
 
+def json_path_found(expr: str, text: Column, variant: Column) -> Column:
+    each = [F.struct(F.lit(n).alias("name"), F.lit(k).cast("int").alias("index")) for n, k in json_steps(expr)]
+    return json_path_at(F.array(*each), text, variant)
+
+
 def json_path_result(rule: Rule, found: Column) -> Column:
     good = result(rule, "json_path", F.lit("one"), F.lit(1), F.array(found["value"]), found["value"], F.lit(None).cast("string"))
     return F.when(found["there"], good).otherwise(failed(rule, "json_path", F.concat(F.lit("JSON extraction error: nothing at "), text_of(rule.expr))))
@@ -155,6 +168,15 @@ def whole_json(text: Column, parsed: Column) -> Column:
     return parsed.isNotNull() & F.coalesce(F.when(parsed.isNotNull(), ends), F.lit(False))
 
 
+def typed(pages: DataFrame, reads_json: bool) -> DataFrame:
+    """Adds ``parsed``, the page's ``text`` as a variant if it is JSON, and ``is_json``; in mode ``playwright`` nothing is."""
+    if not reads_json:
+        return pages.withColumn("parsed", F.lit(None).cast("variant")).withColumn("is_json", F.lit(False))
+    # only texts that can start a value of JSON are tried
+    maybe = (F.col("mode") != "playwright") & F.col("text").rlike(r'^\s*[\[{"\d\-tfn]')
+    return pages.withColumn("parsed", F.when(maybe, F.try_parse_json("text"))).withColumn("is_json", F.coalesce(whole_json(F.col("text"), F.col("parsed")), F.lit(False)))
+
+
 def build(rules: list[Rule], patterns: dict[str, Pattern | ValueError], text: Column, variant: Column, is_json: Column, dom: Column) -> tuple[list[Column], list[Column]]:
     """What each rule finds, as columns ``found1``, ...; and what shapes it.
 
@@ -231,13 +253,9 @@ def with_results(pages: DataFrame, rules, *, id_col: str = "page_id", url_col: s
     )
     kinds = {(r.index, js): route(r, js) for r in rules for js in (True, False)}
     reads_json = any(kinds[r.index, True].startswith("json") or kinds[r.index, True] != kinds[r.index, False] for r in rules)
-    # only texts that can start a value of JSON are tried
-    maybe = (F.col("mode") != "playwright") & F.col("text").rlike(r'^\s*[\[{"\d\-tfn]')
-    variant = F.when(maybe, F.try_parse_json("text")) if reads_json else F.lit(None).cast("variant")
-    parsed = own.withColumn("page_error", page_error(F.col("text"), F.col("mode"), F.col("code"))).withColumn("parsed", variant)
-    typed = parsed.withColumn("is_json", whole_json(F.col("text"), F.col("parsed")) if reads_json else F.lit(False))
+    own = own.withColumn("page_error", page_error(F.col("text"), F.col("mode"), F.col("code")))
     good = F.col("page_error").isNull()
-    used = typed.withColumn("text", F.when(good, F.col("text")))
+    used = typed(own, reads_json).withColumn("text", F.when(good, F.col("text")))
     if paths := [(xpath if k == "xpath" else css)(e) for k, e in paths_of(rules)]:
         # rules of pages of one type don't have those of the other parsed
         html, js = (any(kinds[r.index, x] in ("xpath", "css") for r in rules) for x in (False, True))
@@ -266,14 +284,22 @@ def extract(pages: DataFrame, rules, **options) -> DataFrame:
     return rows.select("page_id", "url", "page_error", each.alias("r")).select("page_id", "url", "r.*", "page_error")
 
 
+def json_string(c: Column) -> Column:
+    """A string as JSON text: that of an array of it, less its brackets."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def entry_value(r: Column) -> Column:
+    """A result's value as JSON text; a list stays one, and so does a value that is JSON."""
+    return F.when((r["status"] == "many") & (r["kind"] != "json_regex"), F.to_json(r["values"])).when((r["kind"] == "json_key") & (r["status"] == "one") & r["value"].rlike(r"^\s*[\[{]"), r["value"]).otherwise(json_string(r["value"]))
+
+
 def extract_wide(pages: DataFrame, rules, *, comma: str = ",", colon: str = ":", **options) -> DataFrame:
     """One row per page with a JSON object of key and value; lists stay lists."""
     parsed = parse_rules(rules)
     rows = with_results(pages, parsed, **options)
-    many = lambda r: r["status"] == "many"
-    # to_json of a one-element array, less its brackets, is the JSON text of a string
-    inner = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
-    entry = lambda r: F.concat(inner(r["key"]), F.lit(colon), F.when(many(r) & (r["kind"] != "json_regex"), F.to_json(r["values"])).when((r["kind"] == "json_key") & (r["status"] == "one") & r["value"].rlike(r"^\s*[\[{]"), r["value"]).otherwise(inner(r["value"])))
+    entry = lambda r: F.concat(json_string(r["key"]), F.lit(colon), entry_value(r))
     whole = F.concat(F.lit("{"), F.array_join(F.transform("results", entry), comma), F.lit("}"))
-    error = F.concat(F.lit('{"error":'), inner(F.col("page_error")), F.lit("}"))
+    error = F.concat(F.lit('{"error":'), json_string(F.col("page_error")), F.lit("}"))
     return rows.select("page_id", "url", "page_error", F.when(F.col("page_error").isNotNull(), error).otherwise(whole).alias("result"))

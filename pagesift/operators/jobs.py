@@ -1,17 +1,36 @@
-"""Jobs that each bring their own rules for a url."""
+"""Jobs that each bring their own rules for a url.
+
+Rules are rows here.  Each distinct rule is compiled once, to data; what is to be
+done for a url is the rules of all its jobs, and each page is read once for these
+and gives each rule's result once.  One expression runs whatever rules a page has,
+so neither plans nor the driver's work grow with rule sets.  Jobs then pick their
+results out of their url's.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.operators.extract import extract_wide
+from pagesift.functions.nodes import page_nodes
+from pagesift.functions.paths import PATH, css, xpath
+from pagesift.functions.text import strip
+from pagesift.operators import extract as ex
+from pagesift.plans.rules import Rule, checked_path, groups_of, java_pattern, route, runs_here, split_rule
 from pagesift.sources.scratch import scratch_path
 
-#: Urls that may be broadcast to keep only the pages that jobs ask for, and bytes of these.
-BROADCAST_URLS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Urls or rules that may be broadcast, and their bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: A url is hot if more than one job in so many has it; there are at most so many hot urls.
+HOT_SHARE, HOT_JOBS = 2_000, 100
+
+_NEEDS = "struct<tags:array<string>,attrs:array<string>,texts:array<string>>"
+#: A rule as data: its kind on pages of HTML and of JSON, and what its kind needs or what is wrong with it.
+COMPILED = f"struct<key:string,expr:string,html:string,json:string,java:string,groups:int,bad_pattern:string,path:{PATH},needs:{_NEEDS},bad_path:string,name:string,steps:array<struct<name:string,index:int>>,bad_steps:string>"
 
 
 def validated(jobs: DataFrame) -> DataFrame:
@@ -36,40 +55,146 @@ def union_captures(static: DataFrame, rendered: DataFrame) -> DataFrame:
     return static.withColumn("mode", F.lit("requests")).unionByName(rendered.withColumn("mode", F.lit("playwright")), allowMissingColumns=True)
 
 
+def compiled(text: str) -> dict:
+    """A rule's text as ``COMPILED`` has it."""
+    rule = split_rule(text, 0)
+    out: dict = {"key": rule.key, "expr": rule.expr, "html": route(rule, False), "json": route(rule, True)}
+    if out["html"] == "invalid":
+        return out
+    if out["html"] in ("xpath", "css"):
+        out["bad_path"] = checked_path(out["html"], rule.expr or "")
+        if out["bad_path"] is None:
+            found = (xpath if out["html"] == "xpath" else css)(rule.expr or "")
+            out |= {"path": found.path, "needs": {k: None if v is None else sorted(v) for k, v in vars(found.needs).items()}}
+    if "regex" in out["html"] or out["json"] == "json_regex":
+        pattern = rule.key if out["html"] == "key_regex" else rule.expr or rule.key
+        try:
+            out |= {"groups": groups_of(pattern), "java": java_pattern(pattern)}
+        except ValueError as e:
+            out["bad_pattern"] = str(e)
+    if out["json"] == "json_key":
+        out["name"] = ex.quoted(rule.key)
+    if out["json"] == "json_path":
+        try:
+            out["steps"] = [{"name": n, "index": k} for n, k in ex.json_steps(rule.expr or "")]
+        except ValueError as e:
+            out["bad_steps"] = str(e)
+    return out
+
+
+def compiled_rules(rules: DataFrame) -> DataFrame:
+    """``rule`` (a distinct text) and ``c``, the same as data; patterns that the JVM doesn't take are errors too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(compiled(x.as_py())) for x in b.column(0)], pa.string())], ["rule", "c"])
+
+    rows = rules.select("rule").mapInArrow(run, "rule string, c string").select("rule", F.from_json("c", COMPILED).alias("c"))
+    c = F.col("c")
+    bad = F.when(c["java"].isNotNull() & ~runs_here(c["java"]), F.concat(F.lit("not supported here: "), F.when(c["html"] == "key_regex", c["key"]).otherwise(F.coalesce(c["expr"], c["key"]))))
+    return rows.select("rule", c.withField("bad_pattern", F.coalesce(c["bad_pattern"], bad)).alias("c"))
+
+
+def found_by(c: Column, text: Column, variant: Column, is_json: Column, nodes: Column) -> Column:
+    """The result of a rule, given as data, on a page; in the same form as ``extract`` gives it."""
+    kind = F.when(is_json, c["json"]).otherwise(c["html"])
+    rule = Rule(c["key"], c["expr"])
+    by_json = F.when(is_json, "JSON error: ").otherwise("Extraction error: ")
+
+    def regex() -> Column:
+        # arguments of lambdas, so that matches are found once
+        each = F.transform(F.sequence(F.least(c["groups"], F.lit(1)), F.greatest(c["groups"], F.lit(0))), lambda g: F.regexp_extract_all(text, c["java"], g))
+        rows = lambda e: F.transform(F.slice(F.sequence(F.lit(1), F.size(e[0]) + 1), F.lit(1), F.size(e[0])), lambda k: F.to_json(F.transform(e, lambda m: m[k - 1])))
+        matches = F.transform(F.array(each), lambda e: F.when(c["groups"] < 2, e[0]).otherwise(rows(e)))
+        shaped = F.transform(matches, lambda m: F.when(kind == "json_regex", ex.json_regex_result(rule, m)).otherwise(ex.regex_result(rule, kind, m)))[0]
+        two = (kind == "json_regex") & (c["groups"] > 1)
+        return F.when(c["bad_pattern"].isNotNull(), ex.failed(rule, kind, F.concat(by_json, c["bad_pattern"]))).when(two, ex.failed(rule, kind, "JSON extraction error: more than one group")).otherwise(shaped)
+
+    def dom() -> Column:
+        shaped = F.transform(F.array(ex.dom_found(nodes, c["path"])), lambda d: ex.shaped(rule, kind, d["n"], d["values"], "no_data", ex.NO_DATA))[0]
+        return F.when(c["bad_path"].isNotNull(), ex.failed(rule, kind, c["bad_path"])).otherwise(shaped)
+
+    def json_key() -> Column:
+        found = F.transform(F.array(ex.json_key_at(F.concat(F.lit("$"), c["name"]), text, variant)), lambda f: ex.json_key_result(rule, f))[0]
+        return F.when(c["name"].isNull(), ex.failed(rule, kind, "JSON error: unsupported key")).otherwise(found)
+
+    def json_path() -> Column:
+        found = F.transform(F.array(ex.json_path_at(c["steps"], text, variant)), lambda f: ex.json_path_result(rule, f))[0]
+        return F.when(c["bad_steps"].isNotNull(), ex.failed(rule, kind, F.concat(F.lit("JSON error: "), c["bad_steps"]))).otherwise(found)
+
+    return F.when(kind == "invalid", ex.failed(rule, kind, "Empty key name")).when(kind.isin("xpath", "css"), dom()).when(kind == "json_key", json_key()).when(kind == "json_path", json_path()).otherwise(regex())
+
+
+def narrow(df: DataFrame, column: str) -> DataFrame:
+    """Mark a table for broadcast if it is small in rows and in the bytes of its column of texts."""
+    n = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if n.n <= BROADCAST_ROWS and n.bytes <= BROADCAST_BYTES else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def page_results(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``url``, ``mode``, ``page_error`` and ``found`` for every page and mode that ``wanted`` has.
+
+    ``wanted`` has the distinct rules (``rules``: ``rule``, ``c``) of each url and
+    mode; ``found`` has for each of these its text, whether the key is given by
+    its place, its key and the value as JSON text.
+    """
+    code = F.col("status") if "status" in pages.columns else F.lit(None)
+    own = pages.select("url", F.col("html").alias("text"), code.cast("int").alias("code")).join(wanted, "url")
+    own = own.withColumn("page_error", ex.page_error(F.col("text"), F.col("mode"), F.col("code")))
+    own = ex.typed(own, True).withColumn("text", F.when(F.col("page_error").isNull(), F.col("text")))
+    # what any of the page's rules can touch; null names stand for all
+    dom = F.filter("rules", lambda r: ~F.col("is_json") & r["c"]["path"].isNotNull())
+    names = lambda k: F.when(~F.exists(dom, lambda r: r["c"]["needs"][k].isNull()), F.array_distinct(F.flatten(F.transform(dom, lambda r: r["c"]["needs"][k]))))
+    needs = F.struct(*(names(k).alias(k) for k in ("tags", "attrs", "texts")))
+    own = own.withColumn("needs", needs).withColumn("nodes", page_nodes(F.when(F.size(dom) > 0, F.col("text")), F.col("needs")))
+    result = F.transform("rules", lambda r: F.struct(r["rule"].alias("rule"), (r["c"]["html"] == "invalid").alias("by_place"), found_by(r["c"], F.col("text"), F.col("parsed"), F.col("is_json"), F.col("nodes")).alias("r")))
+    shown = F.transform("found", lambda x: F.struct(x["rule"].alias("rule"), x["by_place"].alias("by_place"), x["r"]["key"].alias("key"), ex.entry_value(x["r"]).alias("value")))
+    done = own.select("url", "mode", "page_error", F.when(F.col("page_error").isNull(), result).alias("found"))
+    return done.select("url", "mode", "page_error", shown.alias("found"))
+
+
+def job_object(rules: Column, found: Column) -> Column:
+    """The JSON object of a job's rules: of rules with one key the last counts, at the place of the first."""
+    own = F.transform(rules, lambda r, i: F.transform(F.slice(F.filter(found, lambda x: x["rule"] == r), 1, 1), lambda x: F.struct(F.when(x["by_place"], F.concat(F.lit("rule_"), (i + 1).cast("string"))).otherwise(x["key"]).alias("key"), x["value"].alias("value")))[0])
+    last = lambda own, key: F.element_at(F.filter(own, lambda x: x["key"] == key), -1)["value"]
+    entries = F.transform(F.array(own), lambda own: F.transform(F.array_distinct(F.transform(own, lambda x: x["key"])), lambda key: F.concat(ex.json_string(key), F.lit(": "), last(own, key))))[0]
+    return F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
+
+
 def run_jobs(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     """``job_id``, ``url``, ``job_error`` and ``result`` (a JSON object) for every job.
 
     ``jobs`` has ``job_id``, ``url``, ``rules`` (array of strings) and ``mode``;
     ``pages`` has ``url`` and ``html``, and may have ``status``.  A job without a
     url, rules or a page has an error instead of a result.  A url with several
-    pages gives a row for each.  Only the pages that some job asks for take part
-    in the join; the jobs' urls are broadcast for this if they are few.
+    pages gives a row for each.  Null and blank rules count for nothing.  Other
+    columns are ignored; no jobs give no rows.
 
-    Jobs with the same rules are extracted together, by the same expressions as
-    any other pages; the jobs of each rule set are a part of one written table.
+    Only pages that some job asks for are read on; each is sent once for all its
+    jobs.  Urls of very many jobs are joined with their results by broadcast.
     """
-    spark = jobs.sparkSession
-    checked = normal_mode(validated(jobs)).select("job_id", "url", "rules", "mode", "job_error")
-    urls = checked.where("job_error IS NULL").select("url").distinct()
-    n = urls.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("bytes")).first()
-    if n.n <= BROADCAST_URLS and n.bytes <= BROADCAST_BYTES:
-        urls = F.broadcast(urls)
-    code = F.col("status") if "status" in pages.columns else F.lit(None)
-    wanted = pages.select("url", F.col("html").alias("text"), code.cast("int").alias("code"), F.lit(True).alias("captured")).join(urls, "url", "left_semi")
-    good = checked.where("job_error IS NULL").join(wanted, "url", "left")
-    error = F.when(F.col("captured").isNull(), F.lit("Request failed: no capture of this url"))
-    good = good.withColumn("job_error", error)
-    shown = F.to_json(F.struct(F.col("job_error").alias("error"))).alias("result")
-    # a rule set's name tells it from others for certain: its rules are JSON text, and sets are few beside jobs
-    sets = [tuple(r.rules) for r in good.where("job_error IS NULL").select("rules").distinct().collect()]
-    named = F.xxhash64(F.to_json("rules"))
-    path = scratch_path(spark, "jobs")
-    good.withColumn("rule_set", F.when(F.col("job_error").isNull(), named)).write.partitionBy("rule_set").parquet(path)
-    ready = spark.read.schema(f"job_id {jobs.schema['job_id'].dataType.simpleString()}, url string, rules array<string>, mode string, text string, code int, captured boolean, job_error string, rule_set long").parquet(path)
-    out = [checked.where("job_error IS NOT NULL").select("job_id", "url", "job_error", shown), ready.where("job_error IS NOT NULL").select("job_id", "url", "job_error", shown)]
-    for rules in sets:
-        own = F.array(*(F.lit(r).cast("string") for r in rules))
-        of = ready.where((F.col("rule_set") == F.xxhash64(F.to_json(own))) & F.col("rules").eqNullSafe(own) & F.col("job_error").isNull())
-        found = extract_wide(of, [r for r in rules if r is not None], comma=", ", colon=": ", id_col="job_id", text_col="text", mode_col="mode", status_col="code")
-        out.append(found.select(F.col("page_id").alias("job_id"), "url", F.col("page_error").alias("job_error"), "result"))
-    return reduce(DataFrame.unionByName, out)
+    rules = F.filter(F.transform("rules", strip), lambda r: r != "")
+    checked = written(normal_mode(validated(jobs)).select("job_id", "url", F.when(F.col("job_error").isNull(), rules).alias("rules"), "mode", "job_error"), "jobs")
+    good, bad = checked.where("job_error IS NULL"), checked.where("job_error IS NOT NULL")
+    each = good.select("url", "mode", F.explode("rules").alias("rule")).distinct()
+    known = written(compiled_rules(each.select("rule").distinct()), "rules")
+    by_url = each.join(narrow(known, "rule"), "rule").groupBy("url", "mode").agg(F.collect_list(F.struct("rule", "c")).alias("rules"))
+    counts = good.groupBy("url", "mode").agg(F.count(F.lit(1)).alias("n_jobs"))
+    wanted = written(by_url.join(counts, ["url", "mode"]), "wanted")
+    found = written(page_results(pages, narrow(wanted, "url")).join(narrow(wanted.select("url", "mode", "n_jobs"), "url"), ["url", "mode"]), "found")
+    total = wanted.agg(F.sum("n_jobs")).first()[0] or 0
+    hot = F.col("n_jobs") > max(HOT_JOBS, total // HOT_SHARE)
+    many = wanted.where(hot).select("url", "mode")
+    few = good.join(F.broadcast(many), ["url", "mode"], "left_anti").join(found.where(~hot), ["url", "mode"], "left")
+    often = good.join(F.broadcast(many), ["url", "mode"], "left_semi").join(F.broadcast(found.where(hot)), ["url", "mode"], "left")
+    done = few.unionByName(often)
+    error = F.when(F.col("n_jobs").isNull(), F.lit("Request failed: no capture of this url")).otherwise(F.col("page_error"))
+    shown = lambda e: F.concat(F.lit('{"error":'), ex.json_string(e), F.lit("}"))
+    results = done.withColumn("job_error", error).select("job_id", "url", "job_error", F.when(F.col("job_error").isNotNull(), shown(F.col("job_error"))).otherwise(job_object(F.col("rules"), F.col("found"))).alias("result"))
+    return results.unionByName(bad.select("job_id", "url", "job_error", shown(F.col("job_error")).alias("result")))
