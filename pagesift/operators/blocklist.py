@@ -11,6 +11,9 @@ from pagesift.functions.nodes import Needs, page_nodes
 
 #: Patterns that become one expression; a longer list is joined.
 MOST_PATTERNS = 1000
+#: Characters by which patterns of a longer list are looked up, and urls from which
+#: it is told which of these are rare; that decides how many urls are looked at twice.
+GRAM, GRAM_URLS = 5, 20_000
 
 # Parts of urls that are blocked by default.
 BLOCKED = [
@@ -29,19 +32,46 @@ def is_blocked(url: Column, patterns: list[str] = BLOCKED) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, (url.contains(p) for p in patterns), F.lit(False)), F.lit(False))
 
 
+def grams(text: Column, n: Column) -> Column:
+    """The distinct runs of so many characters of a text; none of a shorter one."""
+    starts = F.slice(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda k: F.substring(text, k, n)))
+
+
+def gram_index(patterns: DataFrame, urls: DataFrame) -> DataFrame:
+    """``gram`` and ``pattern``: each pattern under the one of its grams that fewest urls of a sample have.
+
+    A pattern shorter than ``GRAM`` is its own gram.
+    """
+    each = patterns.select("pattern", F.explode(grams(F.col("pattern"), F.least(F.length("pattern"), F.lit(GRAM)))).alias("gram"))
+    seen = urls.limit(GRAM_URLS).select(F.explode(grams(F.col("hit"), F.lit(GRAM))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return each.join(seen, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("x")).select(F.col("x.gram").alias("gram"), "pattern")
+
+
+def blocked_urls(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The rows of ``urls`` (``hit``, distinct) that contain a row of ``patterns`` (``pattern``, distinct, not empty).
+
+    A url meets a pattern only by an equal gram, and is then searched for it.
+    """
+    index = gram_index(patterns, urls)
+    lengths = [r.k for r in patterns.select(F.least(F.length("pattern"), F.lit(GRAM)).alias("k")).distinct().collect()]  # at most GRAM of them
+    rows = urls.select("hit", F.explode(F.flatten(F.array(*(grams(F.col("hit"), F.lit(k)) for k in sorted(lengths))))).alias("gram"))
+    return rows.join(index, "gram").where(F.col("hit").contains(F.col("pattern"))).select("hit").distinct()
+
+
 def block_requests(df: DataFrame, url_col: str = "url", patterns: list[str] | DataFrame = BLOCKED) -> DataFrame:
     """Adds ``blocked``; patterns may be a table with a column ``pattern``, of any length.
 
-    More than ``MOST_PATTERNS`` are looked for in each distinct url, by blocks of
-    the list.
+    More than ``MOST_PATTERNS`` are found in the distinct urls by an index of
+    grams.  Null patterns count for nothing; an empty one blocks every url.
     """
     if isinstance(patterns, DataFrame):
-        found = patterns.select("pattern").where("pattern IS NOT NULL").distinct()
-        patterns = [r.pattern for r in found.limit(MOST_PATTERNS + 1).collect()]
+        listed = patterns.select("pattern").where("pattern IS NOT NULL").distinct()
+        patterns = [r.pattern for r in listed.limit(MOST_PATTERNS + 1).collect()]
         if len(patterns) > MOST_PATTERNS:
-            lists = found.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(found.count() // MOST_PATTERNS + 1)).alias("block")).agg(F.collect_list("pattern").alias("patterns"))
             urls = df.select(F.col(url_col).alias("hit")).where("hit IS NOT NULL").distinct()
-            hits = urls.join(lists, F.exists("patterns", lambda p: F.col("hit").contains(p)), "left_semi")
+            all_of_them = not listed.where("pattern = ''").isEmpty()
+            hits = urls if all_of_them else blocked_urls(urls, listed)
             return df.join(hits, F.col(url_col) == F.col("hit"), "left").withColumn("blocked", F.col("hit").isNotNull()).drop("hit")
     return df.withColumn("blocked", is_blocked(F.col(url_col), patterns))
 

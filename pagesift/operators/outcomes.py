@@ -24,12 +24,24 @@ def success_rate(results: DataFrame) -> DataFrame:
 def latest_captures(captures: DataFrame, keys: tuple[str, ...] = ("captured_at", "page_id")) -> DataFrame:
     """The newest capture of each url, one row for each; captures without a url are one group.
 
-    Captures with equal keys are told apart by a hash of all their columns.  The
-    newest of a url is found within each partition first.
+    Captures with equal keys are told apart by a hash of all their columns; of
+    rows that are equal in all columns one is given.  Which capture is newest is
+    found on urls, keys and hashes alone; whole rows are only fetched by these,
+    without a sort or an aggregate.  A null key is older than any other.
     """
-    order = F.struct(*keys, F.xxhash64(*captures.columns).alias("tag"))
-    newest = captures.groupBy(F.col("url").alias("of")).agg(F.max_by(F.struct(*captures.columns), order).alias("newest"))
-    return newest.select("newest.*")
+    tag = F.xxhash64(*captures.columns)
+    mark = {k: f"newest {k}" for k in ("url", *keys, "tag", "n")}
+    narrow = captures.select(F.col("url").alias(mark["url"]), *(F.col(k).alias(mark[k]) for k in keys), tag.alias(mark["tag"]))
+    counted = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias(mark["n"]))
+    order = F.struct(*(F.col(mark[k]) for k in keys), F.col(mark["tag"]), F.col(mark["n"]))
+    newest = counted.groupBy(mark["url"]).agg(F.max(order).alias("x")).select(mark["url"], "x.*")
+
+    def rows(of: DataFrame) -> DataFrame:
+        same = [captures["url"].eqNullSafe(F.col(mark["url"])), tag == F.col(mark["tag"]), *(captures[k].eqNullSafe(F.col(mark[k])) for k in keys)]
+        return captures.join(of.hint("shuffle_hash"), same, "left_semi")
+
+    once, repeated = rows(newest.where(F.col(mark["n"]) == 1)), rows(newest.where(F.col(mark["n"]) > 1))
+    return once.unionByName(repeated.dropDuplicates())
 
 
 def hit_rates(results: DataFrame, run_col: str = "run") -> DataFrame:

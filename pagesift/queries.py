@@ -169,6 +169,13 @@ def both_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count("status").alias("n_status"), F.sum(F.length("html")).alias("chars"))
 
 
+def long_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' urls against twenty patterns from each page: parts of its url with a digit behind."""
+    p = table(spark, sf_dir, "pages")
+    listed = p.select("url", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k")).select(F.concat(F.substring(F.col("url"), F.col("k") * 2, F.col("k") % 7 + 3), (F.col("k") % 10).cast("string")).alias("pattern"))
+    return blocklist.block_requests(p.select("page_id", "url"), "url", listed).select("page_id", "blocked")
+
+
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [
         "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
@@ -310,6 +317,7 @@ QUERIES = {
     "latest_captures": latest,
     "structure_changes": changes,
     "jobs_run": jobs_run,
+    "long_blocklist": long_blocklist,
     "jobs_without_page": jobs_without_page,
     "job_validation": validation,
     "both_modes": both_modes,
@@ -428,6 +436,8 @@ UNION ALL SELECT event_id, 'y', 'json_regex', 'no_match', 'No matches found' FRO
     "latest_captures": f"SELECT url, page_id, run FROM {_CAPTURES} WHERE status = 200 QUALIFY row_number() OVER (PARTITION BY url ORDER BY taken DESC, page_id DESC) = 1",
     "structure_changes": f"""SELECT host, 'title' AS key, CAST(2 AS BIGINT) AS run, CAST(1 AS DOUBLE) AS before, round(rate, 6) AS rate FROM (
   SELECT {_HOST} AS host, avg(CASE WHEN length(url) % 2 = 0 THEN 0.0 ELSE 1.0 END) AS rate FROM pages GROUP BY 1) WHERE 1 - rate >= 0.5""",
+    "long_blocklist": """WITH l AS (SELECT DISTINCT substring(url, k * 2, k % 7 + 3) || (k % 10) AS pattern FROM pages, unnest(range(1, 21)) AS x(k))
+SELECT page_id, coalesce((SELECT bool_or(contains(url, pattern)) FROM l), false) AS blocked FROM pages""",
     "jobs_run": f"""SELECT j.job_id, CASE WHEN j.url IS NULL THEN 'No URL provided' WHEN form = 2 THEN 'No extraction rules provided' WHEN p.url IS NULL THEN 'Request failed: no capture of this url' END AS job_error,
   CASE WHEN j.url IS NULL THEN '{{"error":"No URL provided"}}' WHEN form = 2 THEN '{{"error":"No extraction rules provided"}}' WHEN p.url IS NULL THEN '{{"error":"Request failed: no capture of this url"}}'
     WHEN form = 3 THEN '{{"t": "' || regexp_extract(html, 'lang=.(..)', 1) || '"}}' ELSE '{{"h": "No data found", "zzz-nothing": "No matches found"}}' END AS result
