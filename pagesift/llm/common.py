@@ -65,6 +65,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pagesift/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's view of a path, which knows every store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """Give a whole folder its final name, in one step."""
+    fs, at = file_system(spark, path)
+    end = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(end.getParent())
+    if not fs.rename(at, end):
+        raise OSError(f"can't move {path} to {to}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 

@@ -4,24 +4,29 @@ Normalised texts are stored as they arrive, each run in a folder of its own, and
 their digests are taken in as a stream.  A streaming aggregation keeps, for every
 digest ever seen, the row that stays, where its content lies and how many rows
 there were; its state lives on disk (RocksDB) and never expires, so a later run
-with the same state goes on where the last one ended.  Where a run hits a digest
-that has more than one row, the full bytes of all its texts, of earlier runs
-too, are read back from where they lie and compared.
+with the same state goes on where the last one ended.  Where a digest has got
+more rows since its texts were last compared, the full bytes of all of them, of
+earlier runs too, are read back from the files that they lie in and compared.
+
+A run is named by what it takes in, and its folder appears when all of it is
+written.  So a run that stopped at any point is done again by calling it again:
+what is stored already isn't stored twice, and the stream goes on where it was.
 """
 
 from __future__ import annotations
 
-import time
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, join_hot, keep_ids, lower_ascii, scratch_path, small_enough, table, written
+from .common import drop_ids, exists, is_small, join_hot, keep_ids, lower_ascii, moved, scratch_path, small_enough, table, written
 
 #: Digest bytes that one micro-batch takes in, and digests that may be broadcast.
 BYTES_PER_BATCH = 16 << 30
 BROADCAST_DIGESTS = 300_000
+#: Files that are read by name; if texts lie in more of them, all are looked through.
+NAMED_FILES = 10_000
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # state that is small for its number of partitions would else claim disk ahead of need
@@ -53,15 +58,26 @@ def disk_state(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def run_name(docs: DataFrame, id_col: str, text_col: str) -> int:
+    """A name for a table's ids and texts, whatever their order: sums of two hashes of its rows, and their number."""
+    h = [F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)) for k in (1, 2)]
+    n = docs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h[0]).alias("x"), F.sum(F.pmod(h[1], F.lit(1 << 31))).alias("y"))
+    return n.select(F.xxhash64("n", "x", "y")).first()[0]
+
+
 def store(docs: DataFrame, state_path: str, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64) -> int:
-    """Store the normalised texts of ``docs`` as a new run, whose number is returned.
+    """Store the normalised texts of ``docs`` as a run, whose number is returned; if it is stored already, nothing is done.
 
     A row is named by ``run`` and ``row``, whose upper bits are the number of
     the file that it lies in; so these two are its locator.
     """
-    run = time.time_ns() // 1000
+    spark, run = docs.sparkSession, run_name(docs, id_col, text_col)
+    at = run_path(state_path, run)
+    if exists(spark, at):
+        return run
     text = normal(text_col)
     full = F.sha2(text, 256)
+    part = f"{state_path}/incoming/run-{run}"
     docs.select(
         F.col(id_col).alias("doc_id"),
         F.substring(full, 1, digest_chars).alias("digest"),
@@ -70,14 +86,28 @@ def store(docs: DataFrame, state_path: str, id_col: str = "doc_id", text_col: st
         F.lit(run).cast("long").alias("run"),
         F.monotonically_increasing_id().alias("row"),
         text.alias("content"),
-    ).write.parquet(f"{state_path}/contents/run-{run}")
+    ).write.mode("overwrite").parquet(part)
+    moved(spark, part, at)
     return run
 
 
+def run_path(state_path: str, run: int) -> str:
+    return f"{state_path}/contents/run-{run}"
+
+
+def contents_at(spark: SparkSession, state_path: str, places: DataFrame, kind: str) -> DataFrame:
+    """The stored rows in the files that ``places`` (``run``, ``row``) lead to."""
+    files = places.select("run", F.shiftright("row", 33).alias("part")).distinct()
+    at = [f"{state_path}/contents/*"]
+    if is_small(files, NAMED_FILES):
+        at = [f"{run_path(state_path, r.run)}/part-{r.part:05d}-*" for r in files.collect()] or at
+    return spark.read.schema(CONTENTS.format(kind=kind)).parquet(*at)
+
+
 def stream_index(stream: DataFrame) -> DataFrame:
-    """The keyed state: per digest and length the row that stays, with its locator, the number of rows and the last run."""
+    """The keyed state: per digest and length the row that stays, with its locator, and the number of rows."""
     keep = F.max(F.struct("doc_id", "run", "row")).alias("keep")
-    return stream.groupBy("digest", "n_bytes").agg(keep, F.count(F.lit(1)).alias("group_size"), F.max("run").alias("last_run"))
+    return stream.groupBy("digest", "n_bytes").agg(keep, F.count(F.lit(1)).alias("group_size"))
 
 
 def run_index(spark: SparkSession, state_path: str, kind: str, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
@@ -91,23 +121,42 @@ def run_index(spark: SparkSession, state_path: str, kind: str, bytes_per_batch:
     def put(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch:06d}")
 
-    stream = spark.readStream.schema(CONTENTS.format(kind=kind)).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{state_path}/contents/*")
+    stream = spark.readStream.schema(CONTENTS.format(kind=kind)).option("maxBytesPerTrigger", bytes_per_batch).option("maxFileAge", "36500d").parquet(f"{state_path}/contents/*")
     index = stream_index(stream)
     with disk_state(spark):
         index.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(f"digest string, n_bytes long, keep struct<doc_id: {kind}, run: bigint, row: bigint>, group_size long, last_run long, batch int").parquet(out)
-    newest = F.max_by(F.struct("keep", "group_size", "last_run"), "batch").alias("x")
+    found = spark.read.schema(f"digest string, n_bytes long, keep struct<doc_id: {kind}, run: bigint, row: bigint>, group_size long, batch int").parquet(out)
+    newest = F.max_by(F.struct("keep", "group_size"), "batch").alias("x")
     return found.groupBy("digest", "n_bytes").agg(newest).select("digest", "n_bytes", "x.*")
 
 
-def collisions(contents: DataFrame, hits: DataFrame) -> DataFrame:
+def collisions(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """Digests of ``hits`` whose texts aren't all the same bytes.
 
     The least and the greatest text of a digest are first found within each
     partition, so a group of any size moves two texts per partition at most.
     """
-    texts = contents.select("digest", "content").join(small_enough(hits, BROADCAST_DIGESTS), "digest", "left_semi")
-    return texts.groupBy("digest").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a != b").select("digest")
+    own = texts.select("digest", "content").join(small_enough(hits, BROADCAST_DIGESTS), "digest", "left_semi")
+    return own.groupBy("digest").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a != b").select("digest")
+
+
+def compare_hits(spark: SparkSession, state_path: str, rows: DataFrame, index: DataFrame, kind: str) -> DataFrame:
+    """All digests that have stood for several texts so far; those that got rows since they were compared are compared now.
+
+    What is compared is noted with the number of its rows, so hits of a run that
+    stopped before this are compared by whichever run comes next.
+    """
+    done_at, wrong_at = f"{state_path}/compared", f"{state_path}/collisions"
+    todo = index.where("group_size > 1").select("digest", "n_bytes", "group_size")
+    if exists(spark, done_at):
+        todo = todo.join(spark.read.schema(todo.schema).parquet(done_at), todo.columns, "left_anti")
+    todo = written(todo, "hits")
+    if not todo.isEmpty():
+        hits = written(todo.select("digest").distinct(), "digests")
+        places = rows.select("digest", "run", "row").join(small_enough(hits, BROADCAST_DIGESTS), "digest", "left_semi")
+        collisions(contents_at(spark, state_path, places, kind), hits).write.mode("append").parquet(wrong_at)
+        todo.write.mode("append").parquet(done_at)
+    return spark.read.schema("digest string").parquet(wrong_at).distinct() if exists(spark, wrong_at) else todo.select("digest").limit(0)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, state_path: str | None = None, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
@@ -120,11 +169,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``keep_row`` for the one that stays.  A null text is an empty one.  Of rows
     that repeat an id and a text the last one is kept; a null id is less than
     any other.  Other columns are ignored.  An empty table gives no rows.
+
+    A call with the ids and texts of an earlier one adds nothing, so a call that
+    failed can be made again, whatever it got done.
     """
     spark = docs.sparkSession
     state_path = state_path or scratch_path(spark, "dedup")
     kind = docs.schema[id_col].dataType.simpleString()
-    run = store(docs, state_path, id_col, text_col, digest_chars)
+    store(docs, state_path, id_col, text_col, digest_chars)
     contents = spark.read.schema(CONTENTS.format(kind=kind)).parquet(f"{state_path}/contents/*")
     rows = contents.drop("content")
     if rows.isEmpty():
@@ -132,10 +184,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = rows.join(index, ["digest", "n_bytes"])
     else:
         index = written(run_index(spark, state_path, kind, bytes_per_batch), "index")
-        hits = written(index.where((F.col("group_size") > 1) & (F.col("last_run") == run)).select("digest").distinct(), "hits")
-        collisions(contents, hits).write.parquet(f"{state_path}/collisions/run-{run}")
-        wrong = spark.read.schema("digest string").parquet(f"{state_path}/collisions/*").distinct()
-        out = join_hot(rows, index.drop("last_run"), ["digest", "n_bytes"], "group_size")
+        wrong = compare_hits(spark, state_path, rows, index, kind)
+        out = join_hot(rows, index, ["digest", "n_bytes"], "group_size")
         if not wrong.isEmpty():  # one digest for several texts: these are grouped by their whole text
             texts = contents.join(small_enough(wrong, BROADCAST_DIGESTS), "digest", "left_semi")
             exact = texts.groupBy("content").agg(F.max(F.struct("doc_id", "run", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
@@ -146,15 +196,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def content_at(spark: SparkSession, state_path: str, places: DataFrame) -> DataFrame:
-    """The stored texts that ``places`` (``run``, ``row``) lead to."""
-    contents = spark.read.schema("run long, row long, content string").parquet(f"{state_path}/contents/*")
-    return contents.join(small_enough(places.select("run", "row").distinct()), ["run", "row"])
+    """The stored texts that ``places`` (``run``, ``row``) lead to, ``content``; only the files that these name are read."""
+    places = written(places.select("run", "row").distinct(), "places")
+    return contents_at(spark, state_path, places, "string").select("run", "row", "content").join(small_enough(places), ["run", "row"])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows without an id stay, as nothing can name them.
+    Rows without an id stay, as nothing can name them.  Of rows that repeat an
+    id, with texts that are equal but for case, the one with the least text
+    stays, and of equal texts the one whose columns are least as JSON.
     """
     found = written(exact_groups(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "kept"), "groups")
     gone, stay = found.where("NOT kept").select(id_col), found.where("kept").select(id_col)
@@ -162,8 +214,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     twice = written(gone.join(stay, id_col, "left_semi").distinct(), "twice")
     if twice.isEmpty():
         return clean
-    mark = f"normal text of {id_col}"
-    again = keep_ids(clean, twice, id_col).withColumn(mark, F.sha2(normal(text_col), 256)).dropDuplicates([id_col, mark]).drop(mark)
+    row, order = F.struct(*(F.col(c) for c in docs.columns)), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.to_json(F.struct(*(F.col(c) for c in docs.columns))).alias("row"))
+    least = F.min_by(row, order).alias("least")
+    again = keep_ids(clean, twice, id_col).groupBy(F.col(id_col).alias("of"), F.sha2(normal(text_col), 256).alias("same")).agg(least).select("least.*")
     return drop_ids(clean, twice, id_col).unionByName(again)
 
 

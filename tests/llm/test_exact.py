@@ -306,3 +306,53 @@ def test_a_new_shard_moves_few_keys():
 def test_drop_ids_keeps_null(spark):
     docs = docs_of(spark, TEXTS)
     assert drop_ids(docs, docs.where("doc_id < 9").select("doc_id"), "doc_id").count() == 5
+
+
+def test_a_run_that_stopped_is_done_again(spark, monkeypatch):
+    """Wherever a call stops, calling it again gives what it would have given."""
+    from pagesift.llm import exact_dedup
+
+    first, second = [(1, "a"), (2, "A"), (3, "b")], [(4, "a"), (5, "c"), (6, "C")]
+    groups = lambda found: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found.collect())
+    want_first = [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    want = [(1, 4, 3, False), (2, 4, 3, False), (3, 3, 1, True), (4, 4, 3, True), (5, 6, 2, False), (6, 6, 2, True)]
+
+    for stop in ("moved", "run_index", "compare_hits", "collisions", "join_hot"):
+        at = scratch_path(spark, "stopped")
+        assert groups(exact_groups(docs_of(spark, first), state_path=at)) == want_first
+        with monkeypatch.context() as m:
+            m.setattr(exact_dedup, stop, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                exact_groups(docs_of(spark, second), state_path=at)
+        assert groups(exact_groups(docs_of(spark, second), state_path=at)) == want, stop
+        assert groups(exact_groups(docs_of(spark, second), state_path=at)) == want, stop
+
+
+def test_hits_of_a_stopped_run_are_compared_by_the_next(spark, monkeypatch):
+    """With digests of one character: texts of one digest are told apart even if the run that met them stopped before."""
+    from pagesift.llm import exact_dedup
+
+    at = scratch_path(spark, "stopped")
+    rows = [(k, f"text {k}") for k in range(40)]
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "compare_hits", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            exact_groups(docs_of(spark, rows), digest_chars=1, state_path=at)
+    got = exact_groups(docs_of(spark, [(100, "another")]), digest_chars=1, state_path=at).collect()
+    assert sorted(r.doc_id for r in got) == [*range(40), 100] and all(r.kept and r.group_size == 1 for r in got)
+
+
+def test_only_files_with_hits_are_read(spark):
+    from pagesift.llm.exact_dedup import contents_at, store
+
+    at = scratch_path(spark, "files")
+    run = store(docs_of(spark, [(k, f"t{k}") for k in range(20)]).repartition(5), at)
+    assert store(docs_of(spark, [(k, f"t{k}") for k in range(20)]).repartition(3), at) == run
+    places = spark.read.parquet(f"{at}/contents/*").where("content = 't7'").select("run", "row")
+    assert len(contents_at(spark, at, places, "bigint").inputFiles()) == 1
+
+
+def test_of_rows_that_repeat_an_id_the_least_text_stays(spark):
+    rows = [(1, "b"), (1, "B"), (1, "b"), (2, "x")]
+    got = {tuple(r) for r in deduplicate(docs_of(spark, rows).repartition(4)).select("doc_id", "text").collect()}
+    assert got == {(1, "B"), (2, "x")}
