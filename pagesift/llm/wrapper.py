@@ -35,6 +35,8 @@ SMALL = 0.02
 BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 64 << 20
 #: Parts that stand side by side with one label are places of their own up to so many.
 SIDE_BY_SIDE = 8
+#: Cells of the table that aligns the parts of two places; larger ones are filled along the diagonal.
+TABLE_CELLS = 20_000
 PARTS = frozenset("div section article main aside header footer nav form table ul ol dl".split())
 
 #: Elements that are never part of an article, and names that mark such parts.
@@ -134,33 +136,97 @@ class Template:
         return made(json.loads(text))
 
 
-def match(t: Template, e: Element, found: dict[int, list[Element]] | None = None) -> int:
-    """Simple tree matching: the size of the largest alignment of two trees that keeps levels and order.
+class Matching:
+    """Simple tree matching of a template with a page: alignments that keep levels and order, as large as they can be.
 
-    With ``found``, the elements at each place of the template are put there.
+    What two places have in common is found once.  Where a place and an element
+    have very many parts, equal parts at both ends are aligned first, and of the
+    table of the others only a band around its diagonal is filled, of
+    ``TABLE_CELLS`` cells or eight to a row, so that time grows as the page.
     """
-    below = runs(e.elements())
-    if not below or not t.below:
-        return 1
-    n, m = len(t.below), len(below)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i, x in enumerate(t.below, 1):
-        for j, run in enumerate(below, 1):
-            here = best[i - 1][j - 1] + match(x, run[0]) if x.label == label(run[0]) else 0
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], here)
-    if found is not None:
-        i, j = n, m
+
+    def __init__(self):
+        self._parts: dict[int, list[list[Element]]] = {}
+        self._found: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def parts(self, e: Element) -> list[list[Element]]:
+        if id(e) not in self._parts:
+            self._parts[id(e)] = runs(e.elements())
+        return self._parts[id(e)]
+
+    def size(self, t: Template, e: Element) -> int:
+        """How many places the two have in common, themselves included."""
+        return 1 + self.aligned(t, e)[0]
+
+    def aligned(self, t: Template, e: Element) -> tuple[int, list[tuple[int, int]]]:
+        """What the parts of both have in common, and which parts lie at which place."""
+        key = (t.name, id(e))
+        if key not in self._found:
+            self._found[key] = self._align(t.below, self.parts(e))
+        return self._found[key]
+
+    def _align(self, a: list[Template], b: list[list[Element]]) -> tuple[int, list[tuple[int, int]]]:
+        names = [label(run[0]) for run in b]
+        n, m, first, total, pairs = len(a), len(b), 0, 0, []
+        wide = n * m > TABLE_CELLS
+        if wide:
+            while first < min(n, m) and a[first].label == names[first]:
+                pairs.append((first, first))
+                first += 1
+            while min(n, m) > first and a[n - 1].label == names[m - 1]:
+                n, m = n - 1, m - 1
+                pairs.append((n, m))
+            total = sum(self.size(a[i], b[j][0]) for i, j in pairs)
+        rows, columns = n - first, m - first
+        if not rows or not columns:
+            return total, pairs
+        half = max(4, TABLE_CELLS // rows // 2) if wide else columns
+        before, start, choices = [0] * (columns + 1 if not wide else 1), 0, []
+        for i in range(1, rows + 1):
+            middle = i * columns // rows
+            lo, hi = max(0, middle - half), min(columns, middle + half)
+            row, choice = [], bytearray(hi - lo + 1)
+            x = a[first + i - 1]
+            above = lambda j: before[min(j - start, len(before) - 1)] if j >= start else 0  # noqa: B023, E731
+            for j in range(lo, hi + 1):
+                up, left = above(j), row[-1] if row else 0
+                here = above(j - 1) + self.size(x, b[first + j - 1][0]) if j and x.label == names[first + j - 1] else 0
+                # of equal ones a place without a part goes before a part without a place
+                best = max(up, left, here)
+                choice[j - lo] = 0 if best == up else 1 if best == left else 2
+                row.append(best)
+            choices.append((lo, choice))
+            before, start = row, lo
+        i, j = rows, columns
         while i and j:
-            if best[i][j] == best[i - 1][j]:
+            lo, choice = choices[i - 1]
+            j = min(j, lo + len(choice) - 1)
+            c = choice[j - lo] if j >= lo else 0
+            if c == 0:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif c == 1:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                found.setdefault(t.below[i].name, []).extend(below[j])
-                for member in below[j]:
-                    match(t.below[i], member, found)
-    return 1 + best[n][m]
+                pairs.append((first + i, first + j))
+        return total + before[-1], pairs
+
+    def places(self, t: Template, e: Element) -> dict[int, list[Element]]:
+        """The elements at each place of a template below its top."""
+        found: dict[int, list[Element]] = {}
+        stack = [(t, e)]
+        while stack:
+            t, e = stack.pop()
+            for i, j in self.aligned(t, e)[1]:
+                members = self.parts(e)[j]
+                found.setdefault(t.below[i].name, []).extend(members)
+                stack += [(t.below[i], x) for x in members]
+        return found
+
+
+def match(t: Template, e: Element) -> int:
+    """The size of the largest alignment of two trees."""
+    return Matching().size(t, e)
 
 
 def own_text(e: Element) -> str:
@@ -176,9 +242,7 @@ def wrapper(skeleton: str) -> Template:
 
 
 def aligned(skeleton: str, root: Element) -> dict[int, list[Element]]:
-    found: dict[int, list[Element]] = {}
-    match(wrapper(skeleton), root, found)
-    return found
+    return Matching().places(wrapper(skeleton), root)
 
 
 def unread(root: Element) -> set[int]:
@@ -326,7 +390,11 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     copied = written(counts.where("copies > 1 AND NOT blank").select("host", "digest", "copies"), "copied")
     hosts = counts.groupBy("host").agg(F.sum("copies").alias("rows"), F.sum(F.when(F.col("blank"), 0).otherwise(1)).alias("pages"))
     full = pages.where("html IS NOT NULL AND html != ''").withColumn("digest", F.xxhash64("html"))
-    first = full.groupBy("host").agg(F.min_by("html", F.struct("page_id", "digest")).alias("html"))
+    # the first page of a host by its id and digest alone, then its html: one page for each host
+    least = written(full.groupBy("host").agg(F.min(F.struct("page_id", "digest")).alias("x")).select(F.col("host").alias("of"), F.col("x.page_id").alias("id"), F.col("x.digest").alias("d")), "least")
+    least = F.broadcast(least) if fits(least, BROADCAST_HOSTS * 20, F.octet_length("of"), BROADCAST_BYTES) else least.hint("shuffle_hash")
+    same = (F.col("host") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))
+    first = full.join(least, same, "left_semi").select("host", "html", "digest").dropDuplicates(["host", "digest"]).select("host", "html")
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
