@@ -31,7 +31,9 @@ LEAST_CHARS, LEAST_COUNT, TIMES = 6, 5, 5
 DAMAGE = 199
 #: Words in a cell, and in a leaf of its tree; words of a length whose cells are
 #: cut by a sample, which decides how even cells are and nothing else.
-CELL_WORDS, LEAF_WORDS, SAMPLE_WORDS = 16_000, 32, 20_000
+CELL_WORDS, LEAF_WORDS, SAMPLE_WORDS = 4_000, 32, 20_000
+#: Forms that may be broadcast.
+BROADCAST_FORMS = 100_000
 #: Words that a task counts before it hands the counts on, and queries that meet a tree at once.
 TASK_WORDS, QUERIES = 200_000, 4096
 
@@ -352,7 +354,7 @@ def roots(forms: DataFrame) -> DataFrame:
     far = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = far.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        ahead = far.join(small_enough(on), "root", "left")
+        ahead = far.join(small_enough(on, BROADCAST_FORMS), "root", "left")
         if ahead.where("next IS NOT NULL").isEmpty():
             return far
         far = written(ahead.select("word", F.coalesce("next", "root").alias("root")), "roots")
