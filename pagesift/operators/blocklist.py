@@ -100,8 +100,29 @@ def resource_requests(pages: DataFrame, links: bool = False) -> DataFrame:
     return pages.select("page_id", "url", F.explode(found).alias("r")).select("page_id", "url", "r.element", absolute.alias("resource_url"))
 
 
+def pattern_hits(requests: DataFrame, url_col: str, patterns: list[str]) -> DataFrame:
+    """``page_id``, ``host`` and ``pattern`` for each pattern in each request."""
+    hits = F.filter(F.array(*(F.when(F.col(url_col).contains(p), F.lit(p)) for p in patterns)), lambda x: x.isNotNull())
+    return requests.select("page_id", F.regexp_extract(url_col, r"^\w+://([^/?#]*)", 1).alias("host"), F.explode(hits).alias("pattern"))
+
+
+def blocked_sketches(requests: DataFrame, url_col: str = "resource_url", patterns: list[str] = BLOCKED) -> DataFrame:
+    """Per pattern the number of requests, and sketches of the pages and hosts that it blocks, a few kB each at any size."""
+    found = pattern_hits(requests, url_col, patterns).groupBy("pattern")
+    return found.agg(F.count(F.lit(1)).alias("requests"), F.hll_sketch_agg("page_id", F.lit(12)).alias("pages"), F.hll_sketch_agg("host", F.lit(12)).alias("hosts"))
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of several runs as one for each pattern; what runs share counts once."""
+    return sketches.groupBy("pattern").agg(F.sum("requests").alias("requests"), F.hll_union_agg("pages").alias("pages"), F.hll_union_agg("hosts").alias("hosts"))
+
+
+def sketch_counts(sketches: DataFrame) -> DataFrame:
+    """Numbers of pages and hosts by sketches; two thirds of them are within 1.6 %, nearly all within 5 %."""
+    return sketches.select("pattern", "requests", F.hll_sketch_estimate("pages").alias("pages"), F.hll_sketch_estimate("hosts").alias("hosts"))
+
+
 def blocked_by_pattern(requests: DataFrame, url_col: str = "resource_url", patterns: list[str] = BLOCKED) -> DataFrame:
     """Requests, pages and hosts that each pattern blocks."""
-    hits = F.filter(F.array(*(F.when(F.col(url_col).contains(p), F.lit(p)) for p in patterns)), lambda x: x.isNotNull())
-    rows = requests.select("page_id", F.regexp_extract(url_col, r"^\w+://([^/?#]*)", 1).alias("host"), F.explode(hits).alias("pattern"))
+    rows = pattern_hits(requests, url_col, patterns)
     return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("page_id").alias("pages"), F.countDistinct("host").alias("hosts"))

@@ -11,6 +11,7 @@ from pagesift.operators.extract import extract, extract_wide, with_results
 from pagesift.plans.rules import PRESET, Rule, route_rules, rule_lines
 from pagesift.sources import captures as io
 from pagesift.sources.scratch import scratch_path
+from pagesift.streaming import changes as changes_
 from pagesift.streaming.captures import extract_stream, page_stream, without_repeats
 
 #: Words that the test pages' urls hold, unlike the default list's.
@@ -176,6 +177,65 @@ def long_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocklist.block_requests(p.select("page_id", "url"), "url", listed).select("page_id", "blocked")
 
 
+def sketched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two runs, in which pages with even ids come twice, merged and held against exact counts."""
+    found = blocklist.resource_requests(pages(spark, sf_dir), links=True)
+    runs = [blocklist.blocked_sketches(x, patterns=LOCAL) for x in (found, found.where("page_id % 2 = 0"))]
+    told = blocklist.sketch_counts(blocklist.merged_sketches(runs[0].unionByName(runs[1])))
+    exact = blocklist.blocked_by_pattern(found, patterns=LOCAL).select("pattern", F.col("pages").alias("n"), F.col("hosts").alias("m"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1 + 0.05 * F.col(b)
+    return told.join(exact, "pattern").select("pattern", "requests", F.col("n").alias("pages"), near("pages", "n").alias("pages_near"), near("hosts", "m").alias("hosts_near"))
+
+
+def layouts_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of which the second run has pages of another layout, with the titles still there."""
+    p = table(spark, sf_dir, "pages")
+    new = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<(/?)(?:article|div)", "<$1section"), "<(/?)p>", "<$1blockquote>"), "<(/?)li>", "<$1dd>")
+    other = F.length(fn.host(F.col("url"))) % 2 == 0
+    both = p.withColumn("run", F.lit(1)).unionByName(p.withColumn("html", F.when(other, new).otherwise(F.col("html"))).withColumn("run", F.lit(2)))
+    return outcomes.layout_changes(outcomes.layout_sketches(both)).select("host", "run")
+
+
+def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of captures as a stream: all new, a quarter changed, and a fifth that comes late and says something else."""
+    at, day = scratch_path(spark, "changes"), 86_400
+    p = table(spark, sf_dir, "pages")
+    html = {1: F.col("html"), 2: F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit("<p>new"))).otherwise(F.col("html")), 3: F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("old "), "html")).when(F.col("page_id") % 4 == 0, F.concat("html", F.lit("<p>new"))).otherwise(F.col("html"))}
+    for run in (1, 2, 3):
+        taken = F.when((F.lit(run) == 3) & (F.col("page_id") % 5 == 0), 1_690_000_000).otherwise(1_700_000_000 + run * day)
+        rows = p.select("page_id", F.concat("url", F.lit("#"), "page_id").alias("url"), html[run].alias("html"), F.timestamp_seconds(taken).alias("captured_at"), F.timestamp_seconds(F.lit(1_700_000_000 + run * day)).alias("arrived_at"), F.lit(run).alias("run"))
+        rows.write.mode("append").parquet(f"{at}/in/{run}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{at}/in/*")
+    before = spark.conf.get(changes_.ROCKS[0], None)
+    spark.conf.set(*changes_.ROCKS)
+    try:
+        found = changes_.changed_captures(stream, keep=("page_id", "captured_at", "run"))
+        found.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{at}/out").start().awaitTermination()
+    finally:
+        spark.conf.set(changes_.ROCKS[0], before) if before else spark.conf.unset(changes_.ROCKS[0])
+    return spark.read.schema("page_id long, run int").parquet(f"{at}/out")
+
+
+def streamed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome counts kept up over three runs of a stream, of which nothing is new to the last."""
+    at, rules = scratch_path(spark, "outcomes"), [Rule("heading", "<h1>", "regex"), Rule("items", "<li>", "regex"), Rule("none", "nothing-like-it", "regex")]
+    c = captures(spark, sf_dir).select("page_id", "url", "html", "captured_at", "run")
+    for run in (1, 2, 3):
+        c.where(F.col("run") == run).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(c.schema).parquet(f"{at}/in")
+        changes_.count_outcomes(stream, rules, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return changes_.outcomes_so_far(spark, f"{at}/out").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "key", "status", "n")
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files of HTTP responses and read back."""
+    at = scratch_path(spark, "responses")
+    p = table(spark, sf_dir, "pages")
+    head = F.concat(F.lit("HTTP/1.1 "), F.when(F.col("page_id") % 5 == 0, "404 Not Found").otherwise("200 OK"), F.lit("\r\nContent-Type: text/html\r\nX-Url: "), "url", F.lit("\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
+    p.select(F.col("page_id").alias("page"), F.concat(head, "html").alias("value")).write.partitionBy("page").text(at)
+    return io.read_responses(spark, f"{at}/*").select("url", "status", F.sha2("html", 256).alias("sha256"), F.col("headers")["content-type"].alias("content_type"))
+
+
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [
         "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
@@ -318,6 +378,11 @@ QUERIES = {
     "structure_changes": changes,
     "jobs_run": jobs_run,
     "long_blocklist": long_blocklist,
+    "blocked_sketches": sketched_blocks,
+    "layout_changes": layouts_changed,
+    "stream_changes": run_changes,
+    "stream_outcomes": streamed_outcomes,
+    "read_responses": responses,
     "jobs_without_page": jobs_without_page,
     "job_validation": validation,
     "both_modes": both_modes,
@@ -436,6 +501,14 @@ UNION ALL SELECT event_id, 'y', 'json_regex', 'no_match', 'No matches found' FRO
     "latest_captures": f"SELECT url, page_id, run FROM {_CAPTURES} WHERE status = 200 QUALIFY row_number() OVER (PARTITION BY url ORDER BY taken DESC, page_id DESC) = 1",
     "structure_changes": f"""SELECT host, 'title' AS key, CAST(2 AS BIGINT) AS run, CAST(1 AS DOUBLE) AS before, round(rate, 6) AS rate FROM (
   SELECT {_HOST} AS host, avg(CASE WHEN length(url) % 2 = 0 THEN 0.0 ELSE 1.0 END) AS rate FROM pages GROUP BY 1) WHERE 1 - rate >= 0.5""",
+    "blocked_sketches": "SELECT pattern, CAST(count(*) + count(CASE WHEN page_id % 2 = 0 THEN 1 END) AS BIGINT) AS requests, count(DISTINCT page_id) AS pages, true AS pages_near, true AS hosts_near FROM ("
+    + " UNION ALL ".join(f"SELECT '{w}' AS pattern, page_id FROM {_ABSOLUTE} WHERE contains(resource_url, '{w}')" for w in LOCAL)
+    + ") GROUP BY pattern",
+    "layout_changes": f"SELECT DISTINCT {_HOST} AS host, 2 AS run FROM pages WHERE length({_HOST}) % 2 = 0",
+    "stream_changes": "SELECT page_id, run FROM pages, (VALUES (1), (2), (3)) r(run) WHERE run = 1 OR run = 2 AND page_id % 4 = 0 OR run = 3 AND page_id % 5 = 0",
+    "stream_outcomes": f"""SELECT strftime(make_timestamp(taken * 1000000), '%Y-%m-%d') AS day, key, CASE WHEN n = 0 THEN 'no_match' WHEN n = 1 THEN 'one' ELSE 'many' END AS status, count(*) AS n FROM (
+  SELECT taken, key, len(regexp_extract_all(html, pattern)) AS n FROM {_CAPTURES}, (VALUES ('heading', '<h1>'), ('items', '<li>'), ('none', 'nothing-like-it')) k(key, pattern)) GROUP BY ALL""",
+    "read_responses": "SELECT url, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status, sha256(html) AS sha256, 'text/html' AS content_type FROM pages",
     "long_blocklist": """WITH l AS (SELECT DISTINCT substring(url, k * 2, k % 7 + 3) || (k % 10) AS pattern FROM pages, unnest(range(1, 21)) AS x(k))
 SELECT page_id, coalesce((SELECT bool_or(contains(url, pattern)) FROM l), false) AS blocked FROM pages""",
     "jobs_run": f"""SELECT j.job_id, CASE WHEN j.url IS NULL THEN 'No URL provided' WHEN form = 2 THEN 'No extraction rules provided' WHEN p.url IS NULL THEN 'Request failed: no capture of this url' END AS job_error,

@@ -20,6 +20,28 @@ def read_pages(spark: SparkSession, path: str, kind: str = "parquet", schema: st
     return spark.read.schema(schema).format(kind).load(path)
 
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Captures from files of one stored HTTP response each: ``file``, ``url``, ``html``, ``status`` and ``headers``.
+
+    A file has a status line, headers, an empty line and the body, as long as
+    ``content-length`` says or to the end.  The url is that of the header
+    ``x-url`` or ``content-location``.  Names of headers are in lower case, and
+    of one that is repeated the last counts.  A file without a status line has
+    neither status nor headers and is all body; an empty file is none at all.
+    """
+    head = F.decode(F.substring("content", 1, 1 << 16), "ISO-8859-1")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.regexp_extract(head, r"(?s)^(HTTP/\S+ \d{3}.*?\r?\n)(\r?\n)", 1).alias("head"), F.length(F.regexp_extract(head, r"(?s)^HTTP/\S+ \d{3}.*?\r?\n\r?\n", 0)).alias("n"))
+    lines = F.filter(F.split("head", r"\r?\n"), lambda x: F.contains(x, F.lit(":")))
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x))).alias("v")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    headers = F.when(F.col("head") != "", F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])))
+    own = files.withColumn("headers", headers)
+    size = F.coalesce(F.expr("try_cast(headers['content-length'] AS INT)"), F.length("content"))
+    body = F.decode(F.substring(F.col("content"), F.col("n") + 1, size), "UTF-8")
+    status = F.regexp_extract("head", r"^HTTP/\S+ (\d{3})", 1)
+    return own.select("file", F.coalesce(F.col("headers")["x-url"], F.col("headers")["content-location"]).alias("url"), body.alias("html"), F.when(status != "", status.cast("int")).alias("status"), "headers")
+
+
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     """Jobs from JSON lines; ``rules`` may be a text block or an array, ``mode`` may be missing."""
     raw = spark.read.schema(JOBS).json(path)
