@@ -63,8 +63,7 @@ def signatures(hashes: np.ndarray, seeds: int = SEEDS) -> list[int]:
 
 
 def near_units(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id`` and ``unit`` of each row, a unit being a set of shingles named by its digest; and each unit with its
-    fingerprints and ``first``, the least id that has it."""
+    """One document for each set of shingles, with its fingerprints; and ``a``, ``b``: it and each other one of that set."""
     import xxhash
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -72,27 +71,28 @@ def near_units(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units, fps = [], []
+            same, fps = [], []
             for x in b.column(1):
                 h = shingle_set(x.as_py(), shingle)
-                units.append(xxhash.xxh3_128_digest(h.tobytes()))
+                same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 fps.append(signatures(h, seeds))
             fps = np.array(fps, np.uint64).reshape(-1, seeds).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.binary()), *(pa.array(fps[:, s]) for s in range(seeds))], ["doc_id", "unit", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), *(pa.array(fps[:, s]) for s in range(seeds))], ["doc_id", "same", *names])
 
     rows = texts_of(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    own = written(rows.mapInArrow(run, f"doc_id {kind}, unit binary, " + ", ".join(f"{x} long" for x in names)), "signatures")
-    units = written(own.groupBy("unit", *names).agg(F.min("doc_id").alias("first")), "units")
-    return own.select("doc_id", "unit"), units
+    own = written(rows.mapInArrow(run, f"doc_id {kind}, same binary, " + ", ".join(f"{x} long" for x in names)), "signatures")
+    units = written(own.groupBy("same", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "units")
+    copies = join_hot(own.select("doc_id", "same"), units.where("copies > 1").select("same", "first", "copies"), ["same"], "copies").where("doc_id != first")
+    return units.select(F.col("first").alias("doc_id"), *names), written(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "same")
 
 
 def near_links(own: DataFrame, seeds: int, max_bits: int, reach: int) -> DataFrame:
-    """``a`` and ``b``: units that the index meets, enough to connect all that it does."""
+    """``a`` and ``b``: documents that the index meets, enough to connect all that it does."""
     found = None
     for s in range(seeds):
-        mine = own.select("unit", F.col(f"fp{s}").alias("fp"), F.col(f"fp{(s + 1) % seeds}").alias("beside"))
-        first = written(mine.groupBy("fp", "beside").agg(F.min("unit").alias("first"), F.count(F.lit(1)).alias("copies")), "first")
-        same = join_hot(mine, first.where("copies > 1"), ["fp", "beside"], "copies").where("unit != first").select(F.col("first").alias("a"), F.col("unit").alias("b"))
+        mine = own.select("doc_id", F.col(f"fp{s}").alias("fp"), F.col(f"fp{(s + 1) % seeds}").alias("beside"))
+        first = written(mine.groupBy("fp", "beside").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "first")
+        same = join_hot(mine, first.where("copies > 1"), ["fp", "beside"], "copies").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
         near = written(links(first.select("fp", "beside"), max_bits, others=("beside",), reach=reach), "near")
         end = lambda side, name: first.select(F.col("fp").alias(side), F.col("beside").alias(f"{side}_beside"), F.col("first").alias(name))  # noqa: B023, E731
         ends = near.join(end("a", "x"), ["a", "a_beside"]).join(end("b", "y"), ["b", "b_beside"])
@@ -107,13 +107,13 @@ def undecided(own: DataFrame, near: DataFrame, sound: DataFrame) -> DataFrame:
 
     Adds ``root``, ``members`` (how many rows the group has) and ``part``.
     """
-    part = connected_components(sound).select(F.col("node").alias("unit"), F.col("root").alias("part"))
-    rows = near.select(F.col("node").alias("unit"), "root").join(part, "unit", "left").select("unit", "root", F.coalesce("part", "unit").alias("part"))
+    part = connected_components(sound).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
+    rows = near.select(F.col("node").alias("doc_id"), "root").join(part, "doc_id", "left").select("doc_id", "root", F.coalesce("part", "doc_id").alias("part"))
     parts = written(rows, "parts")
     sizes = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size"))
     # two that are near have been compared; of three, some may not have been
     left = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members")).where("parts > 1 AND members > 2")
-    return own.join(join_hot(parts, written(left.select("root", "members"), "open"), ["root"], "members"), "unit")
+    return own.join(join_hot(parts, written(left.select("root", "members"), "open"), ["root"], "members"), "doc_id")
 
 
 def settle(ids: pa.Array, sides: np.ndarray, fps: np.ndarray, parts: list, sets: list[np.ndarray], reach: int, similarity: float) -> tuple[list[int], list[int]]:
@@ -155,31 +155,32 @@ def settle(ids: pa.Array, sides: np.ndarray, fps: np.ndarray, parts: list, sets:
 
 
 def settled(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: int, reach: int, similarity: float) -> DataFrame:
-    """``a`` and ``b``: similar units of different parts of a group, enough to join all parts that are similar.
+    """``a`` and ``b``: similar documents of different parts of a group, enough to join all parts that are similar.
 
-    The units of a group meet with their sets, block by block; a task looks at
-    every pair of two blocks that is within reach and not in one part yet, and
-    gives at most one pair for each unit.  A set goes once to each block of its
-    group, so what is shuffled grows as the square of a group that is left in
-    parts, divided by the size of a block.
+    The documents of a group meet with their sets, block by block; a task looks
+    at every pair of two blocks that is within reach and not in one part yet,
+    and gives at most one pair for each document.  A set goes once to each block
+    of its group, so what is shuffled grows as the square of a group that is
+    left in parts, divided by the size of a block.
     """
+    kind = left.schema["doc_id"].dataType.simpleString()
     left = written(left, "undecided")
-    sets = written(shingle_sets(docs, left.select("unit", "first"), id_col, text_col, shingle), "sets")
-    rows = written(left.drop("first").join(sets, "unit"), "members")
+    sets = written(shingle_sets(docs, left.select("doc_id"), id_col, text_col, shingle), "sets")
+    rows = written(left.join(sets, "doc_id"), "members")
     blocks = rows.groupBy("root").agg(F.ceil(F.sum(F.size("grams") + 16) / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
     rows = join_hot(rows.drop("members"), written(blocks, "blocks"), ["root"], "members")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("unit", F.lit("block")), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("own") > F.col("other"), 1).when(F.col("own") < F.col("other"), -1).otherwise(0)
     names = [f"fp{s}" for s in range(seeds)]
-    rows = rows.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "unit", "part", side.alias("side"), *names, "grams")
+    rows = rows.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "doc_id", "part", side.alias("side"), *names, "grams")
 
     def compare(found: pa.Table) -> pa.RecordBatch:
-        units = found.column("unit").combine_chunks()
+        ids = found.column("doc_id").combine_chunks()
         fps = np.stack([found.column(x).to_numpy() for x in names], axis=1).view(np.uint64)
         grams = found.column("grams").combine_chunks()
         sets = [x.values.to_numpy() for x in grams]
-        a, b = settle(units, found.column("side").to_numpy(), fps, found.column("part").to_pylist(), sets, reach, similarity)
-        return pa.RecordBatch.from_arrays([units.take(pa.array(x, pa.int64())) for x in (a, b)], ["a", "b"])
+        a, b = settle(ids, found.column("side").to_numpy(), fps, found.column("part").to_pylist(), sets, reach, similarity)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -198,37 +199,38 @@ def settled(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingl
             yield compare(pa.concat_tables(held))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(run, "a binary, b binary")
+    return rows.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def shingle_sets(docs: DataFrame, units: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``unit`` and ``grams``, the set of shingle hashes, once for each of ``units`` (``unit``, ``first``)."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc_id`` and ``grams``, the set of shingle hashes, of the documents that ``ids`` names; a row for each set of an id."""
     import xxhash
 
+    kind = docs.schema[id_col].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["unit", "grams"])
+            sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in b.column(1)]
+            same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "same", "grams"])
 
-    texts = keep_ids(texts_of(docs, id_col, text_col), units.select(F.col("first").alias("doc_id")), "doc_id")
-    # rows that repeat an id may have other sets too
-    return texts.mapInArrow(run, "unit binary, grams array<long>").join(small_enough(units.select("unit").distinct()), "unit", "left_semi").dropDuplicates(["unit"])
+    texts = keep_ids(texts_of(docs, id_col, text_col), ids, "doc_id")
+    return texts.mapInArrow(run, f"doc_id {kind}, same binary, grams array<long>").dropDuplicates(["doc_id", "same"]).drop("same")
 
 
-def verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose sets of word shingles have at least the given Jaccard similarity.
 
     Shingles are compared by 64-bit hashes.  A pair takes the set of its ``b``
     to where the set of ``a`` is, so that what is in the middle of many pairs
-    isn't copied for each; Spark splits the rows of such an ``a``.
+    isn't copied for each.
     """
-    ends = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
-    ends = written(units.select("unit", "first").join(ends, "unit", "left_semi"), "ends")
+    ends = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
     grams = written(shingle_sets(docs, ends, id_col, text_col, shingle), "grams")
-    both = pairs.join(grams.select(F.col("unit").alias("b"), F.col("grams").alias("y")), "b").join(grams.select(F.col("unit").alias("a"), F.col("grams").alias("x")), "a")
+    both = pairs.join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b").join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
+    return both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b").distinct()  # an id may have several sets
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, seeds: int = SEEDS, max_bits: int = MAX_BITS, reach: int = REACH) -> DataFrame:
@@ -236,10 +238,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Documents are linked if their sets of five-word shingles have a Jaccard
     similarity of 0.8 or more; classes are what links connect.  Documents of
-    equal sets are one unit.  The index gives pairs enough to hold together what
-    it meets.  Where the check of similarity leaves such a group in parts, its
-    units are compared across the parts, until all pairs within reach are
-    checked or in one part.  So no link that the index meets is lost.
+    equal sets are one to begin with.  The index gives pairs enough to hold
+    together what it meets.  Where the check of similarity leaves such a group
+    in parts, its documents are compared across the parts, until all pairs
+    within reach are checked or in one part.  So no link that the index meets
+    is lost.
 
     Null and empty texts, and those of white space, have an empty set and are
     copies of each other; a text of fewer than five words is one shingle.  Rows
@@ -247,21 +250,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are one document that has the links of all of them.  Other columns are
     ignored; an empty table gives no rows.
     """
-    own, units = near_units(docs, id_col, text_col, shingle, seeds)
+    units, same = near_units(docs, id_col, text_col, shingle, seeds)
     met = written(near_links(units, seeds, max_bits, reach), "pairs")
     near = written(connected_components(met), "near")
-    sound = written(verified(met, units, docs, id_col, text_col, shingle, similarity), "sound")
+    sound = written(verified(met, docs, id_col, text_col, shingle, similarity), "sound")
     left = undecided(units, near, sound)
     sound = sound.union(written(settled(left, docs, id_col, text_col, shingle, seeds, reach, similarity), "settled"))
-    # an id that has several sets joins them
-    ids = own.groupBy("doc_id").agg(F.min("unit").alias("a"), F.max("unit").alias("z")).where("a != z").select("doc_id", "a")
-    joined = own.join(small_enough(written(ids, "repeated")), "doc_id").select("a", F.col("unit").alias("b")).where("a != b")
-    roots = written(connected_components(sound.union(joined)), "roots").select(F.col("node").alias("unit"), "root")
-    sizes = own.groupBy("unit").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("most"))
-    members = written(sizes.join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit")), "sizes")
-    least = members.groupBy("root").agg(F.min("least").alias("class_id"), F.max("most").alias("most"), F.count(F.lit(1)).alias("units")).where("class_id != most")
-    of = written(join_hot(members.select("unit", "root", "rows"), written(least, "least"), ["root"], "units").select("unit", "class_id", "rows"), "classes")
-    return join_hot(own, of, ["unit"], "rows").select(F.col("doc_id").alias("node"), "class_id").distinct()
+    roots = written(connected_components(sound.union(same)), "roots")
+    least = written(roots.groupBy("root").agg(F.min("node").alias("class_id"), F.count(F.lit(1)).alias("size")), "least")
+    return join_hot(roots, least, ["root"], "size").select("node", "class_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

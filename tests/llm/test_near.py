@@ -228,3 +228,12 @@ def test_large_entries_give_a_forest():
     fps = np.unique(np.concatenate([fps, fps ^ np.uint64(5), fps ^ np.uint64(9)]))
     a, b = near_pairs(np.zeros(len(fps), np.int64), fps[:, None], variants(4), 4, 4)
     assert len(a) < len(fps) and (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    words = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    rows = [(1, words("a")), (1, words("b")), (2, words("a") + " more"), (3, words("b") + " more"), (4, words("c")), (5, words("c") + " x"), (6, words("d"))]
+    for seed in (1, 2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(seed * 3, "text")
+        assert {x.node: x.class_id for x in near_classes(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+        assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [1, 1, 4, 6]
