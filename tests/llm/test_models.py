@@ -349,3 +349,31 @@ def test_pipeline_of_no_rows_and_of_no_labels(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
     write_tables(spark, f"{tmp_path}/b", docs, labels.limit(0), [])
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() >= 20
+
+
+def test_matching_takes_time_in_proportion_to_the_page():
+    """A page of 1 MB with a part of its own for each paragraph is aligned in seconds, and as a small one is."""
+    import time
+
+    page = lambda n, other: "<html><body>" + "".join(f"<p>{k}</p>" + ("<div>q</div>" if other and k % 7 == 0 else "<ul><li>x</li></ul>") for k in range(n)) + "</body></html>"
+    for n in (60, 30_000):
+        template = Template.load(Template.induce(parse(page(n, False))))
+        began = time.time()
+        assert match(template, parse(page(n, False))) == 3 + 3 * n
+        found = aligned(Template.induce(parse(page(n, False))), parse(page(n, True)))
+        assert len(found) > 2.5 * n and time.time() - began < 30
+
+
+def test_a_band_aligns_what_the_whole_table_aligns(monkeypatch):
+    import random
+
+    from pagesift.llm import wrapper
+
+    r = random.Random(6)
+    for _ in range(20):
+        a, b = ("<body>" + "".join(r.choice(("<p>x</p>", "<ul><li>y</ul>", "<h2>z</h2>", "<div>q</div>")) for _ in range(40)) + "</body>" for _ in range(2))
+        whole = match(Template.load(Template.induce(parse(a))), parse(b))
+        with monkeypatch.context() as m:
+            m.setattr(wrapper, "TABLE_CELLS", 900)
+            part = match(Template.load(Template.induce(parse(a))), parse(b))
+        assert 0.8 * whole <= part <= whole
