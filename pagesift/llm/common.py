@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,26 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
+_kept: dict = {}
+
+
+def kept(name: Hashable, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: one thing at a time, as a worker outlives its stage."""
+    if name not in _kept:
+        let_go()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Drop what a stage before left in this worker; helpers that keep nothing begin with it."""
+    if _kept:
+        import pyarrow as pa
+
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is.
 

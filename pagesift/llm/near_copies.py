@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, join_hot, keep_ids, small_enough, texts_of, written
+from .common import drop_ids, join_hot, keep_ids, let_go, texts_of, written
 from .components import connected_components
 from .simhash import distance, links, shingle_hashes, word_list
 
@@ -27,6 +27,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: four segments), and bits of two fingerprints within which sets are compared:
 #: at a similarity of 0.8 these have 19.4 differing bits, with a deviation of 4.
 SEEDS, MAX_BITS, REACH = 3, 7, 30
+#: Fingerprints of one key of the index that go to one task; more are cut into pairs of blocks.
+BLOCK_ROWS = 1 << 14
 #: Shingles of the documents of a group that a task compares with each other at
 #: once; a larger group is cut into blocks, each pair of which is compared by itself.
 BLOCK_SHINGLES = 1 << 17
@@ -70,6 +72,7 @@ def near_units(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds:
     names = [f"fp{s}" for s in range(seeds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             same, fps = [], []
             for x in b.column(1):
@@ -93,7 +96,7 @@ def near_links(own: DataFrame, seeds: int, max_bits: int, reach: int) -> DataFra
         mine = own.select("doc_id", F.col(f"fp{s}").alias("fp"), F.col(f"fp{(s + 1) % seeds}").alias("beside"))
         first = written(mine.groupBy("fp", "beside").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "first")
         same = join_hot(mine, first.where("copies > 1"), ["fp", "beside"], "copies").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        near = written(links(first.select("fp", "beside"), max_bits, others=("beside",), reach=reach), "near")
+        near = written(links(first.select("fp", "beside"), max_bits, BLOCK_ROWS, ("beside",), reach, parted=True), "near")
         end = lambda side, name: first.select(F.col("fp").alias(side), F.col("beside").alias(f"{side}_beside"), F.col("first").alias(name))  # noqa: B023, E731
         ends = near.join(end("a", "x"), ["a", "a_beside"]).join(end("b", "y"), ["b", "b_beside"])
         more = same.union(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -209,6 +212,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sh
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in b.column(1)]
             same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]

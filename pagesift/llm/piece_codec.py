@@ -11,7 +11,8 @@ are then read backwards.  Characters outside the vocabulary stand alone and
 become bytes.
 
 No piece holds a space mark after another character, so no merge crosses from a
-word to the next blank; words are encoded once and kept in a worker's cache.
+word to the next blank; words are encoded once and kept in a worker's cache
+until it runs another helper.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import kept, table, texts_of
 
 MARK = "▁"
 #: Words of a worker's newer cache (the older one has as many; about 250 bytes each),
@@ -33,8 +34,6 @@ MARK = "▁"
 CACHE_SIZE, CACHE_CHARS = 150_000, 64
 PAIRS_SIZE = 400_000
 
-_worker: dict = {}
-
 
 class PieceModel:
     """Vocabulary, automaton and pair test of one model file."""
@@ -184,9 +183,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _worker:
-        _worker[path] = Codec(path)
-    return _worker[path]
+    return kept(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, table, texts_of, written
+from .common import drop_ids, let_go, table, texts_of, written
 
 #: Random features, kernel width in standard deviations, ridge, and bins of raw scores.
 FEATURES, WIDTH, RIDGE, BINS = 256, 4.0, 1e-2, 2000
@@ -83,6 +83,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(x.as_py()) for x in b.column(1)], pa.list_(pa.float64()))], ["doc_id", "stats"])
 

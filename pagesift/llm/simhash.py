@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, small_enough, table, texts_of, written
+from .common import join_hot, let_go, small_enough, table, texts_of, written
 from .components import connected_components
 
 SHINGLE, MAX_BITS = 4, 4
@@ -25,6 +25,8 @@ SHINGLE, MAX_BITS = 4, 4
 BLOCK = 4096
 #: Entries up to this size are compared pair by pair, larger ones by search.
 FEW = 64
+#: Parts of a segment, one of which is left out, in an index whose entries are made in tasks.
+PARTS = 4
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -106,7 +108,11 @@ def index_entries(rows: DataFrame, max_bits: int, block: int, carried: tuple[str
         return out
     held = entries(large.withColumnRenamed("value", "fp")).where(F.expr("pos = seg") | F.expr(" OR ".join(f"(seg = {s} AND pos IN ({','.join(str(p) for p in range(n, len(masks)) if masks[p] & masks[s])}))" for s in range(n))))
     cut = held.groupBy(key("pos", "held").alias("key")).agg(F.ceil((F.sum("count") + block // 2) / block).cast("int").alias("blocks"))
-    joined = out.join(small_enough(written(cut, "cut")), "key", "left")
+    return in_blocks(out.join(small_enough(written(cut, "cut")), "key", "left"), carried)
+
+
+def in_blocks(joined: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """``key`` and the ``carried`` columns, with a key of several ``blocks`` (null: one) for each pair of them."""
     own = F.pmod(F.xxhash64(*carried, F.lit("block")), F.col("blocks")).cast("int")
     small = joined.where("blocks IS NULL OR blocks < 2").select("key", *carried)
     wide = joined.where("blocks > 1").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block"))
@@ -183,29 +189,88 @@ def near_pairs(keys: np.ndarray, rows: np.ndarray, masks: list[int], max_bits: i
     return a[first], b[first]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, others: tuple[str, ...] = (), reach: int | None = None) -> DataFrame:
+def parted_entries(rows: DataFrame, max_bits: int, block: int, carried: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """``key`` and the ``carried`` columns: fewer rows than ``index_entries`` has, from which tasks make its entries by ``opened``.
+
+    A segment is cut into ``PARTS`` parts.  Segments that differ in one bit at
+    most are equal but for one part, so a row goes out once for each part that is
+    left out, where the index has one for each bit that is.  The lowest 7 bits of
+    a key say which segment and part.  A key has all rows of some whole segments;
+    those that many rows have tell which keys are to be cut into pairs of blocks.
+    """
+    whole, kept = segments(max_bits), parts(max_bits)
+    held = lambda masks: F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks))
+    key = lambda *c: F.xxhash64(*c).bitwiseAND(~127).bitwiseOR(F.col("pos").cast("long"))
+    out = rows.select("*", F.posexplode(held(kept)).alias("pos", "held")).select(key("pos", "held").alias("key"), *carried)
+    values = 1 << max(b - a for a, b in part_bits(max_bits))  # whole segments of a key
+    counts = rows.select(F.posexplode(held(whole)).alias("seg", "value")).groupBy("seg", "value").count()
+    large = written(counts.where(F.col("count") > block // (2 * values)), "large")
+    if large.isEmpty():
+        return out
+    own = large.withColumnRenamed("value", "fp").select("*", F.posexplode(held(kept)).alias("pos", "held")).where(F.floor(F.col("pos") / PARTS) == F.col("seg"))
+    cut = own.groupBy(key("pos", "held").alias("key")).agg(F.ceil((F.sum("count") + block // 2) / block).cast("int").alias("blocks")).where("blocks > 1")
+    return in_blocks(out.join(small_enough(written(cut, "cut")), "key", "left"), carried)
+
+
+def part_bits(max_bits: int) -> list[tuple[int, int]]:
+    """First and last bit (exclusive) of each part of each segment."""
+    n = max_bits // 2 + 1
+    ends = [(64 * k // n, 64 * (k + 1) // n) for k in range(n)]
+    return [(a + (b - a) * q // PARTS, a + (b - a) * (q + 1) // PARTS) for a, b in ends for q in range(PARTS)]
+
+
+def parts(max_bits: int) -> list[int]:
+    """For each segment, and each of its parts, the bits of the segment without that part."""
+    return [s & ~((1 << b) - (1 << a)) for (a, b), s in zip(part_bits(max_bits), (s for s in segments(max_bits) for _ in range(PARTS)), strict=True)]
+
+
+def opened(keys: np.ndarray, rows: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted entries of the index, each once, from rows of ``parted_entries``: of the part that is left out, all bits but one."""
+    masks, n = variants(max_bits), len(segments(max_bits))
+    at = {m: k for k, m in enumerate(masks)}
+    pos, out, own = keys & 127, [], []
+    for p, (a, b) in enumerate(part_bits(max_bits)):
+        mine = np.flatnonzero(pos == p)
+        whole = masks[p // PARTS]
+        for m in [*([whole] if p % PARTS == 0 else []), *(whole & ~(1 << bit) for bit in range(a, b))]:
+            with np.errstate(over="ignore"):
+                h = (keys[mine].view(np.uint64) ^ (rows[mine, 0] & np.uint64(m))) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((h ^ (h >> np.uint64(32))) & np.uint64(~127 & (1 << 64) - 1) | np.uint64(at[m]))
+            own.append(mine)
+    found, own = np.concatenate(out).view(np.int64), np.concatenate(own)
+    order = np.argsort(found, kind="stable")
+    return found[order], rows[own[order]]
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, others: tuple[str, ...] = (), reach: int | None = None, parted: bool = False) -> DataFrame:
     """Near fingerprints of a table of distinct ``fp``, enough to connect all that are linked.
 
     Gives ``a`` and ``b``.  Fingerprints are linked at ``reach`` differing bits
     or fewer (``max_bits`` unless it is given) if they share an entry, which all
     do within ``max_bits``.  With ``others``, columns of further fingerprints,
     the bits of all are counted, and ``a_..`` and ``b_..`` are given for each.
+    If ``parted``, the same entries are made in the tasks, from fewer rows.
     """
     masks, cols = variants(max_bits), ("fp", *others)
     reach = max_bits if reach is None else reach
     names = [x for side in "ab" for x in (side, *(f"{side}_{c}" for c in others))]
+    at_once = 1 << (16 if parted else 18)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         keys, own = np.zeros(0, np.int64), np.zeros((0, len(cols)), np.uint64)
 
         def out(k: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            if parted:
+                k, rows = opened(k, rows, max_bits)
             found = near_pairs(k, rows, masks, max_bits, reach)
             return pa.RecordBatch.from_arrays([pa.array(rows[i, c].view(np.int64)) for i in found for c in range(len(cols))], names)
 
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
             own = np.concatenate([own, np.stack([batch.column(1 + c).to_numpy().view(np.uint64) for c in range(len(cols))], axis=1)])
-            if len(keys) < 1 << 18:
+            if len(keys) < at_once:
                 continue
             cut = np.searchsorted(keys, keys[-1])  # the last entry may go on in the next batch
             yield out(keys[:cut], own[:cut])
@@ -214,7 +279,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, others:
             yield out(keys, own)
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = index_entries(fps, max_bits, block, cols)
+    entries = (parted_entries if parted else index_entries)(fps, max_bits, block, cols)
     return entries.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 

@@ -69,6 +69,58 @@ def test_groups(spark, max_bits, block):
     assert len(set(seen.values())) == len(seen)
 
 
+@pytest.mark.parametrize(("max_bits", "block"), [(7, 4096), (7, 60), (4, 60), (3, 40)])
+def test_an_index_whose_entries_are_made_in_tasks(spark, max_bits, block):
+    """A quarter of the rows, and the same links."""
+    from pagesift.llm.simhash import PARTS, index_entries, parted_entries
+
+    r = random.Random(max_bits + block)
+    fps = {r.getrandbits(64) for _ in range(200)} | {0, (1 << 64) - 1}
+    for c in [r.getrandbits(64) for _ in range(4)]:
+        fps |= {c ^ sum(1 << b for b in r.sample(range(64), r.randrange(9))) for _ in range(250)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    roots = {r.node: r.root for r in connected_components(links(df, max_bits, block, parted=True)).collect()}
+    want, seen = groups_of(fps, max_bits), {}
+    for x, g in zip(fps, want, strict=True):
+        assert seen.setdefault(g, roots.get(signed(x), signed(x))) == roots.get(signed(x), signed(x))
+    assert len(set(seen.values())) == len(seen)
+    if block == 4096:
+        n = len(segments(max_bits))
+        assert parted_entries(df, max_bits, block).count() == n * PARTS * len(fps) < index_entries(df, max_bits, block).count() // 4
+        pairs = [{(x.a, x.b) for x in links(df, max_bits, block, parted=p).collect()} for p in (False, True)]
+        assert pairs[0] == pairs[1] and pairs[0]
+
+
+def test_near_links_sends_a_quarter_of_the_index(spark, monkeypatch):
+    from pagesift.llm import near_copies, simhash
+
+    sent = []
+    for name in ("index_entries", "parted_entries"):
+        monkeypatch.setattr(simhash, name, lambda *a, f=getattr(simhash, name, None): sent.append(f(*a)) or sent[-1])
+    r = random.Random(3)
+    own = spark.createDataFrame([(k, *(signed(r.getrandbits(64)) for _ in range(SEEDS))) for k in range(300)], "doc_id long, fp0 long, fp1 long, fp2 long")
+    near_copies.near_links(own, SEEDS, near_copies.MAX_BITS, near_copies.REACH)
+    assert len(sent) == SEEDS and sum(x.count() for x in sent) <= 16 * SEEDS * 300
+
+
+def test_a_worker_keeps_one_thing_only():
+    import weakref
+
+    import public_tokenizers
+    from pagesift.llm import common
+    from pagesift.llm.piece_codec import codec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    held = weakref.ref(codec(path))
+    assert codec(path) is held() is not None
+    common.kept("other", dict)
+    assert held() is None
+    held = weakref.ref(codec(path))
+    common.let_go()
+    assert held() is None
+
+
 def test_near_documents(spark):
     r = random.Random(5)
     base = [" ".join(r.choice("abcdefghijklmnop") * r.randrange(1, 5) for _ in range(300)) for _ in range(20)]
