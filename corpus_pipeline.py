@@ -29,6 +29,8 @@ from pagesift.llm.quality import keep_good
 from pagesift.llm.near_copies import drop_near_copies
 
 MODEL = "piece_bpe_32k.model"
+#: Words and pairs of pieces in a worker's caches: fewer than by themselves, as executors have run all other stages before.
+WORDS, PAIRS = 40_000, 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, and digests of the ids and of the text that they decode to."""
-    return encode(docs, public_tokenizers.path(MODEL), digests=True)
+    return encode(docs, public_tokenizers.path(MODEL), digests=True, words=WORDS, pairs=PAIRS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -35,11 +35,18 @@ def kept(name: Hashable, make: Callable[[], object]):
 
 
 def let_go() -> None:
-    """Drop what a stage before left in this worker; helpers that keep nothing begin with it."""
+    """Drop what a stage before left in this worker; helpers that keep nothing begin with it.
+
+    A task that has ended may hold it in a cycle of references, which Python
+    wouldn't look for soon among so many objects that live long.
+    """
     if _kept:
+        import gc
+
         import pyarrow as pa
 
         _kept.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
 
 

@@ -38,10 +38,11 @@ PAIRS_SIZE = 400_000
 class PieceModel:
     """Vocabulary, automaton and pair test of one model file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pairs: int | None = None):
         import ahocorasick
         import sentencepiece
 
+        self.size = pairs or PAIRS_SIZE
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         special = {i for i in range(size) if model.is_control(i) or model.is_unknown(i)}
@@ -79,7 +80,7 @@ class PieceModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two pieces, side by side, are their own encoding; remembered by both ids."""
-        if len(self.pairs) >= PAIRS_SIZE:
+        if len(self.pairs) >= self.size:
             self.older, self.pairs = self.pairs, {}
         both = left << 32 | right
         known = self.older.get(both)
@@ -150,8 +151,8 @@ class Codec:
     are taken over, so that frequent words stay.
     """
 
-    def __init__(self, path: str):
-        self.model = PieceModel(path)
+    def __init__(self, path: str, words: int | None = None, pairs: int | None = None):
+        self.model, self.size = PieceModel(path, pairs), words or CACHE_SIZE
         self.cache: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
 
@@ -167,7 +168,7 @@ class Codec:
         return self.keep(word, found) if len(word) <= CACHE_CHARS else found
 
     def keep(self, word: str, found: tuple[str, bytes]) -> tuple[str, bytes]:
-        if len(self.cache) >= CACHE_SIZE:
+        if len(self.cache) >= self.size:
             self.older, self.cache = self.cache, {}
         self.cache[word] = found
         return found
@@ -182,23 +183,25 @@ class Codec:
         return ids.count(",") + 1, ids, self.model.finish(b"".join([w[1] for w in found]), True)
 
 
-def codec(path: str) -> Codec:
-    return kept(("codec", path), lambda: Codec(path))
+def codec(path: str, words: int | None = None, pairs: int | None = None) -> Codec:
+    return kept(("codec", path, words, pairs), lambda: Codec(path, words, pairs))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, words: int | None = None, pairs: int | None = None) -> DataFrame:
     """``doc_id``, ``ids`` and the text that the ids decode to, for each row of ``docs``.
 
     ``path`` is a model file that every worker can open.  A null or empty text
     has no ids and decodes to an empty text.  With ``digests`` the columns are
     ``n_tokens``, ``ids_sha256`` (of decimal ids joined by commas) and
     ``decoded_sha256`` instead, so that no long column leaves the worker.
+    ``words`` and ``pairs`` bound a worker's caches where memory is short; they
+    decide speed only.
     Repeated rows each give a row; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path, words, pairs)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
             found = (own.run(x.as_py() or "") for x in b.column(1))

@@ -121,6 +121,26 @@ def test_a_worker_keeps_one_thing_only():
     assert held() is None
 
 
+def test_what_a_task_holds_in_a_cycle_is_let_go():
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from pagesift.llm import common
+    from pagesift.llm.piece_codec import codec
+
+    task = {"own": codec(public_tokenizers.path("piece_bpe_32k.model"))}
+    task["task"], held = task, weakref.ref(task["own"])
+    del task
+    gc.disable()  # as if it weren't due yet
+    try:
+        common.let_go()
+        assert held() is None
+    finally:
+        gc.enable()
+
+
 def test_near_documents(spark):
     r = random.Random(5)
     base = [" ".join(r.choice("abcdefghijklmnop") * r.randrange(1, 5) for _ in range(300)) for _ in range(20)]
