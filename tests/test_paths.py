@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pagesift import queries
 from pagesift.functions import paths
 from pagesift.functions.htmltree import parse
 from pagesift.functions.nodes import node_rows, page_nodes
@@ -106,6 +107,24 @@ def test_tag_soup(spark):
     assert parse("").children == [] and parse("<").text() == "<" and parse("<!-- x").text() == ""
 
 
+def test_references_that_are_cut():
+    """A name needs its semicolon, but for ``&amp``; a parameter of a url isn't a reference."""
+    for text, want in {"&quot": "&quot", "&quot;": '"', "&copy": "&copy", "&copy;&middot;": "©·", "&amp": "&", "&ampx;": "&x;", "&amp;quot;": "&quot;", "&am": "&am", "&": "&", "&#233;&#xe9": "éé", "&nosuch;": "&nosuch;", "&notin;&notit;": "∉&notit;", "&&amp;&": "&&&"}.items():
+        for tag in ("title", "h1"):
+            assert parse(f"<{tag}>{text}</{tag}>").text() == want
+    assert parse('<a href="?a=1&copy=2&amp;quot=3&amp=4">').children[0].attrs == {"href": "?a=1&copy=2&quot=3&=4"}
+
+
+@pytest.mark.parametrize("query", ["preset", "xpath_title", "xpath_heading", "xpath_union"])
+def test_cut_titles_are_as_in_the_sql(spark, tmp_path, query):
+    text = "Or onwhea token = &quot"
+    spark.createDataFrame([(1, "http://h/1", f"<html><title>{text}</title><body><h1>{text}</h1>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    df = queries.QUERIES[query](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[query]})").fetchall())
+
+
 def test_nodes():
     rows = node_rows(parse("<div a=1>x<p>y<b>z</b></p></div>w"))
     assert [(r[0], r[1], r[2], r[3], r[5]) for r in rows] == [(1, 6, 0, "div", None), (2, 2, 1, "#text", "x"), (3, 6, 1, "p", None), (4, 4, 3, "#text", "y"), (5, 6, 3, "b", None), (6, 6, 5, "#text", "z"), (7, 7, 0, "#text", "w")]
