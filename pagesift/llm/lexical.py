@@ -215,12 +215,14 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     """The written index of ``docs`` with how many documents and terms they have, which its impacts hold for.
 
     ``path`` is a folder that all executors see; by default one in the shared folder.
+    A block is a row group of its own: readers hold a whole row group, and writers
+    else look at the bytes of one after 100 rows only, whatever its size is to be.
     """
     spark = docs.sparkSession
     n_docs, n_terms = corpus_size(docs, text_col)
     rows = index_rows(docs, n_docs, max(1, n_terms), id_col, text_col, block_terms)
     path = path or scratch_path(spark, "treaps")
-    rows.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    rows.write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
     return spark.read.schema(rows.schema).parquet(path), n_docs, n_terms
 
 

@@ -1,11 +1,13 @@
 """Ranked search against plain scoring of every document."""
 
+import glob
 import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,14 @@ def test_queries_in_parts_and_other_sizes(spark, monkeypatch):
     assert search(again, *index[1:], q).count() == search(*index, q).count() > 0
 
 
+def test_a_block_is_read_by_itself(spark):
+    """Memory doesn't follow how many blocks a task writes or reads: each is a row group."""
+    at = scratch_path(spark, "index")
+    index, *_ = build_index(frames(spark, *corpus(300))[0].coalesce(1), at, block_terms=2000)
+    files = [pq.ParquetFile(x).metadata for x in glob.glob(f"{at.removeprefix('file:')}/*.parquet")]
+    assert len(files) == 1 and files[0].num_row_groups == files[0].num_rows == index.count() > 5
+
+
 def test_nothing(spark):
     docs, items = corpus(20)
     for a, b in (([], items), (docs, []), ([], []), ([(1, None), (2, "?")], items)):
