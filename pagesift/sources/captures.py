@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pagesift.plans.rules import rule_lines
 
 PAGES = "page_id bigint, url string, html string"
+STORED = "path string, content binary"
 JOBS = "job_id bigint, url string, rules string, mode string"
 
 
@@ -20,9 +21,13 @@ def read_pages(spark: SparkSession, path: str, kind: str = "parquet", schema: st
     return spark.read.schema(schema).format(kind).load(path)
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
+def read_responses(spark: SparkSession, path: str, kind: str = "binaryFile") -> DataFrame:
     """Captures from files of one stored HTTP response each: ``file``, ``url``, ``html``, ``status`` and ``headers``.
 
+    With another ``kind``, as ``parquet``, files hold many responses: rows of ``path``
+    and ``content``, as Spark's ``binaryFile`` gives them.  Files of one each cost
+    what making, listing and opening them takes, so many small ones are best kept so.
+
     A file has a status line, headers, an empty line and the body, as long as
     ``content-length`` says or to the end.  The url is that of the header
     ``x-url`` or ``content-location``.  Names of headers are in lower case, and
@@ -30,7 +35,8 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     neither status nor headers and is all body; an empty file is none at all.
     """
     head = F.decode(F.substring("content", 1, 1 << 16), "ISO-8859-1")
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.regexp_extract(head, r"(?s)^(HTTP/\S+ \d{3}.*?\r?\n)(\r?\n)", 1).alias("head"), F.length(F.regexp_extract(head, r"(?s)^HTTP/\S+ \d{3}.*?\r?\n\r?\n", 0)).alias("n"))
+    raw = (spark.read if kind == "binaryFile" else spark.read.schema(STORED)).format(kind).load(path).where(F.length("content") > 0)
+    files = raw.select(F.col("path").alias("file"), "content", F.regexp_extract(head, r"(?s)^(HTTP/\S+ \d{3}.*?\r?\n)(\r?\n)", 1).alias("head"), F.length(F.regexp_extract(head, r"(?s)^HTTP/\S+ \d{3}.*?\r?\n\r?\n", 0)).alias("n"))
     lines = F.filter(F.split("head", r"\r?\n"), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x))).alias("v")))
     names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))

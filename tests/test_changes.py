@@ -1,6 +1,8 @@
 """Streams that keep what captures said, counts of streams, sketches, layouts, stored responses."""
 
 import datetime
+import glob
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.nodes import Needs, page_nodes
 from pagesift.operators import blocklist, outcomes
 from pagesift.plans.rules import Rule
+from pagesift.queries import responses
 from pagesift.sources import captures as io
 from pagesift.streaming import changes
 
@@ -92,3 +95,25 @@ def test_responses(spark, tmp_path):
     got = {r.file.rsplit("/", 1)[1]: r for r in io.read_responses(spark, f"{tmp_path}/*").collect()}
     assert {k: (r.url, r.status, r.html) for k, r in got.items()} == {"a": ("http://h/a", 200, body), "b": ("http://h/b", 404, body), "c": (None, None, "no head at all"), "e": (None, 204, "")}
     assert got["a"].headers["a"] == "2:3" and got["c"].headers is None
+
+
+def test_packed_responses(spark, tmp_path):
+    """Responses in the rows of one file are read as files of one each are."""
+    files = {"a": "HTTP/1.1 200 OK\r\nX-Url: http://h/a\r\nContent-Length: 4\r\nA: 1\r\na: 2:3\r\n\r\né\r\ntrailing".encode(), "b": b"HTTP/1.0 404 Not Found\nContent-Location: http://h/b\n\nx", "c": b"no head at all", "d": b""}
+    (tmp_path / "one").mkdir()
+    for name, data in files.items():
+        (tmp_path / "one" / name).write_bytes(data)
+    spark.createDataFrame([(name, bytearray(data)) for name, data in files.items()] + [("e", None)], io.STORED).coalesce(1).write.parquet(f"{tmp_path}/many")
+    each, packed = io.read_responses(spark, f"{tmp_path}/one").collect(), io.read_responses(spark, f"{tmp_path}/many", "parquet").collect()
+    assert {r.file: r[1:] for r in packed} == {r.file.rsplit("/", 1)[1]: r[1:] for r in each} and len(packed) == 3 and packed[0].html == "é\r\n"
+
+
+def test_responses_do_not_take_a_file_each(spark, tmp_path):
+    pages = [(k, f"http://h/{k}", f"<p>é{k}\r\n\r\n" * (k % 4)) for k in range(200)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    at = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/pagesift/responses-*"
+    before = set(glob.glob(at))
+    got = responses(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((u, 404 if k % 5 == 0 else 200, hashlib.sha256(h.encode()).hexdigest(), "text/html") for k, u, h in pages)
+    (made,) = set(glob.glob(at)) - before
+    assert len(glob.glob(f"{made}/**/part-*", recursive=True)) <= 3
